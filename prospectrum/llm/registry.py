@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from prospectrum.llm import bpe, packing, token_files
+from prospectrum.llm import bpe, media, packing, token_files
 
-MODULES = (bpe, packing, token_files)
+MODULES = (bpe, media, packing, token_files)
 
 
 def queries() -> dict[str, Callable]:
