@@ -23,6 +23,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -213,13 +214,13 @@ class Search:
                 bucket = (key % np.uint64(buckets)).astype(np.int64)
             else:
                 bucket = np.searchsorted(splitters, leading(data, key, self.size, self.k), "right")
-            p = t.column("_p")[0].as_py()
+            p, pack = t.column("_p")[0].as_py(), zstandard.ZstdCompressor(level=3)
             for b, own in cut_by(np.arange(len(data)), bucket):
                 out["bucket"].append(b)
                 out["p"].append(p)
                 out["key"].append(key[own].tobytes())
                 out["hash"].append(digest[own].tobytes())
-                out["data"].append(b"".join([data[i] for i in own.tolist()]))
+                out["data"].append(pack.compress(b"".join([data[i] for i in own.tolist()])))
                 out["ends"].append(np.cumsum([len(data[i]) for i in own.tolist()], dtype=np.int64).tobytes())
                 out["low"].append(low[own].tobytes())
                 out["high"].append(high[own].tobytes())
@@ -234,11 +235,13 @@ class Search:
             cols = {c: t.column(c).to_pylist() for c in ("p", "key", "hash", "data", "ends", "low", "high")}
             number: dict[bytes, int] = {}
             of, low, high, group, key, digest = [], [], [], [], [], []
+            unpack = zstandard.ZstdDecompressor()
             for g in range(t.num_rows):
                 at = 0
                 ends = np.frombuffer(cols["ends"][g], np.int64).tolist()
+                data = unpack.decompress(cols["data"][g])
                 for e in ends:
-                    of.append(number.setdefault(cols["data"][g][at:e], len(number)))
+                    of.append(number.setdefault(data[at:e], len(number)))
                     at = e
                 group += [g] * len(ends)
                 for into, c, kind in ((low, "low", np.int64), (high, "high", np.int64), (key, "key", np.uint64), (digest, "hash", np.uint64)):
