@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from prospectrum.llm import bpe, fm_dedup, hnsw, media, packing, simhash, suffix_dedup, token_files
+from prospectrum.llm import bpe, fm_dedup, hnsw, language, media, packing, quality, simhash, suffix_dedup, token_files
 
-MODULES = (bpe, fm_dedup, hnsw, media, packing, simhash, suffix_dedup, token_files)
+MODULES = (bpe, fm_dedup, hnsw, language, media, packing, quality, simhash, suffix_dedup, token_files)
 
 
 def queries() -> dict[str, Callable]:
