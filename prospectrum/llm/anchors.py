@@ -32,6 +32,7 @@ from prospectrum.llm import common
 CHUNK = 1 << 19  # units that are hashed at a time
 LONG = 1 << 20  # documents from this length on are cut; places in a chunk take 20 bits
 NO_ID = np.iinfo(np.int64).max
+SPLIT = 4  # buckets of contexts for each text group: an index over them takes many times their bytes
 _RNG = np.random.default_rng(20)
 BYTE_HASH = _RNG.integers(0, 2**64, 256, np.uint64)
 STEPS = _RNG.integers(0, 2**63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -305,7 +306,7 @@ class Search:
         base = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(groups)).cast("int").alias("_p"), doc_id.alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"), keep.alias("rest")).repartition(groups, "_p")
         keys = base.groupBy("_p").applyInArrow(self.keys(groups), "bucket int, p int, once binary, more binary")
         again = keys.groupBy("bucket").applyInArrow(self.repeated, "p int, keys binary").repartition(groups, "p")
-        found = base.groupBy("_p").cogroup(again.groupBy("p")).applyInArrow(self.contexts(groups, splitters), "bucket int, p int, key binary, hash binary, data binary, ends binary, low binary, high binary")
+        found = base.groupBy("_p").cogroup(again.groupBy("p")).applyInArrow(self.contexts(SPLIT * groups, splitters), "bucket int, p int, key binary, hash binary, data binary, ends binary, low binary, high binary")
         told = found.groupBy("bucket").applyInArrow(self.solved(), "p int, key binary, hash binary, start binary, length binary, value binary").repartition(groups, "p")
 
         def last(t: pa.Table, runs: pa.Table) -> pa.Table:

@@ -112,7 +112,7 @@ def remaining(t: pa.Table, masks: list[np.ndarray], units: list[np.ndarray]) ->
 
 def run(docs: DataFrame, finish: Callable, schema: str, rest: list[str] | None = None) -> DataFrame:
     n_bytes = common.text_bytes(docs)
-    splitters = sampled_splitters(docs, common.groups_for(n_bytes), n_bytes)
+    splitters = sampled_splitters(docs, anchors.SPLIT * common.groups_for(n_bytes), n_bytes)
     return SEARCH.run(docs, finish, schema, splitters, rest)
 
 
