@@ -18,6 +18,7 @@ have something to tell each other, so never more rows than keys.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -192,24 +193,28 @@ class Search:
                 return packed_rows(**out)
             wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in keys.column("keys").to_pylist()]))
             ids = doc_ids(t)
-            seen: dict[bytes, list] = {}
+            # Numbers stand in flat arrays beside the dictionary: a group has hundreds of thousands of contexts.
+            seen: dict[bytes, int] = {}
+            keys_, least, most, times = array("Q"), array("q"), array("q"), array("q")
             for units, key, at, n, doc in contexts_of(self.units_of(t), self.size, self.k):
                 own = np.flatnonzero(is_in(key, wanted))
                 width = units.itemsize
                 raw = memoryview(units).cast("B") if len(units) else b""
                 for x, s, m, d in zip(key[own].tolist(), at[own].tolist(), n[own].tolist(), ids[doc[own]].tolist(), strict=True):
                     c = bytes(raw[s * width : (s + m + self.size - 1) * width])
-                    e = seen.get(c)
-                    if e is None:
-                        seen[c] = [x, d, d, 1]
+                    i = seen.setdefault(c, len(times))
+                    if i == len(times):
+                        keys_.append(x)
+                        least.append(d)
+                        most.append(d)
+                        times.append(1)
                     else:
-                        e[1], e[2], e[3] = min(e[1], d), max(e[2], d), e[3] + 1
+                        least[i], most[i], times[i] = min(least[i], d), max(most[i], d), times[i] + 1
             if not seen:
                 return packed_rows(**out)
             data = list(seen)
-            key = np.array([e[0] for e in seen.values()], np.uint64)
-            low = np.array([e[1] if self.weigh == "id" else e[3] for e in seen.values()], np.int64)
-            high = np.array([e[2] for e in seen.values()], np.int64)
+            del seen
+            key, low, high = np.frombuffer(keys_, np.uint64), np.frombuffer(least if self.weigh == "id" else times, np.int64), np.frombuffer(most, np.int64)
             digest = np.array([xxhash.xxh64_intdigest(c) for c in data], np.uint64)
             if splitters is None:
                 bucket = (key % np.uint64(buckets)).astype(np.int64)
@@ -277,25 +282,30 @@ class Search:
 
     def covered(self, t: pa.Table, told: pa.Table, docs: list[np.ndarray]) -> list[np.ndarray]:
         """Pass 5: for each row a mask of the units that a recurring string covers."""
-        masks = [np.zeros(len(d) + 1, np.int32) for d in docs]
+        sizes = np.array([len(d) + 1 for d in docs], np.int64)
+        base = np.cumsum(sizes) - sizes
+        edges = np.zeros(int(sizes.sum()), np.int32)
         if told.num_rows:
             kinds = {"key": np.uint64, "hash": np.uint64, "start": np.int32, "length": np.int32, "value": np.int64}
             got = {c: np.concatenate([np.frombuffer(x, k) for x in told.column(c).to_pylist()]) for c, k in kinds.items()}
-            runs: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-            for x, h, s, n, v in zip(*(got[c].tolist() for c in kinds), strict=True):
-                runs.setdefault((x, h), []).append((s, n, v))
+            order = np.argsort(got["hash"], kind="stable")
+            got = {c: x[order] for c, x in got.items()}
             wanted, ids = np.unique(got["key"]), doc_ids(t)
             for (units, key, at, n, doc), starts in zip(contexts_of(docs, self.size, self.k), long_offsets(docs, self.size), strict=True):
                 own = np.flatnonzero(is_in(key, wanted))
                 width, raw = units.itemsize, memoryview(units).cast("B")
-                for x, s, m, d in zip(key[own].tolist(), at[own].tolist(), n[own].tolist(), doc[own].tolist(), strict=True):
-                    h = xxhash.xxh64_intdigest(raw[s * width : (s + m + self.size - 1) * width])
-                    for o, k, v in runs.get((x, h), ()):
-                        if self.weigh != "id" or v < ids[d]:
-                            first = s + o - starts[d]
-                            masks[d][first] += 1
-                            masks[d][first + k - 1 + self.size] -= 1
-        return [np.cumsum(m[:-1]) > 0 for m in masks]
+                digest = np.fromiter((xxhash.xxh64_intdigest(raw[s * width : (s + m + self.size - 1) * width]) for s, m in zip(at[own].tolist(), n[own].tolist(), strict=True)), np.uint64, len(own))
+                first, past = (np.searchsorted(got["hash"], digest, side) for side in ("left", "right"))
+                runs = past - first
+                own, run = np.repeat(own, runs), np.arange(runs.sum()) + np.repeat(first - np.cumsum(runs) + runs, runs)
+                ok = got["key"][run] == key[own]
+                if self.weigh == "id":
+                    ok &= got["value"][run] < ids[doc[own]]
+                own, run = own[ok], run[ok]
+                place = base[doc[own]] + at[own] + got["start"][run] - starts[doc[own]]
+                np.add.at(edges, place, 1)
+                np.add.at(edges, place + got["length"][run] - 1 + self.size, -1)
+        return [np.cumsum(edges[b : b + n - 1], dtype=np.int32) > 0 for b, n in zip(base.tolist(), sizes.tolist(), strict=True)]
 
     def run(self, docs: DataFrame, finish: Callable, schema: str, splitters: np.ndarray | None = None, rest: list[str] | None = None) -> DataFrame:
         """finish(table, masks, units) -> the result's table for a text group."""
