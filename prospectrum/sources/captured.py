@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from prospectrum.functions.text import present, site_key, url_decoded
 from prospectrum.operators.leads import as_leads, first_seen
+from prospectrum.sources import directories
 
 TAGS = "array<struct<type: string, id: bigint, tags: map<string, string>>>"
 
@@ -113,9 +114,22 @@ def write_csv(df: DataFrame, path: str) -> None:
     csv_cells(df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", lineSep="\n")
 
 
-#: Sources: key -> (source, engine, parser of captured rows).
-REGISTRY: dict[str, tuple[str, str, Callable[[DataFrame], DataFrame]]] = {
+#: Sources in order: key -> (source, engine, parser of captured rows). Parsers that need a second capture take it as "<key>_pages".
+REGISTRY: dict[str, tuple[str, str, Callable[..., DataFrame]]] = {
+    "google_maps": ("google_maps", "capture", directories.google_maps),
+    "google_maps_general": ("google_maps", "capture", directories.google_maps),
     "openstreetmap": ("openstreetmap", "capture", map_elements),
+    "github_orgs": ("github_orgs", "capture", directories.github_orgs),
+    "clutch": ("clutch", "capture", directories.clutch),
+    "goodfirms": ("goodfirms", "capture", directories.goodfirms),
+    "opencorporates": ("opencorporates", "capture", directories.opencorporates),
+    "pseb": ("pseb", "capture", directories.pseb),
+    "topdevelopers": ("topdevelopers", "capture", directories.topdevelopers),
+    "sortlist": ("sortlist", "capture", directories.sortlist),
+    "eventbrite": ("eventbrite", "capture", directories.eventbrite),
+    "designrush": ("designrush", "capture", directories.designrush),
+    "techbehemoths": ("techbehemoths", "capture", directories.techbehemoths),
+    "selectedfirms": ("selectedfirms", "capture", directories.selectedfirms),
     "businesslist": ("businesslist_pk", "capture", linked_data),
 }
 
@@ -129,6 +143,7 @@ def gather(captures: dict[str, DataFrame], at: Column, only: tuple[str, ...] | N
     parts = []
     for i, (key, (source, engine, parse)) in enumerate(REGISTRY.items()):
         if key in captures and (only is None or key in only):
-            rows = stamped(parse(captures[key]), source, engine, key, at)
+            more = [captures[f"{key}_pages"]] if f"{key}_pages" in captures else []
+            rows = stamped(parse(captures[key], *more), source, engine, key, at)
             parts.append(as_leads(rows.withColumn("ord", F.lit(i).cast("long") * (1 << 50) + F.col("ord"))))
     return reduce(lambda a, b: a.unionByName(b), parts)
