@@ -33,6 +33,7 @@ from prospectrum.llm import common
 CHUNK = 1 << 19  # units that are hashed at a time
 LONG = 1 << 20  # documents from this length on are cut; places in a chunk take 20 bits
 NO_ID = np.iinfo(np.int64).max
+BLOCK = 1 << 14  # contexts whose leading bytes are found at a time
 SPLIT = 4  # buckets of contexts for each text group: an index over them takes many times their bytes
 _RNG = np.random.default_rng(20)
 BYTE_HASH = _RNG.integers(0, 2**64, 256, np.uint64)
@@ -142,6 +143,28 @@ def cut_by(values: np.ndarray, buckets: np.ndarray) -> Iterator[tuple[int, np.nd
         yield int(buckets[own[0]]), values[own]
 
 
+def lean(fn: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """fn for a group, after which the worker gives back the memory it no longer uses: workers live on between stages."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = fn(t)
+        common.give_back()
+        return out
+
+    return run
+
+
+def lean2(fn: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """As lean, for two sides."""
+
+    def run(t: pa.Table, other: pa.Table) -> pa.Table:
+        out = fn(t, other)
+        common.give_back()
+        return out
+
+    return run
+
+
 class Search:
     """size: units of a string; k: units of a key; docs_of(table) -> units of each row; bucket_of(keys, contexts'
     leading units) for pass 4; solve(contexts) for pass 4; weigh: what is kept of equal contexts in a group."""
@@ -314,16 +337,16 @@ class Search:
         keep = F.struct(*rest) if rest else F.lit(None).cast("string")
         doc_id = F.col("doc_id").cast("long")
         base = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(groups)).cast("int").alias("_p"), doc_id.alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"), keep.alias("rest")).repartition(groups, "_p")
-        keys = base.groupBy("_p").applyInArrow(self.keys(groups), "bucket int, p int, once binary, more binary")
-        again = keys.groupBy("bucket").applyInArrow(self.repeated, "p int, keys binary").repartition(groups, "p")
-        found = base.groupBy("_p").cogroup(again.groupBy("p")).applyInArrow(self.contexts(SPLIT * groups, splitters), "bucket int, p int, key binary, hash binary, data binary, ends binary, low binary, high binary")
-        told = found.groupBy("bucket").applyInArrow(self.solved(), "p int, key binary, hash binary, start binary, length binary, value binary").repartition(groups, "p")
+        keys = base.groupBy("_p").applyInArrow(lean(self.keys(groups)), "bucket int, p int, once binary, more binary")
+        again = keys.groupBy("bucket").applyInArrow(lean(self.repeated), "p int, keys binary").repartition(groups, "p")
+        found = base.groupBy("_p").cogroup(again.groupBy("p")).applyInArrow(lean2(self.contexts(SPLIT * groups, splitters)), "bucket int, p int, key binary, hash binary, data binary, ends binary, low binary, high binary")
+        told = found.groupBy("bucket").applyInArrow(lean(self.solved()), "p int, key binary, hash binary, start binary, length binary, value binary").repartition(groups, "p")
 
         def last(t: pa.Table, runs: pa.Table) -> pa.Table:
             units = self.units_of(t)
             return finish(t, self.covered(t, runs, units), units)
 
-        return base.groupBy("_p").cogroup(told.groupBy("p")).applyInArrow(last, schema)
+        return base.groupBy("_p").cogroup(told.groupBy("p")).applyInArrow(lean2(last), schema)
 
 
 def is_in(key: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -338,13 +361,17 @@ def doc_ids(t: pa.Table) -> np.ndarray:
 
 
 def leading(data: list[bytes], key: np.ndarray, size: int, k: int) -> np.ndarray:
-    """The key's own bytes (leading bytes of the suffix that starts there) of each context of bytes."""
-    buffer = np.frombuffer(b"".join(data), np.uint8)
-    start = np.concatenate([[0], np.cumsum([len(d) for d in data])[:-1]])
-    h = kgram_hashes(buffer, k)
-    owner = np.repeat(np.arange(len(data)), [len(d) for d in data])[: len(h)]
-    hit = np.flatnonzero(h == key[owner])
-    _, first = np.unique(owner[hit], return_index=True)
-    at = hit[first]
-    assert len(at) == len(start)
-    return np.array([buffer[i : i + k].tobytes() for i in at.tolist()], f"S{k}")
+    """The key's own bytes (leading bytes of the suffix that starts there) of each context of bytes. Hashes take many
+    times the bytes, so they are made for BLOCK contexts at a time."""
+    out = np.empty(len(data), f"S{k}")
+    for b in range(0, len(data), BLOCK):
+        own = data[b : b + BLOCK]
+        sizes = np.array([len(d) for d in own])
+        buffer = np.frombuffer(b"".join(own), np.uint8)
+        h = kgram_hashes(buffer, k)
+        owner = np.repeat(np.arange(len(own)), sizes)[: len(h)]
+        hit = np.flatnonzero(h == key[b : b + BLOCK][owner])
+        found, first = np.unique(owner[hit], return_index=True)
+        assert len(found) == len(own)
+        out[b : b + BLOCK] = [buffer[i : i + k].tobytes() for i in hit[first].tolist()]
+    return out

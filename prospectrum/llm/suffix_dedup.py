@@ -24,12 +24,11 @@ SAMPLE_BYTES = 1_000_000
 
 def sorted_classes(buffer: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
     """Classes of two or more equal strings buffer[i:i+size], i in at, as indexes into at."""
-    b = np.concatenate([buffer, np.zeros(8, np.uint8)]).astype(np.uint64)
-    for n in (1, 2, 4):
-        b = b[:-n] << np.uint64(8 * n) | b[n:]
+    # Letters are gathered for live strings only; all places' letters would take eight times the buffer.
+    b = np.lib.stride_tricks.sliding_window_view(np.concatenate([buffer, np.zeros(8, np.uint8)]), 8)
     live, rank = np.arange(len(at)), np.zeros(len(at), np.int64)
     for done in range(0, size, 8):
-        letter = b[at[live] + done]
+        letter = b[at[live] + done].view(">u8").ravel().astype(np.uint64)
         if size - done < 8:
             letter >>= np.uint64(8 * (8 - size + done))
         order = np.lexsort((letter, rank[live])) if done else np.argsort(letter)
