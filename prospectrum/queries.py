@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from prospectrum.functions import rules, text
 from prospectrum.functions.rules import ICP_WORDS, PREMIUM, PREMIUM_WORDS, REGIONS, SOURCE_POINTS, TAXONOMY, Vocabulary
+from prospectrum.job_queries import job_queries
 from prospectrum.operators import leads, service
 from prospectrum.operators.service import LeadsQuery
 from prospectrum.plans import pipeline
@@ -353,3 +354,4 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 PREMIUM_FALLBACK_SQL = or_sql("lower(concat_ws(' ', coalesce(category, ''), coalesce(company_name, '')))", PREMIUM_WORDS)
 QUERIES["unclassified_score"] = (lambda s, d: leads.scored(raw_leads(s, d)).select("ord", "score"), f"with {BASE_SQL}, h as (select *, coalesce(try_cast(regexp_extract(rating, '^\\d+\\.?\\d*') as double), 0) as rt, coalesce(try_cast(regexp_extract(review_count, '^\\d+') as bigint), 0) as rv, case when {PREMIUM_FALLBACK_SQL} then ['ai-ml'] else ['none'] end as tags, 0 as employee_count from raw) select ord, {SCORE_SQL} as score from h")
 QUERIES |= SOURCE_QUERIES
+QUERIES |= job_queries(raw_leads, scored, BASE_SQL, f"coalesce({KEY_SQL}, {NAME_SQL})", SCORED_SQL)
