@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectrum.llm import common, language, packing, quality, simhash, suffix_dedup
+from prospectrum.llm import common, language, near_copies, packing, quality, suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -28,9 +28,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the least doc_id; documents without an id stay."""
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more, in chains too) the one with the least
+    doc_id; documents without an id stay."""
     docs = docs.select(*COLUMNS)
-    first = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.where("doc_id is not null").select("doc_id", near_copies.node().alias("node"))
+    first = rows.join(near_copies.groups(docs), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     return docs.where("doc_id is not null").join(first, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id is null"))
 
 

@@ -32,11 +32,11 @@ SHORT = 24
 NO_ID = 1 << 62
 
 
-def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
-    """64 majority bits of the shingles' XXH64; 0 without words."""
+def shingles(raw: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The digests (8 bytes each) of XXH64 of all runs of so many words; of fewer words there is one; none without."""
     words = (raw or b"").lower().split()  # bytes: A-Z and the six ASCII blanks only
     if not words:
-        return 0
+        return np.empty((0, 8), np.uint8)
     if len(words) <= shingle:
         hashes = xxhash.xxh64_digest(b" ".join(words), SEED)
     else:
@@ -45,12 +45,20 @@ def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
         starts = np.concatenate([[0], ends[:-1]])
         digest = xxhash.xxh64_digest
         hashes = b"".join([digest(text[a:b], SEED) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)])
-    n = len(hashes) // 8
-    rows = np.frombuffer(hashes, np.uint8).reshape(n, 8)
+    return np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+
+
+def majority(rows: np.ndarray) -> int:
+    """64 majority bits of digests; 0 of none."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
+    for at in range(0, len(rows), 4096):
         ones += np.unpackbits(rows[at : at + 4096], axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(ones * 2 > len(rows)).tobytes(), "big")
+
+
+def fingerprint(raw: bytes | None, shingle: int = SHINGLE) -> int:
+    """64 majority bits of the shingles' XXH64; 0 without words."""
+    return majority(shingles(raw, shingle))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
