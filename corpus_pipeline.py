@@ -28,12 +28,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more, in chains too) the one with the least
-    doc_id; documents without an id stay."""
+    """One row of each group of near copies (five-word shingles, Jaccard 0.8 or more, in chains too): that with the
+    least doc_id, rows without one last; among equal ids that with the least hash of its columns. Repeated rows are
+    copies like any other, so one stays."""
     docs = docs.select(*COLUMNS)
-    rows = docs.where("doc_id is not null").select("doc_id", near_copies.node().alias("node"))
-    first = rows.join(near_copies.groups(docs), "node", "left").groupBy(F.coalesce("root", "node")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(first, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id is null"))
+    row = F.xxhash64(*COLUMNS)
+    rows = docs.select("doc_id", row.alias("row"), near_copies.node().alias("node")).join(near_copies.groups(docs), "node", "left")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = rows.groupBy(F.coalesce("root", "node")).agg(F.min(order).alias("first")).select("first.row", "first.doc_id")
+    copies = rows.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
+    kept = docs.withColumn("row", row).join(common.written(first.join(copies, "row").select("row", "copies")), "row")
+    repeated = kept.where("copies > 1").dropDuplicates(["row"])  # equal in all columns
+    return kept.where("copies = 1").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

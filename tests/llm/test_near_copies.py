@@ -55,3 +55,12 @@ def test_a_large_group_of_near_copies(spark):
     docs = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in cp.near_duplicate_stage(spark, df, "").collect()) == first_of_groups(docs)
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Repeated rows, a second text under an id, and copies without an id."""
+    long, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long), (1, long), (1, other), (2, other + " end"), (None, long), (None, "alone without an id"), (None, "alone without an id"), (3, long + " end")]
+    df = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in cp.near_duplicate_stage(spark, df, "").collect()), key=str)
+    assert got == sorted([(1, long), (1, other), (None, "alone without an id")], key=str)
