@@ -3,7 +3,8 @@
 Vectors get one more component, so that the largest inner product with a query is the nearest point. A shard's
 graph is a flat array of neighbours for each layer; nodes are numbered by falling level, so a layer is a prefix.
 Building and searching move many points in step, with one gather and one product for each step. A query goes to
-every shard; the shards' finds are scored in double precision on the original vectors and merged.
+every shard; the shards' finds are scored in double precision on the original vectors and merged. Equal vectors are
+one node, which holds the least vec_ids, so many as a result can need; finds are expanded to these.
 """
 
 from __future__ import annotations
@@ -170,16 +171,20 @@ def augmented(x: np.ndarray) -> np.ndarray:
 
 
 def build_shard(t: pa.Table) -> pa.Table:
-    """A row that holds a shard: ids, vectors in double precision, layers."""
+    """A row that holds a shard: the nodes' vec_ids (so many each, -1 beyond), vectors in double precision, layers."""
     ids = t.column("vec_id").combine_chunks().to_numpy()
     dim = t.column("dim")[0].as_py()
     x = t.column("v").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, dim)
+    lists = t.column("same").combine_chunks()
+    sizes = np.diff(lists.offsets.to_numpy())
+    held = np.full((len(ids), sizes.max()), -1, np.int64)
+    held[np.arange(held.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
     # Any fixed order that the vectors don't follow: levels are drawn by it.
     order = np.lexsort((ids, (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)))
-    ids, x = ids[order], np.ascontiguousarray(x[order])
+    held, x = np.ascontiguousarray(held[order]), np.ascontiguousarray(x[order])
     graph = build(augmented(x))
     near = b"".join(a.tobytes() for a in graph.near)
-    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": [t.column("shard")[0].as_py()], "ids": pa.array([ids.tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary()), "near": pa.array([near], pa.binary())}).cast(pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("near", pa.binary())]))
+    return pa.table({"dim": pa.array([dim], pa.int32()), "shard": [t.column("shard")[0].as_py()], "ids": pa.array([held.tobytes()], pa.binary()), "x": pa.array([x.tobytes()], pa.binary()), "near": pa.array([near], pa.binary())}).cast(pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("near", pa.binary())]))
 
 
 def stored_graph(points: np.ndarray, near: bytes, m: int = M, m_base: int = M_BASE) -> Graph:
@@ -201,16 +206,20 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame
     are null, empty or zero, or hold null or non-finite components, and rows without vec_id, take no part.
     Vectors meet only those of their own length. A repeated vec_id stands for one row (any of its vectors).
     Extra columns are ignored; an empty table gives an empty result."""
-    v = F.col("embedding").cast("array<double>")
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))  # no -0.0
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(~odd & F.exists("v", lambda x: x != 0)).dropDuplicates(["vec_id"])
     rows = common.written(rows.withColumn("dim", F.size("v")))
-    n = rows.count()
+    same = W.partitionBy(F.xxhash64("v"), "v").orderBy("vec_id")
+    least = rows.withColumn("place", F.row_number().over(same)).where(F.col("place") <= top + 1)
+    nodes = least.groupBy("dim", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("same")).select("dim", "v", "same", F.get("same", F.lit(0)).alias("vec_id"))
+    nodes = common.written(nodes)
+    n = nodes.count()
     shards = max(SHARDS, -(-n // SHARD_ROWS))
     queries = rows.where(F.col("vec_id") % every == 0)
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     common.ship(vectors.sparkSession)
-    index = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInArrow(build_shard, "dim int, shard int, ids binary, x binary, near binary")
+    index = nodes.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).groupBy("dim", "shard").applyInArrow(build_shard, "dim int, shard int, ids binary, x binary, near binary")
     index = common.written(index).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     # The stated query set goes to every shard, block by block.
     asked = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
@@ -220,8 +229,8 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame
         if not shard.num_rows or not q.num_rows:
             return out.empty_table()
         dim = shard.column("dim")[0].as_py()
-        ids = np.frombuffer(shard.column("ids")[0].as_py(), np.int64)
         x = np.frombuffer(shard.column("x")[0].as_py(), np.float64).reshape(-1, dim)
+        ids = np.frombuffer(shard.column("ids")[0].as_py(), np.int64).reshape(len(x), -1)
         graph = stored_graph(augmented(x), shard.column("near")[0].as_py())
         qid = q.column("vec_id").combine_chunks().to_numpy()
         qv = q.column("v").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, dim)
@@ -231,8 +240,13 @@ def nearest(vectors: DataFrame, top: int = TOP, every: int = EVERY) -> DataFrame
             own = qv[at : at + step]
             hit, _ = graph.search(np.pad(own, ((0, 0), (0, 1))).astype(np.float32), top, max(EF_SEARCH, 2 * top))
             score = np.einsum("ijk,ik->ij", x[hit], own)
-            who = ids[hit]
-            score[(hit < 0) | (who == qid[at : at + step, None])] = -np.inf
+            score[hit < 0] = -np.inf
+            # One node more than results, as the query's own may hold nothing else.
+            best = np.lexsort((ids[hit, 0], -score), axis=1)[:, : top + 1]
+            hit, score = np.take_along_axis(hit, best, 1), np.take_along_axis(score, best, 1)
+            who = ids[hit].reshape(len(own), -1)
+            score = np.repeat(score, ids.shape[1], axis=1)
+            score[(who < 0) | (who == qid[at : at + step, None])] = -np.inf
             order = np.lexsort((who, -score), axis=1)[:, :top]
             score, who = np.take_along_axis(score, order, 1), np.take_along_axis(who, order, 1)
             ok = score > -np.inf

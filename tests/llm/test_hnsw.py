@@ -57,3 +57,19 @@ def test_edges(spark):
     got = sorted(tuple(r) for r in hnsw.nearest(df).collect())
     assert got == [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 3, -1.0), (100, 1, 101, 1.0)]
     assert hnsw.nearest(df.limit(0)).collect() == []
+
+
+def test_a_third_of_the_rows_are_one_vector(spark):
+    """Which copies come back, by vec_id, and what is found beside them."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 12)).astype(np.float32).astype(np.float64)
+    x[rng.permutation(6000)[:2000]] = x[0]
+    want = exact(np.arange(6000), x)
+    got = {}
+    for r in hnsw.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    found = {q: [i for _, i in sorted(rows)] for q, rows in got.items()}
+    copies = [q for q in want if (x[q] == x[0]).all()]
+    assert len(copies) > 50 and all(found[q] == [i for i, _ in want[q]] for q in copies if {i for i, _ in want[q]} <= set(np.flatnonzero((x == x[0]).all(1))))
+    assert np.mean([len(set(found[q]) & {i for i, _ in want[q]}) / 20 for q in copies]) >= 0.95
+    assert np.mean([len(set(found[q]) & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.95
