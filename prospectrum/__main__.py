@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from prospectrum.functions.rules import Vocabularies
 from prospectrum.operators import leads, service
 from prospectrum.plans import maintenance, pipeline
 from prospectrum.sources import captured
@@ -19,6 +20,8 @@ def parser() -> argparse.ArgumentParser:
         c = sub.add_parser(name, help=text)
         c.add_argument("source")
         c.add_argument("target")
+        if name in ("run", "ingest", "reclassify"):
+            c.add_argument("--vocabulary", help="JSON file with icp_words, industries or regions in place of the default ones")
         if name == "run":
             c.add_argument("--only", nargs="*", help="sources, by key")
         if name == "reclassify":
@@ -29,19 +32,22 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("prospectrum").getOrCreate()
+    if a.command in ("run", "ingest", "reclassify"):
+        words = Vocabularies.read(spark.read.text(a.vocabulary, wholetext=True).first()[0] if a.vocabulary else "{}")
+        settings = pipeline.Settings(icp_words=words.icp_words, taxonomy=words.taxonomy, regions=words.regions)
     if a.command == "run":
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         root = jvm.org.apache.hadoop.fs.Path(a.source)
         keys = [s.getPath().getName() for s in root.getFileSystem(conf).listStatus(root)]
-        out = pipeline.run(captured.gather({k: spark.read.parquet(f"{a.source}/{k}") for k in keys}, F.current_timestamp(), tuple(a.only) if a.only else None))
+        out = pipeline.run(captured.gather({k: spark.read.parquet(f"{a.source}/{k}") for k in keys}, F.current_timestamp(), tuple(a.only) if a.only else None), settings)
     elif a.command == "ingest":
-        out = pipeline.run(captured.read_runs(spark, a.source))
+        out = pipeline.run(captured.read_runs(spark, a.source), settings)
     elif a.command == "rescore":
         out = maintenance.rescored(spark.read.parquet(a.source))
     elif a.command == "clean":
         out = maintenance.cleaned_table(spark.read.parquet(a.source))
     elif a.command == "reclassify":
-        out = maintenance.reclassified(spark.read.parquet(a.source))
+        out = maintenance.reclassified(spark.read.parquet(a.source), words.taxonomy)
         out = maintenance.collapsed(out.drop("outcome", "before"), "ord") if a.apply else service.counts_by(out, "outcome", "none")
     else:
         captured.write_csv(maintenance.exported(spark.read.parquet(a.source)), a.target)

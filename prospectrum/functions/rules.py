@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import pkgutil
 import re
 from dataclasses import dataclass
 
@@ -22,28 +24,23 @@ class Vocabulary:
         return Vocabulary(tuple((slug, tuple(dict.fromkeys(words.split("|")))) for slug, words in spec.items()))
 
 
-#: A small default; a full taxonomy is given as a parameter.
-TAXONOMY = Vocabulary.of({
-    "ai-ml": "ai|artificial intelligence|machine learning",
-    "web-development": "web|web development|website",
-    "mobile-development": "mobile app|android|ios",
-    "cloud-devops": "cloud|devops|aws",
-    "cybersecurity": "cybersecurity|security",
-    "data-analytics-bi": "data|analytics|bi|etl",
-    "erp-sap": "erp|sap",
-    "blockchain": "blockchain|crypto",
-    "digital-marketing": "seo|ppc|digital marketing",
-    "healthcare": "dental|clinic|hospital",
-    "real-estate": "real estate|estate agent|property",
-    "hospitality-retail": "restaurant|cafe|hotel",
-})
-REGIONS = Vocabulary.of({
-    "north-america": "usa|united states|canada|toronto|new york",
-    "europe": "uk|united kingdom|germany|france|london|berlin",
-    "middle-east": "uae|dubai|saudi arabia|oman|qatar",
-    "south-asia": "pakistan|karachi|lahore|india|bangladesh",
-})
-ICP_WORDS = ("software", "technology", "web", "app", "digital", "agency", "cloud", "clinic", "estate", "consult")
+@dataclass(frozen=True)
+class Vocabularies:
+    icp_words: tuple[str, ...]
+    taxonomy: Vocabulary
+    regions: Vocabulary
+
+    @staticmethod
+    def read(raw: str) -> Vocabularies:
+        """JSON with icp_words, industries and regions (lists of slug and keywords); what it lacks is the default's."""
+        spec = json.loads(DEFAULTS) | json.loads(raw)
+        of = lambda rows: Vocabulary(tuple((x["slug"], tuple(dict.fromkeys(x["keywords"]))) for x in rows))
+        return Vocabularies(tuple(spec["icp_words"]), of(spec["industries"]), of(spec["regions"]))
+
+
+DEFAULTS = pkgutil.get_data("prospectrum", "data/vocabularies.json").decode()
+_DEFAULT = Vocabularies.read("{}")
+ICP_WORDS, TAXONOMY, REGIONS = _DEFAULT.icp_words, _DEFAULT.taxonomy, _DEFAULT.regions
 
 # Size bands, enterprise size, points for sources, premium industries and words, tiers.
 SIZE_BANDS = ((1, "solo"), (10, "small"), (249, "mid"), (999, "large"))
@@ -93,14 +90,19 @@ def haystack(category: Column, name: Column, query: Column, website: Column, pro
 
 def hits(text: Column, vocabulary: Vocabulary, words: bool) -> Column:
     """Buckets with hits, most first: array<struct<less, ord, slug>>, less being minus the distinct keywords found.
-    The literal test before each pattern is exact and saves nearly all pattern work."""
+    The literal test before each pattern is exact and saves nearly all pattern work. Keywords are data, not
+    expressions of their own, so that a large vocabulary doesn't outgrow generated code."""
+
+    def keyword(k: str) -> Column:
+        return F.struct(F.lit(k).alias("k"), F.lit(word_pattern(k)).alias("p"))
+
+    buckets = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(slug).alias("slug"), F.array(*map(keyword, k)).alias("keywords")) for i, (slug, k) in enumerate(vocabulary.buckets)))
 
-    def count(keywords: tuple[str, ...]) -> Column:
-        found = [F.contains(text, F.lit(k)) & text.rlike(word_pattern(k)) if words else F.contains(text, F.lit(k)) for k in keywords]
-        return sum((f.cast("int") for f in found[1:]), found[0].cast("int"))
+    def of(t: Column) -> Column:
+        found = lambda k: F.contains(t, k["k"]) & F.rlike(t, k["p"]) if words else F.contains(t, k["k"])
+        return F.filter(F.transform(buckets, lambda b: F.struct((-F.size(F.filter(b["keywords"], found))).alias("less"), b["ord"].alias("ord"), b["slug"].alias("slug"))), lambda r: r["less"] < 0)
 
-    rows = [F.struct((-count(k)).alias("less"), F.lit(i).alias("ord"), F.lit(slug).alias("slug")) for i, (slug, k) in enumerate(vocabulary.buckets)]
-    return F.array_sort(F.filter(F.array(*rows), lambda r: r["less"] < 0))
+    return F.array_sort(F.get(F.transform(F.array(text), of), F.lit(0)))  # the text is made once
 
 
 def slugs(found: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,10 +81,7 @@ def first_rows(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
 
 def icp(df: DataFrame, words: tuple[str, ...] = ICP_WORDS) -> DataFrame:
     hay = F.lower(F.concat_ws(" ", F.coalesce("category", F.lit("")), F.coalesce("company_name", F.lit(""))))
-    any_of = F.lit(False)
-    for w in words:
-        any_of = any_of | F.contains(hay, F.lit(w))
-    return df.where(any_of)
+    return df.where(hay.rlike("|".join(map(re.escape, words))) if words else F.lit(False))
 
 
 def _dead() -> Column:

@@ -76,3 +76,14 @@ def test_commands(spark, tmp_path):
     assert captured.read_runs(spark, str(tmp_path / "csv")).count() == 2
     cli.main(["clean", str(tmp_path / "t"), str(tmp_path / "k")], spark)
     assert spark.read.parquet(str(tmp_path / "k")).count() == 2
+
+
+def test_commands_use_the_whole_vocabularies(spark, tmp_path):
+    """A bank in Nairobi and a courier in Sydney pass and get their classes; --vocabulary puts others in place."""
+    rows = [{"ord": i, "company_name": n, "website": f"x{i}.com", "phone": "+1 555 1", "linkedin": "https://linkedin.com/company/x", "address": a, "rating": "5", "review_count": "500", "source": "businesslist_ng"} for i, (n, a) in enumerate([("First Bank", "Nairobi, Kenya"), ("Fast Courier", "Sydney"), ("Cemetery", "Lagos")])]
+    captured.write_csv(lead_rows(spark, rows), str(tmp_path / "in"))
+    cli.main(["ingest", str(tmp_path / "in"), str(tmp_path / "out")], spark)
+    assert {(r.company_name, r.industry, r.region) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("First Bank", "finance-insurance", "africa"), ("Fast Courier", "logistics-transport", "apac-anz")}
+    (tmp_path / "v.json").write_text('{"icp_words": ["cemetery"], "regions": [{"slug": "nigeria", "keywords": ["lagos"]}]}')
+    cli.main(["ingest", str(tmp_path / "in"), str(tmp_path / "own"), "--vocabulary", str(tmp_path / "v.json")], spark)
+    assert [(r.company_name, r.region) for r in spark.read.parquet(str(tmp_path / "own")).collect()] == [("Cemetery", "nigeria")]
