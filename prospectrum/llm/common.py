@@ -8,16 +8,20 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prospectrum.runtime import ship, table
 
-__all__ = ["documents", "shared_folder", "written", "slices", "text_bytes", "tokenizer_file", "table", "ship"]
+__all__ = ["documents", "shared_folder", "written", "slices", "sized", "text_bytes", "tokenizer_file", "table", "ship"]
 
 #: Bytes of text that one group of a two-sided pass holds in a Python worker.
 GROUP_BYTES = 12_000_000
+#: Bytes of text that are worked on at a time where whole columns are.
+SLICE_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +63,17 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(at, rows)
 
 
+def sized(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Record batches of up to so many bytes in a string or binary column; a longer value stands alone."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at, before = 0, 0
+        while at < b.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield b.slice(at, stop - at)
+            at, before = stop, int(ends[stop - 1])
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0)
 

@@ -1,31 +1,37 @@
-"""Encoding with the tokenizers library, at the speed of a lookup for pieces of text seen before.
+"""Encoding with the tokenizers library, in which each distinct pre-token goes through the library's model once.
 
-A text is cut at single spaces. Each cut is a token boundary of both tokenizers used here (see
-``ByteEncoder`` and ``WordEncoder``), so the ids of a text are the ids of its cuts in a row, and each
-distinct cut goes through the library's model once per worker. Where a cut is no certain boundary,
-the whole text goes through the library.
+Pre-tokens are cut by ``pretokens``; what that leaves to its caller, and everything where a tokenizer's file
+says other rules than the two that are known here, goes through the library as it is.
 """
 
 from __future__ import annotations
 
-import re
+import json
 from array import array
 
 import numpy as np
+import pyarrow as pa
 
+from prospectrum.llm import pretokens
 from prospectrum.llm.common import quiet_tokenizers
 
-#: Entries after which a worker's cache starts anew (bounds memory, never results).
-CACHE_ENTRIES = 400_000
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
 
-_ENCODERS: dict[tuple[str, str], object] = {}
+# Normaliser and pre-tokenizer for which pretokens cuts as the library does.
+RULES = {
+    "byte": (None, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}),
+    "word": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    ),
+}
 
 
-def encoder(kind: str, path: str):
+def encoder(kind: str, path: str) -> Encoder:
     """The worker's encoder: kind "word" or "byte"."""
     key = (kind, path)
     if key not in _ENCODERS:
-        _ENCODERS[key] = {"word": WordEncoder, "byte": ByteEncoder}[kind](path)
+        _ENCODERS[key] = Encoder(kind, path)
     return _ENCODERS[key]
 
 
@@ -39,20 +45,16 @@ def byte_letters() -> dict[int, str]:
 LETTERS = byte_letters()
 
 
-class _Lazy(dict):
-    """A dictionary that computes what it lacks."""
+def known_rules(kind: str, path: str) -> bool:
+    """Whether the tokenizer's file has the rules of its kind, and added tokens only that hold a <."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    own = (spec.get("normalizer"), spec.get("pre_tokenizer"))
+    return own == RULES[kind] and all("<" in t["content"] for t in spec.get("added_tokens", []))
 
-    def __init__(self, compute) -> None:
-        super().__init__()
-        self.compute = compute
 
-    def __missing__(self, key):
-        value = self[key] = self.compute(key)
-        return value
-
-
-class _Encoder:
-    def __init__(self, path: str) -> None:
+class Encoder:
+    def __init__(self, kind: str, path: str) -> None:
         quiet_tokenizers()
         from tokenizers import Tokenizer
 
@@ -60,84 +62,30 @@ class _Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.model = self.tok.model
-        self.cache, self.parts = _Lazy(self.chunk), _Lazy(self.part)
+        self.rule = {"byte": pretokens.BYTE, "word": pretokens.WORD}[kind] if known_rules(kind, path) else None
+        self.known = pretokens.Known(self.learn)
 
     def library(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def part(self, piece: str) -> bytes:
-        """Ids of one pre-token, handed to the model in the byte-level alphabet."""
-        letters = "".join(map(LETTERS.__getitem__, piece.encode()))
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-
-    def trim(self) -> None:
-        for d in (self.cache, self.parts):
-            if len(d) > CACHE_ENTRIES:
-                d.clear()
-
+    def learn(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens, handed to the model in the byte-level alphabet."""
+        letter, tokenize = LETTERS.__getitem__, self.model.tokenize
+        return [array("I", [t.id for t in tokenize("".join(map(letter, p)))]).tobytes() for p in pieces]
 
-class WordEncoder(_Encoder):
-    """For the lower-casing tokenizer that drops white space: white space always ends a token, the
-    normaliser works by character, and no combining mark joins a space; so any space is a boundary.
-    A cut of small Latin letters, digits and signs without an apostrophe is split here into runs of
-    letters, single digits and runs of signs, as the pre-tokenizer does; others go to the library."""
-
-    _is_plain = re.compile(r"[a-zß-öø-ÿ0-9!-&(-;=-@\[-`{-~]*").fullmatch
-    _plain = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
-
-    def chunk(self, c: str) -> bytes:
-        if not self._is_plain(c):
-            return self.library(c)
-        return b"".join(map(self.parts.__getitem__, self._plain(c)))
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null is the empty text."""
-        self.trim()
-        get, out = self.cache.__getitem__, []
-        for t in texts:
-            if not t:
-                out.append(b"")
-                continue
-            try:
-                t.encode("latin-1")
-                t = t.lower()  # by character, as the library does; elsewhere the final sigma differs
-            except UnicodeEncodeError:
-                pass
-            out.append(b"".join(map(get, t.replace("\n", " ").split(" "))))
-        return out
-
-
-class ByteEncoder(_Encoder):
-    """For the byte-level tokenizer, whose pieces take one leading space: before a cut that is not
-    empty and neither begins nor ends with white space, the single space always begins a piece.
-    Plain Latin cuts without an apostrophe are split by the library's own pattern, written for them."""
-
-    _is_plain = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-;=-@\[-`{-~\n]*").fullmatch
-    _plain = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-zÀ-ÖØ-öø-ÿ0-9]+|\s+(?!\S)|\s+").findall
-
-    def chunk(self, c: str) -> bytes:
-        """Ids of a cut with the space before it; a ValueError where the space is no certain boundary."""
-        if not c or c[0].isspace() or c[-1].isspace():
-            raise ValueError(c)
-        if not self._is_plain(c):
-            return self.library(" " + c)
-        return b"".join(map(self.parts.__getitem__, self._plain(" " + c)))
-
-    def head(self, c: str) -> bytes:
-        return b"".join(map(self.parts.__getitem__, self._plain(c))) if self._is_plain(c) else self.library(c)
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ends with a leading zero, ids) of a column of strings in a row; null is the empty text."""
+        if self.rule is None:
+            rows = [self.library(t or "") for t in texts.to_pylist()]
+            return np.cumsum([0, *map(len, rows)]) // 4, as_ids(b"".join(rows))
+        t = pretokens.cut(texts, self.rule)
+        ends, data = t.join(self.known(t.pieces), [self.library(c) if c else b"" for c in t.others])
+        return ends.astype(np.int64) // 4, data.view("<u4")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        self.trim()
-        get, out = self.cache.__getitem__, []
-        for t in texts:
-            head, *rest = t.split(" ") if t else ("",)
-            try:
-                if rest and head and head[-1].isspace():
-                    raise ValueError(head)
-                out.append(b"".join([self.head(head), *map(get, rest)]))
-            except ValueError:
-                out.append(self.library(t))
-        return out
+        """Little-endian unsigned 32-bit ids of each text."""
+        ends, ids = self.column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def as_ids(raw: bytes) -> np.ndarray:

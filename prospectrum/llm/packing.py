@@ -24,7 +24,7 @@ from prospectrum.llm import common
 #: Ranks of one length are counted in so many shares at least, and in one more for so many pieces.
 SHARES, ROWS_A_SHARE = 32, 1_000_000
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -112,37 +112,43 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """One row for each piece of each document's ids (with the end id), capacity at most."""
+    """One row for each piece of each document's ids (with the end id), capacity at most; nth counts a task's pieces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from prospectrum.llm.fast_encode import encoder
 
-        enc = encoder("word", tokenizer)
-        tail = np.asarray([end_id], "<u4").tobytes()
-        for b in common.slices(batches):
-            out: list[tuple] = []
-            for d, ids in zip(b.column("doc_id").to_pylist(), enc.encode(b.column("text").to_pylist()), strict=True):
-                ids += tail
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out.append((d, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        enc, end, nth = encoder("word", tokenizer), np.asarray([end_id], "<u4"), 0
+        for b in common.sized(batches, "text"):
+            ends, flat = enc.column(b.column("text"))
+            sizes = np.diff(ends) + 1
+            pieces = -(-sizes // capacity)
+            of = np.repeat(np.arange(len(sizes)), pieces)
+            piece = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = piece * capacity
+            length = np.minimum(capacity, sizes[of] - start)
+            raw = memoryview(np.insert(flat, ends[1:], end)).cast("B")
+            first = 4 * ((ends[:-1] + np.arange(len(sizes)))[of] + start)
+            crc = [zlib.crc32(raw[i:j]) for i, j in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.arange(nth, nth + len(of)))], names=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
+            nth += len(of)
+            common.give_back()
 
     return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), cut, PIECES)
 
 
 def place_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
-    """Adds sequence_id and offset to rows that have doc_id, piece and length; pieces is read three times."""
+    """Adds sequence_id and offset to a written table of pieces, which is read three times. Shares are drawn by the
+    rows' numbers, so that equal rows don't meet in one."""
     n = pieces.count()
     shares = max(SHARES, -(-n // ROWS_A_SHARE))
-    salted = pieces.withColumn("_share", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shares)).cast("int"))
+    salted = pieces.withColumn("_share", F.pmod(F.xxhash64("nth", "ids_crc32"), F.lit(shares)).cast("int"))
     per_share = salted.groupBy("length", "_share").agg(F.count(F.lit(1)).alias("_n"))
     # At most capacity lengths, whatever the corpus.
     counts = {r["length"]: r["_n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("_n")).collect()}
     plan = sorted(plan_packing(counts, capacity))
     before = W.partitionBy("length").orderBy("_share").rowsBetween(W.unboundedPreceding, -1)
     starts = per_share.select("length", "_share", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = W.partitionBy("length", "_share").orderBy("doc_id", "piece")
+    within = W.partitionBy("length", "_share").orderBy("doc_id", "piece", "ids_crc32", "nth")
     ranked = salted.withColumn("_rank", F.row_number().over(within) - 1).join(starts, ["length", "_share"]).withColumn("_rank", F.col("_rank") + F.col("_before")).drop("_share", "_before")
     table = np.asarray(plan, np.int64).reshape(-1, 6)
     shift = max(40, int(table[:, 2].max(initial=1)).bit_length() + 1)  # ranks fit below the length
@@ -167,9 +173,10 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id:
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     A null or empty text is the end id alone. A text of more than ``capacity`` tokens is cut into pieces of
-    that length; the last may be shorter. Rows that repeat are packed each for itself. An empty table gives
-    an empty result. Extra columns are ignored, whatever their names. The tokens are computed once: the
-    pieces (five numbers each) are written to the shared folder before they are counted and ranked."""
+    that length, however long it is; the last may be shorter. Rows that repeat, or share a doc_id or have none, are
+    packed each for itself; pieces of one length are alike, so ties of doc_id change who is where, not how many
+    sequences there are. An empty table gives an empty result. Extra columns are ignored, whatever their names. The
+    tokens are computed once: the pieces (six numbers each) are written to the shared folder before they are counted and ranked."""
     pieces = common.written(cut_pieces(docs, tokenizer, capacity, end_id))
     return place_pieces(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
