@@ -41,21 +41,46 @@ def test_op9_recall_and_scores(spark, sf):
     assert hits / total >= 0.95
 
 
-def test_one_graph_on_uneven_vectors():
+def vectors(kind, n):
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(6000, 24)) * rng.uniform(0.2, 3, (6000, 1)) + rng.normal(size=(12, 24))[rng.integers(0, 12, 6000)] * 3
+    x = rng.normal(size=(n, 64))
+    if kind == "uneven":
+        return x * rng.uniform(0.2, 3, (n, 1))
+    if kind == "clustered":
+        return x * 0.3 + (rng.normal(size=(50, 64)) * rng.uniform(0.5, 2, (50, 1)))[rng.integers(0, 50, n)]
+    if kind == "apart":  # clusters at right angles, of very different lengths
+        c = rng.integers(0, 16, n)
+        x *= 0.02
+        x[np.arange(n), 4 * c] += 2.0 ** -(c // 2)
+    return x
+
+
+@pytest.mark.parametrize("kind, share", [("normal", 0.5), ("uneven", 0.4), ("clustered", 0.1), ("apart", 0.15)])
+def test_recall_of_one_graph(kind, share):
+    """Queries that are no nodes; share: of the points that a search looks at, at most."""
+    x = vectors(kind, 12_200)
+    x, q = x[:12_000], x[12_000:]
     graph = hnsw.build(hnsw.augmented(x))
-    q = x[:200]
-    got, _ = graph.search(np.pad(q, ((0, 0), (0, 1))).astype(np.float32), 20, 112)
+    assert len(graph.sizes) == 3
+    graph.seen_points = 0
+    got = graph.search(np.pad(q, ((0, 0), (0, 1))).astype(np.float32), hnsw.EF_SEARCH)
+    assert graph.seen_points <= share * len(q) * len(x)
     want = np.argsort(-(q @ x.T), axis=1)[:, :20]
-    assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(got, want, strict=True)]) >= 0.9
+    assert np.mean([len(set(a[:20].tolist()) & set(b.tolist())) / 20 for a, b in zip(got, want, strict=True)]) >= 0.9
+
+
+def test_repeated_ids_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [9.0, 0.0]), (-7, [2.0, 0.0]), (0, [1.0, 0.0])]
+    got = sorted(tuple(r) for r in hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    own = [(0, 1, 1, 9.0), (0, 2, -7, 2.0), (0, 3, 0, 1.0), (0, 4, 1, 1.0)]
+    assert got == sorted(own + own)
 
 
 def test_edges(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [1.0, None]), (80, [float("nan"), 1.0]), (None, [1.0, 1.0]), (1, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [-1.0, 5.0]), (100, [1.0, 2.0, 3.0]), (101, [1.0, 0.0, 0.0]), (120, []), (140, [float("inf"), 0.0]), (2, [2.0, 0.0])]
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, rank string, block int")
     got = sorted(tuple(r) for r in hnsw.nearest(df).collect())
-    assert got == [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 3, -1.0), (100, 1, 101, 1.0)]
+    assert got == [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 2, 2.0), (0, 4, 3, -1.0), (100, 1, 101, 1.0)]
     assert hnsw.nearest(df.limit(0)).collect() == []
 
 
