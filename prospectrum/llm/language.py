@@ -18,9 +18,11 @@ from prospectrum.llm import common
 from prospectrum.llm.linear import linear_svm, margin, sigmoid
 
 DIM = 4096
-#: Bound of the training sample: rows of each language. Which rows is decided by a hash of doc_id.
-TRAIN_ROWS = 700
-LANGUAGES = 200
+#: Bounds of the training sample: rows of each language, and of all where there are many languages, of which each
+#: keeps LEAST_ROWS. Which rows is decided by a hash of doc_id and text.
+TRAIN_ROWS, ALL_ROWS, LEAST_ROWS = 700, 20_000, 5
+#: Languages up to which their table of chances is broadcast (a code and a number each).
+BROADCAST_LANGUAGES = 50_000
 
 #: Families of common language codes; any other code is a family of its own.
 FAMILIES = {
@@ -96,12 +98,14 @@ def held_out(doc_id: F.Column) -> F.Column:
 def train(docs: DataFrame) -> Model | None:
     """From a bounded sample of texts with a language; None where there is none."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    counts = common.written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    languages = counts.count()
+    if not languages:
         return None
-    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1_000_000))
-    chance = F.create_map(*[x for v, n in counts.items() for x in (F.lit(v), F.lit(int(1_000_000 * TRAIN_ROWS / n) + 1))])
-    picked = known.where(draw < F.element_at(chance, F.col("lang")))
+    rows_each = max(LEAST_ROWS, min(TRAIN_ROWS, ALL_ROWS // languages))
+    chances = counts.select("lang", (F.lit(1_000_000 * rows_each) / F.col("n") + 1).cast("long").alias("_chance"))
+    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1_000_000))
+    picked = known.join(F.broadcast(chances) if languages <= BROADCAST_LANGUAGES else chances, "lang").where(draw < F.col("_chance")).select("doc_id", "text", "lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
@@ -120,9 +124,10 @@ def has_letter(text: str | None) -> bool:
 def identify(docs: DataFrame) -> DataFrame:
     """All columns of docs with lang_pred and score added (columns of those names are replaced).
 
-    The model learns from text and lang of the rows that aren't held out. ``und`` with score 0 where the text is
-    null or has no letter, or nothing could be learned. Repeated rows get equal predictions; an empty table gives
-    an empty result."""
+    The model learns from text and lang of a bounded sample of the rows that aren't held out; every language among
+    them can be predicted. ``und`` with score 0 where the text is null or has no letter, or nothing could be learned.
+    A text of any length is looked at whole, a megabyte at a time. Ties of votes go to the larger sum of margins,
+    then to the later code. Repeated rows get equal predictions; an empty table gives an empty result."""
     model = train(docs)
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     kinds = dict(docs.dtypes)

@@ -1,4 +1,8 @@
+import zlib
+from collections import Counter
+
 import duckdb
+import numpy as np
 import pytest
 
 from prospectrum.llm import language, quality
@@ -57,3 +61,88 @@ def test_op6_edges(spark, edge_docs, empty_docs):
     assert all(r.accepted for r in quality.classify(edge_docs, labels.where("quality = 1")).collect())
     assert quality.classify(empty_docs, labels).collect() == []
     assert all(r.accepted for r in quality.classify(edge_docs, labels.limit(0)).collect())
+
+
+def test_op2_against_plain_votes(spark):
+    """Trigrams by a dictionary, families and votes by loops, with the weights that were learned."""
+    docs = documents(spark, SF)
+    model = language.train(docs.select("doc_id", "text", "lang"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.op2_language_id(spark, SF).collect()}
+    for r in docs.limit(60).collect():
+        if not language.has_letter(r.text):
+            continue
+        raw = b" " + bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in r.text.lower().encode()) + b" "
+        counts = Counter(raw[i : i + 3] for i in range(len(raw) - 2))
+        x = np.zeros(language.DIM)
+        for g, n in counts.items():
+            x[(int.from_bytes(g, "big") * 2654435761 % 2**32) >> 20] += n
+        x = np.sqrt(x)
+        x /= np.linalg.norm(x)
+        by_family = {f: float(model.top[f][:-1] @ x + model.top[f][-1]) for f in model.families} if model.top else {model.families[0]: 1.0}
+        family = max(by_family, key=by_family.get)
+        names = model.members[family]
+        votes, total = Counter(), Counter()
+        for (a, b), w in model.pairs.items():
+            if a in names:
+                z = float(w[:-1] @ x + w[-1])
+                votes[a if z > 0 else b] += 1
+                total[a] += z
+                total[b] -= z
+        assert got[r.doc_id][0] == max(names, key=lambda n: (votes[n], total[n], n))
+
+
+def test_op2_learns_every_language(spark):
+    """More languages than the sample has rows for each; none is left out."""
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 30, f"l{i % 300}") for i in range(300 * 12)]
+    model = language.train(spark.createDataFrame([(i, t, v) for i, t, v in rows], "doc_id long, text string, lang string"))
+    assert sum(map(len, model.members.values())) == 300
+
+
+def test_op6_against_co_training_in_one_process(spark):
+    """The same rounds over all rows at once, with each row's gradient and curvature added up plainly."""
+    docs, labels = documents(spark, SF), table(spark, SF, "labels")
+    model = quality.fit(docs, labels)
+    rows = sorted(quality.own_columns(docs).collect(), key=lambda r: r.doc_id)
+    views = [quality.text_view([r.text for r in rows]).astype(np.float32).astype(float), quality.meta_view([r.source for r in rows], [r.lang for r in rows], [r.n_chars for r in rows])]
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality in (0, 1)}
+    place = [i for i, r in enumerate(rows) if r.doc_id in known]
+    free = [i for i, r in enumerate(rows) if r.doc_id not in known]
+
+    def passes(models):
+        out = []
+        for k in (0, 1):
+            sums = []
+            for label in (0, 1):
+                n, g, h = 0, 0.0, 0.0
+                for i in free:
+                    p = 1 / (1 + np.exp(-(views[1 - k][i] @ models[1 - k][:-1] + models[1 - k][-1])))
+                    if (p if label else 1 - p) >= quality.CONFIDENT:
+                        z = np.append(views[k][i], 1)
+                        q = 1 / (1 + np.exp(-(z @ models[k])))
+                        n, g, h = n + 1, g + z * (q - label), h + np.outer(z, z) * q * (1 - q)
+                width = views[k].shape[1] + 1
+                sums.append(np.concatenate([[n], np.zeros(width) + g, (np.zeros((width, width)) + h).ravel()]))
+            out.append(sums)
+        return out
+
+    plain = quality.CoTraining([v[place] for v in views], np.array([known[rows[i].doc_id] for i in place]), passes)
+    assert all(np.allclose(a, b, atol=1e-2) for a, b in zip(model.models, plain.models, strict=True))
+    got = {r.doc_id: (r.text_score, r.meta_score, r.quality_score) for r in quality.classify(docs, labels).collect()}
+    want = np.stack(plain.score(views), axis=1)
+    assert np.abs(np.array([got[r.doc_id] for r in rows]) - want).max() < 1e-2
+
+
+def test_texts_beyond_a_megabyte():
+    """Chunks change nothing: features of a long text equal those of its counts."""
+    text = "ab cd! " * 400_000 + "é" * 100
+    raw = b" " + text.lower().encode().translate(language._BLANK) + b" "
+    x = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    code = ((x[:-2] << 16 | x[1:-1] << 8 | x[2:]) * 2654435761 % 2**32) >> 20
+    want = np.sqrt(np.bincount(code.astype(np.int64), minlength=language.DIM))
+    assert np.allclose(language.features([text])[0], want / np.linalg.norm(want), atol=1e-5)
+    view = quality.text_view([text])[0]
+    classes = quality._CLASS[np.frombuffer(text.encode(), np.uint8)]
+    pairs = np.bincount(classes[:-1].astype(int) * 8 + classes[1:], minlength=64)
+    assert np.allclose(view[:64], np.sqrt(pairs / pairs.sum()))
+    words = Counter(zlib.crc32(w) % quality.WORDS for w in text.encode().split())
+    assert np.allclose(view[72:] ** 2, [words[k] / words.total() for k in range(quality.WORDS)])
