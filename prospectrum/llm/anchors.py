@@ -334,7 +334,7 @@ class Search:
         """finish(table, masks, units) -> the result's table for a text group."""
         common.ship(docs.sparkSession)
         groups = common.groups_for(common.text_bytes(docs))
-        keep = F.struct(*rest) if rest else F.lit(None).cast("string")
+        keep = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest))) if rest else F.lit(None).cast("string")
         doc_id = F.col("doc_id").cast("long")
         base = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(groups)).cast("int").alias("_p"), doc_id.alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"), keep.alias("rest")).repartition(groups, "_p")
         keys = base.groupBy("_p").applyInArrow(lean(self.keys(groups)), "bucket int, p int, once binary, more binary")

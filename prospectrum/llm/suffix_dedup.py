@@ -1,9 +1,10 @@
 """Removal of repeated byte strings with range-partitioned suffix arrays (operator 3).
 
-Suffixes are those that can repeat: the strings of contexts whose key recurs (see ``anchors``). Sampled
-splitters deal them to buckets by the leading bytes at their key, so equal strings never lie on two sides of
-a bucket's boundary. A bucket sorts its suffixes by multikey quicksort, eight bytes at a time for all ties at
-once; neighbours that agree in all bytes form a class, whose least doc_id decides.
+Suffixes are those that can repeat: the strings of contexts whose key recurs (see ``anchors``); that is a filter,
+which drops only strings that occur once. Sampled splitters deal contexts to buckets by the leading bytes at their
+key. A bucket sorts its suffixes by multikey quicksort; strings that agree in all bytes form a class, whose least
+doc_id decides. A splitter is as long as a key, and equal strings have equal keys at equal places: so the strings on
+the two sides of a bucket's boundary differ in their keys, and comparing across it could find nothing.
 """
 
 from __future__ import annotations
@@ -19,31 +20,74 @@ from pyspark.sql import functions as F
 from prospectrum.llm import anchors, common
 
 SIZE, KEY = 50, 16
+#: Groups of so many strings are ordered without a pivot.
+FEW = 4096
 SAMPLE_BYTES = 1_000_000
 
 
+def letters(b: np.ndarray, at: np.ndarray, depth: np.ndarray, size: int) -> np.ndarray:
+    """Eight bytes of each string from its depth on as one number, bytes beyond the string's end as zeros."""
+    out = b[at + depth].view(">u8").ravel().astype(np.uint64)
+    beyond = np.maximum(depth + 8 - size, 0).astype(np.uint64) * np.uint64(8)
+    return out >> beyond << beyond
+
+
+def partitioned(of: np.ndarray, side: np.ndarray, groups: int) -> np.ndarray:
+    """The order that puts the members of each group, which stand together, below, at and above its pivot."""
+    key = 3 * of + side.astype(np.int64)
+    counts = np.bincount(key, minlength=3 * groups)
+    start = np.cumsum(counts) - counts
+    order = np.empty(len(of), np.int64)
+    for s in range(3):
+        own = np.flatnonzero(side == s)
+        before = np.cumsum(counts[s::3]) - counts[s::3]
+        order[(start[s::3] - before)[of[own]] + np.arange(len(own))] = own
+    return order
+
+
 def sorted_classes(buffer: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
-    """Classes of two or more equal strings buffer[i:i+size], i in at, as indexes into at."""
+    """Classes of two or more equal strings buffer[i:i+size], i in at, as indexes into at; buckets are sorted by
+    multikey quicksort with eight bytes for a letter.
+
+    A group of strings that agree up to its depth is split at a pivot letter into those below, at and above it;
+    those at it go eight bytes deeper. All groups are split in step. Groups of up to FEW are put in order by their
+    letters at once, and then split where neighbours differ."""
     # Letters are gathered for live strings only; all places' letters would take eight times the buffer.
-    b = np.lib.stride_tricks.sliding_window_view(np.concatenate([buffer, np.zeros(8, np.uint8)]), 8)
-    live, rank = np.arange(len(at)), np.zeros(len(at), np.int64)
-    for done in range(0, size, 8):
-        letter = b[at[live] + done].view(">u8").ravel().astype(np.uint64)
-        if size - done < 8:
-            letter >>= np.uint64(8 * (8 - size + done))
-        order = np.lexsort((letter, rank[live])) if done else np.argsort(letter)
-        live, letter = live[order], letter[order]
-        if not len(live):
-            break
-        new = np.concatenate([[True], (letter[1:] != letter[:-1]) | (rank[live[1:]] != rank[live[:-1]])])
-        first = np.flatnonzero(new)
-        sizes = np.diff(np.append(first, len(live)))
-        rank[live] = np.repeat(first, sizes)
-        live = live[np.repeat(sizes > 1, sizes)]
-    if not len(live):
+    b = np.lib.stride_tricks.sliding_window_view(np.concatenate([buffer, np.zeros(size + 8, np.uint8)]), 8)
+    live = np.arange(len(at))
+    sizes, depth = np.array([len(at)]) if len(at) > 1 else np.empty(0, np.int64), np.zeros(1 if len(at) > 1 else 0, np.int64)
+    live = live[: int(sizes.sum())]
+    found: list[np.ndarray] = []
+    ends: list[np.ndarray] = []
+    while len(live):
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        letter = letters(b, at[live], depth[of], size)
+        first = np.cumsum(sizes) - sizes
+        # The middle one of three letters of each group is its pivot.
+        three = np.stack([letter[first], letter[first + sizes // 2], letter[first + sizes - 1]])
+        pivot = np.sort(three, axis=0)[1][of]
+        few = (sizes <= FEW)[of]
+        side = (letter >= pivot).astype(np.uint64) + (letter > pivot)
+        order = partitioned(of, side, len(sizes))
+        if few.any():
+            small = np.flatnonzero(few)  # their own places: groups don't move
+            order[small] = small[np.lexsort((letter[small], of[small]))]
+        live, letter, side, few = live[order], letter[order], side[order], few[order]
+        new = np.concatenate([[True], (of[1:] != of[:-1]) | np.where(few[1:], letter[1:] != letter[:-1], side[1:] != side[:-1])])
+        start = np.flatnonzero(new)
+        group = of[start]
+        deeper = depth[group] + np.where(few[start] | (side[start] == 1), 8, 0)
+        sizes = np.diff(np.append(start, len(live)))
+        done = (deeper >= size) & (sizes > 1)
+        if done.any():
+            found.append(live[np.repeat(done, sizes)])
+            ends.append(sizes[done])
+        go = (sizes > 1) & ~done
+        live, sizes, depth = live[np.repeat(go, sizes)], sizes[go], deeper[go]
+    if not found:
         return []
-    edges = np.flatnonzero(np.diff(rank[live])) + 1
-    return [live, np.concatenate([[0], edges])]
+    sizes = np.concatenate(ends)
+    return [np.concatenate(found), np.cumsum(sizes) - sizes]
 
 
 def least_ids(contexts: list[bytes], key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -124,9 +168,9 @@ def suffix_array_dedup(docs: DataFrame) -> DataFrame:
     ``removed`` is replaced."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "removed")]
     kinds = dict(docs.dtypes)
-    inner = "string" if not rest else "struct<" + ",".join(f"`{c}`:{kinds[c]}" for c in rest) + ">"
+    inner = "string" if not rest else "struct<" + ",".join(f"c{i}:{kinds[c]}" for i, c in enumerate(rest)) + ">"
     out = run(docs, remaining, f"doc_id long, text string, removed array<struct<start: long, end: long>>, rest {inner}", rest)
-    return out.select("doc_id", "text", *([F.col("rest").getField(c).alias(c) for c in rest]), "removed")
+    return out.select("doc_id", "text", *([F.col(f"rest.c{i}").alias(c) for i, c in enumerate(rest)]), "removed")
 
 
 def suffix_dedup_digest(docs: DataFrame) -> DataFrame:
