@@ -23,8 +23,10 @@ def padded(raw: bytes) -> bytes:
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media (a JPEG file) of each whole text. Null is the empty text; repeated rows are
-    encoded each; an empty table gives an empty one; extra columns are ignored."""
+    """doc_id, n_bytes and media (a JPEG file) of each whole text. Null is the empty text; repeated rows, and rows that
+    share a doc_id or have none, are encoded each; an empty table gives an empty one; extra columns are ignored. A
+    text is one file whatever its length, as long as a side of at most 65,535 pixels can hold it (over 4 GB); it is
+    held in memory whole, with about forty bytes for each of its own while it is decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches, 256):
@@ -51,21 +53,22 @@ def decode_media(stored: DataFrame) -> DataFrame:
     return common.map_arrow(stored.select("doc_id", "media"), run, "doc_id long, width int, height int, rgb binary")
 
 
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, rgb binary"
 
 
 def digest_media(stored: DataFrame) -> DataFrame:
-    """What the stored files hold, from their bytes."""
+    """What the stored files hold, from their bytes, with the full-resolution RGB tensor of each (row by row, three
+    bytes a pixel). The feature is computed from the tensor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, 128):
+        for b in common.slices(batches, 64):
             out = []
             for d, n, m in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True):
                 frame = jpeg.decode(m)
-                p = jpeg.payload_of(frame)
-                out.append((d, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(jpeg.tensor(frame))))
+                p, rgb = jpeg.payload_of(frame), jpeg.tensor(frame)
+                out.append((d, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(rgb), rgb.shape[1], rgb.shape[0], rgb.tobytes()))
             long, text = pa.int64(), pa.string()
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (long, long, long, text, long, long, text, text), strict=True)], names=[c.split()[0] for c in DIGEST.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (long, long, long, text, long, long, text, text, pa.int32(), pa.int32(), pa.binary()), strict=True)], names=[c.split()[0] for c in DIGEST.split(", ")])
 
     return common.map_arrow(stored.select("doc_id", "n_bytes", "media"), run, DIGEST)
 
