@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prospectrum.functions import rules, text
@@ -63,9 +62,10 @@ def merge_duplicates(df: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def first_seen(df: DataFrame, key: Column, order: str = "ord") -> DataFrame:
-    """The first row of each non-empty key (duplicates inside one source)."""
-    rank = F.row_number().over(W.partitionBy("_key").orderBy(order))
-    return df.withColumn("_key", key).where(text.present(F.col("_key"))).withColumn("_rank", rank).where("_rank = 1").drop("_key", "_rank")
+    """The first row of each non-empty key (duplicates inside one source). An aggregation, so hot keys are combined
+    before the shuffle."""
+    keyed = df.withColumn("_key", key).where(text.present(F.col("_key")))
+    return keyed.groupBy("_key").agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in df.columns)), order).alias("_row")).select(*(F.col(f"_row.`{c}`") for c in df.columns))
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -79,22 +79,35 @@ def first_rows(df: DataFrame, n: int, order: str = "ord") -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def icp(df: DataFrame, words: tuple[str, ...] = ICP_WORDS) -> DataFrame:
+def icp_test(words: tuple[str, ...] = ICP_WORDS) -> Column:
     hay = F.lower(F.concat_ws(" ", F.coalesce("category", F.lit("")), F.coalesce("company_name", F.lit(""))))
-    return df.where(hay.rlike("|".join(map(re.escape, words))) if words else F.lit(False))
+    return hay.rlike("|".join(map(re.escape, words))) if words else F.lit(False)
+
+
+def icp(df: DataFrame, words: tuple[str, ...] = ICP_WORDS) -> DataFrame:
+    return df.where(icp_test(words))
 
 
 def _dead() -> Column:
     return F.coalesce(F.col("email_verified") == "dead", F.lit(False))
 
 
+def contact_test() -> Column:
+    """A phone, a LinkedIn page or an email that isn't dead."""
+    return text.present(F.col("phone")) | text.present(F.col("linkedin")) | (text.present(F.col("email")) & ~_dead())
+
+
 def contactable(df: DataFrame) -> DataFrame:
-    """With a phone, a LinkedIn page or an email that isn't dead."""
-    return df.where(text.present(F.col("phone")) | text.present(F.col("linkedin")) | (text.present(F.col("email")) & ~_dead()))
+    return df.where(contact_test())
+
+
+def alive_test() -> Column:
+    """Not a dead email and nothing else."""
+    return ~(_dead() & text.missing(F.col("phone")) & text.missing(F.col("linkedin")))
 
 
 def not_only_dead_email(df: DataFrame) -> DataFrame:
-    return df.where(~(_dead() & text.missing(F.col("phone")) & text.missing(F.col("linkedin"))))
+    return df.where(alive_test())
 
 
 def score_floor(df: DataFrame, least: int = 35) -> DataFrame:
@@ -148,16 +161,47 @@ def scored(df: DataFrame) -> DataFrame:
     return df.withColumn("tier", rules.tier(F.col("score")))
 
 
+# Resolver errors that say a domain takes no mail; any other error says nothing.
+NO_MAIL = ("ENOTFOUND", "ENODATA")
+
+
+def domain_statuses(answers: DataFrame) -> DataFrame:
+    """(domain, status) of captured resolver answers (domain, records, error): alive with records, dead without or
+    where the resolver says so, else unknown. Of several answers the best counts."""
+    status = F.when(F.coalesce("records", F.lit(0)) > 0, "alive").when(F.col("error").isNull() | F.col("error").isin(*NO_MAIL), "dead").otherwise("unknown")
+    rank = F.when(status == "alive", 0).when(status == "dead", 1).otherwise(2)
+    return answers.groupBy(F.lower(F.trim("domain")).alias("domain")).agg(F.min_by(status, rank).alias("status"))
+
+
 def verify_emails(df: DataFrame, domains: DataFrame) -> DataFrame:
     """email_verified from a captured table (domain, status); unknown where it has none, '' without an email."""
     keyed = df.withColumn("_domain", F.when(text.present(F.col("email")), F.lower(F.element_at(F.split("email", "@"), -1))))
     return keyed.drop("email_verified").join(domains.select(F.col("domain").alias("_domain"), F.col("status").alias("_status")), "_domain", "left").withColumn("email_verified", F.when(text.missing(F.col("email")), "").otherwise(F.coalesce("_status", F.lit("unknown")))).drop("_domain", "_status")
 
 
+def last_rows(df: DataFrame, key: str = "dedupe_key") -> DataFrame:
+    """The last row of each key that isn't null: by ord if there is one, else the one seen last; ties by the row's hash."""
+    rest = [c for c in df.columns if c != key]
+    times = [c for c in ("last_seen_at", "scraped_at", "updated_at") if c in rest]
+    order = F.struct(*([F.col("ord")] if "ord" in rest else [F.col(c) for c in times]), F.xxhash64(*(F.col(f"`{c}`") for c in rest)).alias("_hash"))
+    out = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct(*(F.col(f"`{c}`") for c in rest)), order).alias("_row"))
+    return out.select(key, *(F.col(f"_row.`{c}`") for c in rest))
+
+
+def filled_rows(df: DataFrame, key: str = "dedupe_key") -> DataFrame:
+    """One row of each key that isn't null: each column's first filled value, by ord if there is one, else by the row's hash."""
+    kinds = dict(df.dtypes)
+    rest = [c for c in df.columns if c not in (key, "ord")]
+    df = df.where(F.col(key).isNotNull()).withColumn("_order", F.col("ord").cast("long") if "ord" in kinds else F.xxhash64(*(F.col(f"`{c}`") for c in rest)))
+    first = lambda c: F.min_by(c, F.when(text.truthy(F.col(c), kinds[c]), F.col("_order")))
+    return df.groupBy(key).agg(*(F.coalesce(first(c), F.min_by(c, "_order")).alias(c) for c in rest))
+
+
 def merge_master(master: DataFrame, batch: DataFrame, now: Column) -> DataFrame:
-    """Full outer join on dedupe_key of two tables with one row a key. Known rows keep their values, have gaps
-    filled, and are seen now; new rows come in."""
-    m, b = master.alias("m"), batch.alias("b")
+    """Full outer join on dedupe_key; rows without one are in neither. Of a key that the master repeats the last row
+    counts; rows of a key that the batch repeats fill each other's gaps. Known rows keep their values, have gaps
+    filled, and are seen now; new rows come in. Both sides are grouped by the key that joins them: one shuffle each."""
+    m, b = last_rows(master).alias("m"), filled_rows(batch).alias("b")
     both, new = F.col("b.dedupe_key").isNotNull(), F.col("m.dedupe_key").isNull()
     out = [F.coalesce("m.dedupe_key", "b.dedupe_key").alias("dedupe_key")]
     for c, k in KINDS.items():
@@ -177,7 +221,8 @@ def to_row(df: DataFrame) -> DataFrame:
     """Types of the stored table: '' becomes null, numbers are read from their strings, a score of 0 becomes null."""
     out = df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c, k in KINDS.items() if k == "string" and c in df.columns})
     num = lambda c: F.when(F.col(c).isNotNull(), F.nullif(text.leading_number(F.col(c)), F.lit(0.0)))
-    return out.withColumns({"rating": num("rating"), "review_count": num("review_count").cast("int"), "score": F.nullif(F.col("score"), F.lit(0))})
+    numbers = {"rating": num("rating"), "review_count": num("review_count").cast("int"), "score": F.nullif(F.col("score"), F.lit(0))}
+    return out.withColumns({c: e for c, e in numbers.items() if c in df.columns})
 
 
 def from_row(df: DataFrame) -> DataFrame:
@@ -186,11 +231,10 @@ def from_row(df: DataFrame) -> DataFrame:
 
 
 def upsert(target: DataFrame, batch: DataFrame, now: Column, key: str = "dedupe_key") -> DataFrame:
-    """The stored table after a sync: rows of the batch (its last for each key, by ord if it has one) replace the
-    target's, but users' columns, id and created_at stay; updated_at is now where something came."""
-    if "ord" in batch.columns:
-        batch = batch.withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("ord")))).where("_rank = 1").drop("_rank", "ord")
-    t, b = target.alias("t"), batch.alias("b")
+    """The stored table after a sync: rows of the batch (its last for each key; without a key they are left out)
+    replace the target's, but users' columns, id and created_at stay; updated_at is now where something came."""
+    batch = last_rows(batch, key)
+    t, b = target.alias("t"), batch.drop("ord").alias("b")
     came = F.col(f"b.{key}").isNotNull()
     out = [F.coalesce(f"t.{key}", f"b.{key}").alias(key)]
     for c in target.columns:

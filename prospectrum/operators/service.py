@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import threading
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
 
 import pandas as pd
@@ -102,19 +106,24 @@ def ordered(df: DataFrame, q: LeadsQuery, tiebreak: str = "id") -> DataFrame:
     return df.orderBy(c.asc_nulls_last() if q.sort_dir == "asc" else c.desc_nulls_last(), tiebreak)
 
 
+def visible(df: DataFrame) -> Column:
+    """Rows that no user has deleted; all where the table has no such column."""
+    return F.col("deleted_at").isNull() if "deleted_at" in df.columns else F.lit(True)
+
+
 def query_leads(df: DataFrame, q: LeadsQuery, tiebreak: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(the page, a one-row table with the exact total)."""
-    own = df.where(matches(q))
+    """(the page, a one-row table with the exact total) of visible rows."""
+    own = df.where(visible(df) & matches(q))
     size = min(LARGEST_PAGE, max(1, q.page_size))
     return ordered(own, q, tiebreak).offset((max(1, q.page) - 1) * size).limit(size), own.agg(F.count(F.lit(1)).alias("total"))
 
 
 def export_leads(df: DataFrame, q: LeadsQuery, tiebreak: str = "id") -> DataFrame:
-    return ordered(df.where(matches(q)), q, tiebreak).select(*EXPORTED)
+    return ordered(df.where(visible(df) & matches(q)), q, tiebreak).select(*EXPORTED)
 
 
 def facet(df: DataFrame, column: str = "source") -> DataFrame:
-    return df.where(F.col(column).isNotNull()).select(column).distinct().orderBy(column)
+    return df.where(visible(df) & F.col(column).isNotNull()).select(column).distinct().orderBy(column)
 
 
 def totals(df: DataFrame) -> DataFrame:
@@ -154,7 +163,14 @@ def reclassification(before: DataFrame, after: DataFrame, key: str = "id") -> Da
 
 
 def signature() -> Column:
-    return F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("")) for c in ("industry", "region", "depth")))
+    """Searches that would gather the same: any industry, all regions and a quick look where none is named."""
+    named = lambda c, none: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(none))
+    return F.concat_ws("|", named("industry", "any"), named("region", "all"), F.when(F.col("depth") == "deep", "deep").otherwise("quick"))
+
+
+def signature_groups(searches: DataFrame) -> DataFrame:
+    """(signature, n, first): the searches that one run can serve."""
+    return searches.groupBy(signature().alias("signature")).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
 
 
 def due(now: Column) -> Column:
@@ -173,7 +189,7 @@ def claim(runs: DataFrame, searches: DataFrame, now: Column, most: int = RUNS_A_
     out = runs.join(state, "id", "left")
     return out.withColumns({
         "status": F.coalesce("_status", "status"), "started_at": F.when(F.col("_status") == "running", now).otherwise(F.col("started_at")),
-        "finished_at": F.when(F.col("_status") == "failed", now).otherwise(F.col("finished_at")), "error": F.when(F.col("_status") == "failed", "saved search no longer exists").otherwise(F.col("error")),
+        "finished_at": F.when(F.col("_status") == "failed", now).otherwise(F.col("finished_at")), "error": F.when(F.col("_status") == "failed", "its search was deleted").otherwise(F.col("error")),
     }).drop("_status")
 
 
@@ -249,24 +265,50 @@ def prompt(page_text: str = "page_text") -> Column:
     return F.concat_ws("\n", F.concat(F.lit("Company: "), "company_name"), F.concat(F.lit("Category: "), "category"), F.concat(F.lit("Website: "), "website"), F.concat(F.lit("Text: "), F.substring(F.col(page_text), 1, 2800)))
 
 
-def classify_with(df: DataFrame, call: Callable[[str], str], attempts: int = 3) -> DataFrame:
-    """Adds answer and error to rows with a prompt; call runs on the executors. A row that fails keeps its error."""
+# Attempts of a call, the pauses between them in seconds, and calls at a time in a worker.
+ATTEMPTS, PAUSES, AT_A_TIME = 3, (2.0, 5.0), 4
+
+
+def with_retry(call: Callable, attempts: int = ATTEMPTS, pauses: tuple[float, ...] = PAUSES, sleep: Callable[[float], None] = time.sleep):  # noqa: ANN201
+    """What call gives, tried again after a pause; the last error where none succeeds."""
+    for i in range(attempts):
+        try:
+            return call()
+        except Exception:  # the provider's own
+            if i == attempts - 1:
+                raise
+            sleep(pauses[min(i, len(pauses) - 1)])
+
+
+def classify_with(df: DataFrame, calls: Callable[[str], str] | list[Callable[[str], str]], attempts: int = ATTEMPTS, pauses: tuple[float, ...] = PAUSES, least_gap: float = 0.0) -> DataFrame:
+    """Adds answer and error to rows with a prompt. Calls run on the executors, AT_A_TIME at once in a worker and
+    least_gap seconds apart; several calls (one for each key) take turns, and a call that fails is tried again with
+    the next. A row for which all attempts fail keeps the last error."""
+    turns = calls if isinstance(calls, list) else [calls]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            answers, errors = [], []
-            for p in pdf["prompt"]:
-                answer, error = None, None
-                for _ in range(attempts):
-                    try:
-                        answer, error = call(p), None
-                        break
-                    except Exception as e:  # the provider's own
-                        error = str(e)
-                answers.append(answer)
-                errors.append(error)
-            yield pdf.assign(answer=answers, error=errors)
+        turn, lock, last = itertools.count(), threading.Lock(), [0.0]
+
+        def paced(prompt: str) -> str:
+            with lock:
+                wait = last[0] + least_gap - time.monotonic()
+                if wait > 0:
+                    time.sleep(wait)
+                last[0] = time.monotonic()
+                call = turns[next(turn) % len(turns)]
+            return call(prompt)
+
+        def one(prompt: str) -> tuple[str | None, str | None]:
+            try:
+                return with_retry(lambda: paced(prompt), attempts, pauses), None
+            except Exception as e:  # the provider's own
+                return None, str(e)
+
+        with ThreadPoolExecutor(AT_A_TIME) as pool:
+            for pdf in frames:
+                got = list(pool.map(one, pdf["prompt"]))
+                yield pdf.assign(answer=[a for a, _ in got], error=[e for _, e in got])
 
     return df.mapInPandas(run, f"{schema}, answer string, error string")
 

@@ -80,7 +80,8 @@ def outcomes(df: DataFrame) -> DataFrame:
 
 
 def exported(df: DataFrame) -> DataFrame:
-    """The table, refused if it is empty: an empty export would replace a good one."""
+    """The table, refused if it is empty: an empty export would replace a good one. Where df is a plan and not a
+    stored table, store it first: it is looked at here and read again to be written."""
     if df.isEmpty():
         raise ValueError("nothing to export")
     return df

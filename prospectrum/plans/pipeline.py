@@ -34,3 +34,18 @@ def run(raw: DataFrame, settings: Settings = Settings(), contacts: DataFrame | N
         df = leads.tag_from_pages(df, pages, settings.taxonomy)
     df = leads.scored(leads.regions(leads.firmographics(df), settings.regions))
     return leads.score_floor(df, settings.least_score).orderBy(F.desc("score"), "ord")
+
+
+def drop_counts(raw: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """(step, step_ord, rows): how many rows each step of run() leaves, in one pass over the merged rows."""
+    whole = leads.as_leads(raw)
+    merged = leads.merge_duplicates(leads.clean(whole))
+    kept = {"icp": leads.icp_test(settings.icp_words), "contact": leads.contact_test(), "dead_email": leads.alive_test()}
+    df = leads.scored(leads.regions(leads.firmographics(leads.classify(merged, settings.taxonomy)), settings.regions))
+    flags, so_far = [F.count(F.lit(1)).alias("merged")], F.lit(True)
+    for name, test in (*kept.items(), ("score", F.col("score") >= settings.least_score)):
+        so_far = so_far & F.coalesce(test, F.lit(False))
+        flags.append(F.count_if(so_far).alias(name))
+    steps = ["merged", *kept, "score"]
+    rest = df.agg(*flags).select(F.posexplode(F.array(*(F.struct(F.lit(n).alias("step"), F.col(n).alias("rows")) for n in steps))).alias("at", "x")).select("x.step", (F.col("at") + 1).alias("step_ord"), "x.rows")
+    return whole.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("raw").alias("step"), F.lit(0).alias("step_ord"), "rows").unionByName(rest)

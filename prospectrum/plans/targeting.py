@@ -1,85 +1,97 @@
-"""From a saved search's filter to the jobs that would gather leads for it, and what it can't cover."""
+"""Which jobs would gather leads for saved searches: a join of searches with what each source can be asked.
+
+Vocabularies are small tables: ``categories`` (industry, source, category), where the industry ``*`` stands for
+searches that name none or an unknown one, and ``places`` (region, region_ord, source, place, place_ord). Only
+industry and region can be asked of a source; the rest of a search's filter is applied to what comes back.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from prospectrum.operators.service import LeadsQuery
-
-MAPS = "google_maps"
-# Sources and caps by depth.
-SOURCES = {"quick": (MAPS, "clutch", "goodfirms"), "deep": (MAPS, "clutch", "goodfirms", "designrush", "sortlist", "techbehemoths", "selectedfirms")}
-JOBS_A_SOURCE = {"quick": 6, "deep": 4}
-CITIES = {"quick": 4, "deep": 6}
-PAGES = {"quick": 1, "deep": 2}
-RESULTS = {"quick": 20, "deep": 40}
-PROFILES = {"quick": 8, "deep": 15}
-
-
-@dataclass(frozen=True)
-class Targets:
-    """industries: slug -> {source: category, google_maps: search term}; regions: slug -> {source: places, cities: names};
-    default: the industry of searches that name none or one that isn't known."""
-
-    industries: dict[str, dict[str, str]]
-    regions: dict[str, dict[str, list[str]]]
-    default: dict[str, str]
-
-
-@dataclass(frozen=True)
-class Job:
-    source: str
-    query: str
-    pages: int
-
-
-@dataclass(frozen=True)
-class Coverage:
-    industry: str
-    regions: list[str]
-    depth: str
-    covered: list[str]
-    skipped: list[tuple[str, str]]
-    jobs: list[Job]
-
-    def __str__(self) -> str:
-        if not self.jobs:
-            return f"No source covers {self.industry} in {', '.join(self.regions) or 'the selected region'}."
-        said = f"{len(self.jobs)} scrape jobs across {', '.join(self.covered)} ({self.depth} scan)."
-        return said + (" Skipped: " + "; ".join(f"{s} — {why}" for s, why in self.skipped) + "." if self.skipped else "")
-
-
-def jobs_for(q: LeadsQuery, targets: Targets, depth: str = "quick") -> Coverage:
-    """Only industry and region can be asked of a source; the rest of the filter is applied to what comes back."""
-    depth = depth if depth in SOURCES else "quick"
-    own = targets.industries.get(q.industry or "", targets.default)
-    regions = [r for r in ([q.region] if q.region else targets.regions) if r in targets.regions]
-    covered, skipped, jobs = [], [], []
-    if q.region and not regions:
-        skipped.append(("*", f'unknown region "{q.region}"'))
-    if q.industry and q.industry not in targets.industries:
-        skipped.append(("*", f'unknown industry "{q.industry}" — used broad default'))
-    for source in SOURCES[depth]:
-        maps = source == MAPS
-        category = own.get(source) or (targets.default.get(MAPS) if maps else None)
-        places = [p for r in regions for p in targets.regions[r].get("cities" if maps else source, [])]
-        if not category:
-            skipped.append((source, f'no {source} category for industry "{q.industry or "any"}"'))
-        elif not places:
-            skipped.append((source, "no cities known for the selected region" if maps else f"no {source} coverage for the selected region"))
-        else:
-            form = {MAPS: "{c} in {p}", "clutch": "{p}/{c}", "goodfirms": "directory/country/{c}/{p}"}.get(source, "{c}/{p}")
-            most = CITIES[depth] if maps else JOBS_A_SOURCE[depth]
-            pages = PAGES[depth] if source in ("clutch", "goodfirms", "selectedfirms") else 1
-            jobs += [Job(source, form.format(c=category, p=p), pages) for p in places[:most]]
-            covered.append(source)
-    return Coverage(q.industry or "any", regions, depth, covered, skipped, jobs)
-
-
-def backoff_seconds(attempt: int, retry_after: str | None = None, most: float = 60.0) -> float:
-    """Wait before a call is tried again (attempt from 0): what the provider asks for in seconds, else doubled each time."""
+from datetime import datetime
+from email.utils import parsedate_to_datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+MAPS, ANY = "google_maps", "*"
+# The sources of a depth in order, with the most jobs, pages a job, results or profiles a job, and a job's wording.
+ASKED = """
+quick google_maps  4 1 20 {c} in {p}
+quick clutch       6 1  0 {p}/{c}
+quick goodfirms    6 1  0 directory/country/{c}/{p}
+deep  google_maps  6 1 40 {c} in {p}
+deep  clutch       4 2  0 {p}/{c}
+deep  goodfirms    4 2  0 directory/country/{c}/{p}
+deep  designrush   4 1  0 {c}/{p}
+deep  sortlist     4 1  0 {c}/{p}
+deep  techbehemoths 4 1 15 {c}/{p}
+deep  selectedfirms 4 2  0 {c}/{p}
+"""
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    """(depth, source, source_ord, most, pages, results, wording): a row for each depth and source."""
+    rows = [line.split(None, 5) for line in ASKED.strip().splitlines()]
+    return spark.createDataFrame([(d, s, i, int(m), int(p), int(r), w) for i, (d, s, m, p, r, w) in enumerate(rows)], "depth string, source string, source_ord int, most int, pages int, results int, wording string")
+
+
+def _wanted(searches: DataFrame, categories: DataFrame, places: DataFrame) -> DataFrame:
+    """A row for each search and source of its depth: what the source calls the industry, and the region's key."""
+    spark = searches.sparkSession
+    own = searches.select(F.col("id").alias("search_id"), F.nullif("industry", F.lit("")).alias("industry"), F.nullif("region", F.lit("")).alias("region"), F.when(F.col("depth") == "deep", "deep").otherwise("quick").alias("depth"))
+    industries = categories.where(F.col("industry") != ANY).select("industry", F.lit(True).alias("industry_known")).distinct()
+    regions = places.select("region", F.lit(True).alias("region_known")).distinct()
+    own = own.join(industries, "industry", "left").join(regions, "region", "left").withColumns({
+        "industry_known": F.col("industry").isNull() | F.col("industry_known").isNotNull(), "region_known": F.col("region").isNull() | F.col("region_known").isNotNull(),
+        "_industry": F.when(F.col("industry_known"), F.col("industry")),
+    })
+    called = categories.select(F.col("industry").alias("_industry"), "source", "category")
+    broad = categories.where(F.col("industry") == ANY).select("source", F.col("category").alias("_broad"))
+    every = own.withColumn("_industry", F.coalesce("_industry", F.lit(ANY))).join(asked(spark), "depth").join(called, ["_industry", "source"], "left").join(broad, "source", "left")
+    # The map takes free words, so the broad term does where an industry has none.
+    return every.withColumn("category", F.coalesce("category", F.when(F.col("source") == MAPS, F.col("_broad")))).drop("_industry", "_broad")
+
+
+def planned_jobs(searches: DataFrame, categories: DataFrame, places: DataFrame) -> DataFrame:
+    """Jobs of searches (id, industry, region, depth): search_id, source, nth, query, pages, results. A search without
+    a region asks for all, region by region; each source takes its first places, as many as its depth allows."""
+    everywhere = places.withColumn("region", F.lit(ANY))
+    where = places.unionByName(everywhere).select(F.col("region").alias("_region"), "source", "region_ord", "place_ord", "place")
+    rows = _wanted(searches, categories, places).where(F.col("category").isNotNull()).withColumn("_region", F.coalesce("region", F.lit(ANY))).join(where, ["_region", "source"])
+    nth = F.row_number().over(W.partitionBy("search_id", "source").orderBy("region_ord", "place_ord", "place"))
+    query = F.replace(F.replace("wording", F.lit("{c}"), F.col("category")), F.lit("{p}"), F.col("place"))
+    return rows.withColumn("nth", nth).where("nth <= most").select("search_id", "source", "nth", query.alias("query"), "pages", "results")
+
+
+def coverage(searches: DataFrame, jobs: DataFrame, categories: DataFrame, places: DataFrame) -> DataFrame:
+    """One row for each search: jobs, the sources that have some, those left out with why (``region``: unknown;
+    ``category``: the source has none for the industry; ``place``: it has none in the region), whether the industry
+    is known, and a sentence that says so."""
+    per = jobs.groupBy("search_id", "source").agg(F.count(F.lit(1)).alias("n"))
+    rows = _wanted(searches, categories, places).join(per, ["search_id", "source"], "left")
+    why = F.when(F.col("n").isNotNull(), F.lit(None)).when(~F.col("region_known"), "region").when(F.col("category").isNull(), "category").otherwise("place")
+    item = F.struct("source_ord", "source", why.alias("why"))
+    out = rows.groupBy("search_id").agg(F.sum(F.coalesce("n", F.lit(0))).alias("jobs"), F.array_sort(F.collect_list(item)).alias("s"), F.first("industry_known").alias("industry_known"), F.first("depth").alias("depth"))  # at most ten sources
+    have = F.transform(F.filter("s", lambda x: x["why"].isNull()), lambda x: x["source"])
+    lack = F.transform(F.filter("s", lambda x: x["why"].isNotNull()), lambda x: F.concat(x["source"], F.lit(": "), x["why"]))
+    out = out.withColumns({"covered": F.array_join(have, ";"), "left_out": F.array_join(lack, ";")})
+    said = F.when(F.col("jobs") == 0, "Nothing to gather").otherwise(F.concat(F.lit("Gathering by "), F.col("jobs").cast("string"), F.lit(" requests, depth "), "depth"))
+    more = F.when(F.col("left_out") != "", F.concat(F.lit("; without "), F.col("left_out"))).otherwise("")
+    broad = F.when(F.col("industry_known"), "").otherwise("; industry unknown, asked broadly")
+    return out.select("search_id", "jobs", "covered", "left_out", "industry_known", F.concat(said, more, broad).alias("note"))
+
+
+def backoff_seconds(attempt: int, retry_after: str | None = None, most: float = 60.0, now: datetime | None = None) -> float:
+    """Wait before a call is tried again (attempt from 0): what the provider asks for, in seconds or as a date, else doubled each time."""
+    asked_for = None
     try:
-        asked = float(retry_after) if retry_after else None
+        asked_for = float(retry_after) if retry_after else None
     except ValueError:
-        asked = None
-    return min(most, asked if asked is not None and asked >= 0 else 2.0**attempt)
+        try:
+            at = parsedate_to_datetime(retry_after or "")
+            asked_for = max(0.0, (at - (now or datetime.now(at.tzinfo))).total_seconds())
+        except (TypeError, ValueError):
+            pass
+    return min(most, asked_for if asked_for is not None and asked_for >= 0 else 2.0**attempt)
+

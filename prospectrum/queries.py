@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from prospectrum.functions import rules, text
 from prospectrum.functions.rules import ICP_WORDS, PREMIUM, PREMIUM_WORDS, REGIONS, SOURCE_POINTS, TAXONOMY, Vocabulary
 from prospectrum.job_queries import job_queries
+from prospectrum.more_queries import more_queries
 from prospectrum.operators import leads, service
 from prospectrum.operators.service import LeadsQuery
 from prospectrum.plans import pipeline
@@ -24,7 +25,7 @@ from prospectrum.sources import captured
 SOURCES = [*SOURCE_POINTS][:12]
 RAW = {
     "company_name": "c_name || case c_custkey % 4 when 0 then ' Ltd.' when 1 then ', LLC' when 2 then ' Corporation' else ' &amp; Co' end",
-    "category": "case c_custkey % 6 when 0 then 'Software Technology' when 1 then 'Dental Clinic' when 2 then 'estate agents' when 3 then 'Cloud Data Consulting' when 4 then c_mktsegment else 'Web and SEO agency' end",
+    "category": "case c_custkey % 6 when 0 then case when c_custkey % 12 = 0 then 'Machine learning lab' else 'Software Technology' end when 1 then 'Dental Clinic' when 2 then 'estate agents' when 3 then 'Cloud Data Consulting' when 4 then c_mktsegment else 'Web and SEO agency' end",
     "website": "case when c_custkey % 9 = 0 then '' else 'https://www.Site' || cast(c_custkey % 700 as string) || '.com/about?x=1' end",
     "email": "case when c_custkey % 3 = 0 then '' else 'info' || cast(c_custkey as string) || '@site' || cast(c_custkey % 700 as string) || '.com' end",
     "all_emails": "case when c_custkey % 10 = 0 then 'a@x.com; b@x.com' else '' end",
@@ -101,7 +102,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 SMALL = "ord as id, company_name, score, tier, industry, source"
 SMALL_COLUMNS = ["id", "company_name", "score", "tier", "industry", "source"]
-SEARCH = LeadsQuery(tier="B", min_score=56, has_email=True, search=" CONSULT")
+SEARCH = LeadsQuery(tier="C", min_score=36, has_email=True, search=" CONSULT")
 SAVED = LeadsQuery(min_score=0, max_score=60, search="germany", tag="healthcare")
 PAGES_OF = {"query_page_desc": LeadsQuery(page=2, page_size=25), "query_page_asc": LeadsQuery(sort_col="scraped_at", sort_dir="asc", page=3, page_size=500), "query_search": SEARCH, **{f"preset_{k}": q for k, q in service.PRESETS.items()}}
 
@@ -355,3 +356,4 @@ PREMIUM_FALLBACK_SQL = or_sql("lower(concat_ws(' ', coalesce(category, ''), coal
 QUERIES["unclassified_score"] = (lambda s, d: leads.scored(raw_leads(s, d)).select("ord", "score"), f"with {BASE_SQL}, h as (select *, coalesce(try_cast(regexp_extract(rating, '^\\d+\\.?\\d*') as double), 0) as rt, coalesce(try_cast(regexp_extract(review_count, '^\\d+') as bigint), 0) as rv, case when {PREMIUM_FALLBACK_SQL} then ['ai-ml'] else ['none'] end as tags, 0 as employee_count from raw) select ord, {SCORE_SQL} as score from h")
 QUERIES |= SOURCE_QUERIES
 QUERIES |= job_queries(raw_leads, scored, BASE_SQL, f"coalesce({KEY_SQL}, {NAME_SQL})", SCORED_SQL)
+QUERIES |= more_queries(raw_leads, scored, BASE_SQL, SCORED_SQL, MERGED_SQL, ICP_SQL, CONTACT_TEST, CLEAN_RAW_SQL, scored_sql)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,24 +28,46 @@ def read_master(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v={done[-1]}") if done else None
 
 
-def merge_into_master(path: str):  # noqa: ANN201
+def dropped(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def merge_into_master(path: str, keep: int = 3):  # noqa: ANN201
     """A foreachBatch function: merges a batch of leads (with ord and seen_at) into the next version of the master.
-    A version is written beside the last and counts when complete, so a batch that is run again changes nothing."""
+    A version is written beside the last and counts when complete, so a batch that is run again changes nothing; the
+    last ``keep`` versions stay. An empty batch makes no version. The batch's own time is its greatest seen_at: one
+    value, found in the same pass that writes its merged rows beside the master."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         done = master_versions(spark, path)
         if number + 1 in done:
             return
-        now = F.lit(batch.agg(F.max("seen_at")).first()[0]).cast("timestamp")
-        fresh = leads.merge_duplicates(leads.as_leads(batch)).drop("ord")
+        staged = f"{path}-batch/{number}"
+        last = Observation()
+        rows = batch.observe(last, F.max("seen_at").alias("now"))
+        leads.merge_duplicates(leads.as_leads(rows)).drop("ord").write.mode("overwrite").parquet(staged)
+        if (at := last.get["now"]) is None:
+            return
+        now, fresh = F.lit(at).cast("timestamp"), spark.read.parquet(staged)
         old = spark.read.parquet(f"{path}/v={done[-1]}") if done else fresh.limit(0)
         merged = leads.merge_master(leads.not_expired(old, now), fresh, now)
         merged.write.mode("overwrite").parquet(f"{path}/v={number + 1}")
+        dropped(spark, staged)
+        for v in done[: max(0, len(done) + 1 - keep)]:
+            dropped(spark, f"{path}/v={v}")
 
     return run
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Counts of event types in tumbling windows; rows later than the watermark are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
+    """Counts of event types in tumbling windows; rows later than the watermark are left out. Times without a zone
+    are taken as UTC and come back without one."""
+    bare = dict(events.dtypes)["ts"] == "timestamp_ntz"
+    ts = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp") if bare else F.col("ts")
+    counted = events.withColumn("ts", ts).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    start = F.col("window.start")
+    start = F.convert_timezone(F.current_timezone(), F.lit("UTC"), start.cast("timestamp_ntz")) if bare else start
+    return counted.select(start.alias("start"), "event_type", "n")

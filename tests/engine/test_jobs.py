@@ -1,33 +1,41 @@
+from datetime import UTC, datetime
+
 import pytest
 from pyspark.sql import functions as F
 
 from prospectrum import __main__ as cli
-from prospectrum.operators import leads
-from prospectrum.operators.service import LeadsQuery
+from prospectrum.operators import leads, searches, service, sync
 from prospectrum.plans import maintenance, targeting
 from prospectrum.sources import captured, directories
 
-TARGETS = targeting.Targets(
-    {"ai-ml": {"google_maps": "ai firms", "clutch": "ai", "goodfirms": "ai"}},
-    {"europe": {"cities": ["A", "B"], "clutch": [f"c{i}" for i in range(9)]}, "asia": {"cities": ["C", "D", "E"]}},
-    {"google_maps": "software firms"},
-)
-
-
-def test_jobs_for_a_search():
-    c = targeting.jobs_for(LeadsQuery(industry="ai-ml", region="europe"), TARGETS)
-    assert [j.query for j in c.jobs] == ["ai firms in A", "ai firms in B", *(f"c{i}/ai" for i in range(6))]
-    assert c.covered == ["google_maps", "clutch"] and c.skipped == [("goodfirms", "no goodfirms coverage for the selected region")]
-    assert str(c).startswith("8 scrape jobs across google_maps, clutch (quick scan). Skipped: goodfirms")
-    every = targeting.jobs_for(LeadsQuery(), TARGETS)
-    assert [j.query for j in every.jobs] == [f"software firms in {x}" for x in "ABCD"]
-    gone = targeting.jobs_for(LeadsQuery(industry="odd", region="moon"), TARGETS, "deep")
-    assert not gone.jobs and gone.skipped[:2] == [("*", 'unknown region "moon"'), ("*", 'unknown industry "odd" — used broad default')]
-    assert str(gone) == "No source covers odd in the selected region."
+def vocabularies(spark):
+    categories = [("ai-ml", "google_maps", "ai firms"), ("ai-ml", "clutch", "ai"), ("ai-ml", "goodfirms", "ai"), ("marketing", "clutch", "ads"), ("*", "google_maps", "software firms"), ("*", "clutch", "developers")]
+    places = [("europe", 0, "google_maps", p, i) for i, p in enumerate("AB")] + [("europe", 0, "clutch", f"c{i}", i) for i in range(9)] + [("asia", 1, "google_maps", p, i) for i, p in enumerate("CDE")]
+    return spark.createDataFrame(categories, "industry string, source string, category string"), spark.createDataFrame(places, "region string, region_ord int, source string, place string, place_ord int")
+
+
+def test_jobs_of_searches(spark):
+    categories, places = vocabularies(spark)
+    searches = spark.createDataFrame([(1, "ai-ml", "europe", "quick"), (2, None, None, None), (3, "odd", "moon", "deep"), (4, "marketing", "europe", "deep"), (5, "odd", "europe", "quick")], "id long, industry string, region string, depth string")
+    jobs = targeting.planned_jobs(searches, categories, places)
+    asked = {}
+    for r in sorted(jobs.collect(), key=lambda r: (r.search_id, r.source, r.nth)):
+        asked.setdefault((r.search_id, r.source), []).append(r.query)
+    assert asked[1, "google_maps"] == ["ai firms in A", "ai firms in B"] and asked[1, "clutch"] == [f"c{i}/ai" for i in range(6)]
+    assert asked[2, "google_maps"] == [f"software firms in {x}" for x in "ABCD"] and asked[2, "clutch"] == [f"c{i}/developers" for i in range(6)]
+    assert asked[4, "google_maps"] == ["software firms in A", "software firms in B"] and asked[4, "clutch"] == [f"c{i}/ads" for i in range(4)]
+    assert asked[5, "clutch"][0] == "c0/developers" and not any(k[0] == 3 for k in asked)
+    told = {r.search_id: r for r in targeting.coverage(searches, jobs, categories, places).collect()}
+    assert (told[1].jobs, told[1].covered, told[1].left_out) == (8, "google_maps;clutch", "goodfirms: place")
+    assert told[3].jobs == 0 and not told[3].industry_known and told[3].left_out.startswith("google_maps: region;clutch: region")
+    assert told[3].note.startswith("Nothing to gather; without google_maps: region") and told[3].note.endswith("asked broadly")
+    assert "designrush: category" in told[4].left_out and told[5].industry_known is False and told[2].industry_known
 
 
 def test_backoff():
     assert [targeting.backoff_seconds(i) for i in (0, 3, 9)] == [1, 8, 60] and targeting.backoff_seconds(0, "7") == 7 and targeting.backoff_seconds(1, "soon") == 2
+    now = datetime(2026, 1, 1, tzinfo=UTC)
+    assert targeting.backoff_seconds(0, "Thu, 01 Jan 2026 00:00:30 GMT", now=now) == 30 and targeting.backoff_seconds(0, "Wed, 31 Dec 2025 00:00:00 GMT", now=now) == 0
 
 
 def lead_rows(spark, rows):
@@ -87,3 +95,95 @@ def test_commands_use_the_whole_vocabularies(spark, tmp_path):
     (tmp_path / "v.json").write_text('{"icp_words": ["cemetery"], "regions": [{"slug": "nigeria", "keywords": ["lagos"]}]}')
     cli.main(["ingest", str(tmp_path / "in"), str(tmp_path / "own"), "--vocabulary", str(tmp_path / "v.json")], spark)
     assert [(r.company_name, r.region) for r in spark.read.parquet(str(tmp_path / "own")).collect()] == [("Cemetery", "nigeria")]
+
+
+def test_sync_counts_every_row_once(spark, tmp_path):
+    """A batch that fails for good is in the recovery table, one that fails once is written; the others go on."""
+    rows = lead_rows(spark, [{"ord": i, "website": f"s{i}.com", "company_name": f"N{i}", "score": i} for i in range(20)]).withColumn("dedupe_key", F.when(F.col("ord") < 18, F.concat(F.lit("k"), F.col("ord").cast("string"))))
+    empty = leads.to_row(rows).withColumns({"id": F.lit(None).cast("long"), "status": F.lit(None).cast("string"), "updated_at": F.lit(None).cast("timestamp")}).drop("ord").limit(0)
+    empty = spark.createDataFrame([], empty.schema)
+    store = sync.Store(spark, str(tmp_path / "store"), empty, F.lit("2026-01-01").cast("timestamp"))
+    tries, pauses = {}, []
+
+    def write(number, part):
+        tries[number] = tries.get(number, 0) + 1
+        if number == 1 or (number == 2 and tries[2] < 2):
+            raise OSError("no answer")
+        store.write(number, part)
+
+    got = sync.sync(rows, write, str(tmp_path / "s1"), 4, (F.col("ord") % 4).cast("int"), sleep=pauses.append)
+    assert (got.synced, got.failed, got.keyless) == (13, 5, 2) and tries == {0: 1, 1: 3, 2: 2, 3: 1} and pauses == [2.0, 5.0, 2.0]
+    assert sorted(r.ord for r in spark.read.parquet(got.recovery).collect()) == [1, 5, 9, 13, 17]
+    stored = store.read(4)
+    assert stored.count() == 13 and got.ids(stored).where("id is not null").count() == 13
+    again = sync.sync(spark.read.parquet(got.recovery), store.write, str(tmp_path / "s2"), 4, (F.col("ord") % 4).cast("int"))
+    assert (again.synced, again.failed, again.recovery) == (5, 0, None) and store.read(4).count() == 18
+
+
+def test_master_of_repeated_keys(spark):
+    now = F.lit("2026-03-01").cast("timestamp")
+    old = spark.createDataFrame([("a", "first", "x", 1), ("a", "last", "", 2), (None, "keyless", "", 3), ("b", "B", "", 4)], "dedupe_key string, company_name string, category string, ord int")
+    new = spark.createDataFrame([("a", "new", "y", 1), ("a", "", "z", 0), ("c", "", "cat", 1), ("c", "C", "", 2), (None, "gone", "", 3)], "dedupe_key string, company_name string, category string, ord int")
+    got = {r.dedupe_key: (r.company_name, r.category) for r in leads.merge_master(old, new, now).collect()}
+    assert got == {"a": ("last", "z"), "b": ("B", ""), "c": ("C", "cat")}
+    up = leads.upsert(old.where("dedupe_key = 'b'").drop("ord"), new.drop("ord"), now).collect()
+    assert sorted(r.dedupe_key for r in up) == ["a", "b", "c"]
+
+
+def test_saved_search_requests(spark):
+    now = F.lit("2026-03-01").cast("timestamp")
+    own = spark.createDataFrame([(3, "u1", "old", "{}", "daily", True, "deep", None, None), (4, "u2", "theirs", "{}", "off", True, "quick", None, None)], "id long, user_id string, name string, filter_json string, schedule string, is_active boolean, depth string, created_at timestamp, last_run_at timestamp")
+    asked = spark.createDataFrame([(1, "u1", " new ", '{"tier": "A", "minScore": 50, "hasEmail": true}'), (2, "u1", "  ", "{}"), (3, "u1", "n", '{"tier": 5}'), (4, "u1", "x" * 121, "{}"), (5, "u2", "n", "[]"), (6, "u2", "ok", '{"sortDir": "up"}'), (7, "u2", "z", '{"minScore": "9"}')], "request_id long, user_id string, name string, filter_json string")
+    table, judged = searches.created(own, asked, now)
+    assert {r.request_id: r.problem for r in judged.collect()} == {1: None, 2: "a name is needed", 3: "filter has an odd tier", 4: "the name is too long", 5: "filter is no JSON object", 6: "filter has an odd sortDir", 7: "filter has an odd minScore"}
+    assert [(r.id, r.name) for r in searches.listed(table, "u1").collect()] == [(5, "new"), (3, "old")]
+    change = spark.createDataFrame([(1, 3, "u1", " better ", None), (2, 4, "u1", "stolen", False), (3, 3, "u1", None, False)], "request_id long, id long, user_id string, name string, is_active boolean")
+    assert {(r.id, r.name, r.is_active) for r in searches.changed(own, change).collect()} == {(3, "old", False), (4, "theirs", True)}
+    assert [r.id for r in searches.deleted(own, change.select("id", "user_id")).collect()] == [4]
+    runs = spark.createDataFrame([(8, 4, "u2", "running")], "id long, saved_search_id long, user_id string, status string").withColumns({c: F.lit(None).cast(k) for c, k in (("created_at", "timestamp"), ("finished_at", "timestamp"), ("error", "string"), ("depth", "string"))})
+    ask = spark.createDataFrame([(1, 3, "u1", "odd"), (2, 3, "u1", "quick"), (3, 4, "u1", None), (4, 4, "u2", None), (5, 9, "u1", None)], "request_id long, saved_search_id long, user_id string, depth string")
+    after, answers = searches.queued(runs, own, ask, now)
+    assert {r.request_id: (r.answer, r.run_id) for r in answers.collect()} == {1: (202, None), 2: (409, None), 3: (404, None), 4: (409, 8), 5: (404, None)}
+    assert {(r.id, r.saved_search_id, r.status, r.depth) for r in after.collect()} == {(8, 4, "running", None), (9, 3, "pending", "deep")}
+    assert {(r.id, r.status, r.error) for r in searches.not_started(after, after.where("id = 9").select("id"), now, "no worker").collect()} == {(8, "running", None), (9, "failed", "no worker")}
+
+
+def test_a_source_that_fails_is_left_out(spark):
+    pages = spark.createDataFrame([(0, '{"login": "l", "name": "Org", "blog": "org.com"}')], "ord long, payload string")
+    failed = {}
+    got = captured.gather({"github_orgs": pages, "clutch": pages}, F.lit("2026-01-01").cast("timestamp"), failed=failed)
+    assert [r.company_name for r in got.collect()] == ["Org"] and list(failed) == ["clutch"]
+    assert captured.gather({}, F.current_timestamp()).collect() == [] and captured.gather({"clutch": pages}, F.current_timestamp(), only=("pseb",)).collect() == []
+
+
+def test_readers_of_files(spark, tmp_path):
+    for name, rows in (("leads-2026-01-02.csv", [{"ord": 0, "company_name": "B", "tags": ["x", "y"]}, {"ord": 1, "company_name": ""}]), ("leads-2026-01-01.csv", [{"ord": 0, "company_name": "A\nline"}, {"ord": 1, "company_name": "C"}])):
+        captured.write_csv(lead_rows(spark, rows).coalesce(1), str(tmp_path / "d" / name))
+    got = captured.read_runs(spark, str(tmp_path / "d" / "*"))
+    assert [(r.company_name, r.tags) for r in got.orderBy("ord").collect()] == [("A\nline", None), ("C", None), ("B", ["x", "y"])]
+    both = captured.read_recovered(spark, [str(tmp_path / "d/leads-2026-01-02.csv"), str(tmp_path / "none"), str(tmp_path / "d/leads-2026-01-01.csv")])
+    assert [r.company_name for r in both.orderBy("ord").collect()] == ["B", "A\nline", "C"]
+    (tmp_path / "master.json").write_text('[{"name": "A", "reviews": "5", "tags": ["t"], "score": 7}, {"company_name": "B"}]')
+    (tmp_path / "broken.json").write_text("{not json")
+    assert [(r.company_name, r.review_count, r.tags, r.score) for r in captured.read_master(spark, str(tmp_path / "master.json")).orderBy("ord").collect()] == [("A", "5", ["t"], 7), ("B", None, None, None)]
+    assert captured.read_master(spark, str(tmp_path / "broken.json")).collect() == [] == captured.read_master(spark, str(tmp_path / "absent.json")).collect()
+
+
+def test_contacts_of_many_and_deep_pages(spark):
+    rows = [("h", "", '<a href="mailto:name@h.com">x</a> img@2x.png Info@H.com %20sales@h.com <footer><a href="/team-page">t</a><a href="/about/">a</a></footer>'), ("h", "/contact", "third@h.com fourth@h.com"), ("h", "/team-page", '<a href="https://www.linkedin.com/company/h?x=1">l</a> late@h.com'), ("h", "/blog", "blog@h.com"), ("g", "/about", "a@yourdomain.com b@g.css user@g.com no-reply@g.com")]
+    pages = spark.createDataFrame(rows, "host string, path string, html string")
+    bulk = {r.host: r for r in captured.contacts(captured.in_path_order(pages)).collect()}
+    assert bulk["h"].emails == ["info@h.com", "sales@h.com", "third@h.com"] and bulk["h"].linkedin is None and bulk["g"].emails == ["no-reply@g.com"]
+    deep = captured.in_path_order(pages, deep=True)
+    assert {(r.host, r.path): r.path_ord for r in deep.collect()} == {("h", ""): 1, ("h", "/contact"): 2, ("g", "/about"): 3, ("h", "/team-page"): 9}
+    assert {r.host: r.linkedin for r in captured.contacts(deep).collect()}["h"] == "https://www.linkedin.com/company/h"
+
+
+def test_model_calls_take_turns_and_are_retried(spark):
+    def bad(prompt):
+        raise OSError("busy")
+
+    df = spark.createDataFrame([("a",), ("b",)], "prompt string").coalesce(1)
+    got = service.classify_with(df, [bad, lambda p: p.upper()], attempts=4, pauses=(0.0,)).collect()
+    assert sorted((r.prompt, r.answer, r.error) for r in got) == [("a", "A", None), ("b", "B", None)]
+    assert [r.error for r in service.classify_with(df, bad, attempts=2, pauses=(0.0,)).collect()] == ["busy", "busy"]
