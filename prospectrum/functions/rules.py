@@ -93,10 +93,9 @@ def hits(text: Column, vocabulary: Vocabulary, words: bool) -> Column:
     The literal test before each pattern is exact and saves nearly all pattern work. Keywords are data, not
     expressions of their own, so that a large vocabulary doesn't outgrow generated code."""
 
-    def keyword(k: str) -> Column:
-        return F.struct(F.lit(k).alias("k"), F.lit(word_pattern(k)).alias("p"))
-
-    buckets = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(slug).alias("slug"), F.array(*map(keyword, k)).alias("keywords")) for i, (slug, k) in enumerate(vocabulary.buckets)))
+    rows = [{"ord": i, "slug": slug, "keywords": [{"k": k, "p": word_pattern(k)} for k in own]} for i, (slug, own) in enumerate(vocabulary.buckets)]
+    # One literal, read once when the plan is made: a literal for each keyword takes seconds to plan.
+    buckets = F.from_json(F.lit(json.dumps(rows)), "array<struct<ord: int, slug: string, keywords: array<struct<k: string, p: string>>>>")
 
     def of(t: Column) -> Column:
         found = lambda k: F.contains(t, k["k"]) & F.rlike(t, k["p"]) if words else F.contains(t, k["k"])
