@@ -187,3 +187,32 @@ def test_model_calls_take_turns_and_are_retried(spark):
     got = service.classify_with(df, [bad, lambda p: p.upper()], attempts=4, pauses=(0.0,)).collect()
     assert sorted((r.prompt, r.answer, r.error) for r in got) == [("a", "A", None), ("b", "B", None)]
     assert [r.error for r in service.classify_with(df, bad, attempts=2, pauses=(0.0,)).collect()] == ["busy", "busy"]
+
+
+def test_commands_on_demand(spark, tmp_path):
+    """One site, a list of names that is taken up again, a pass of model answers and the saved searches."""
+    at = lambda n: str(tmp_path / n)
+    html = '<a href="mailto:info@clinic.com">m</a><a href="https://www.linkedin.com/company/clinic">l</a>'
+    spark.createDataFrame([("clinic.com", "", html), ("softwarehouse.com", "/about", html.replace("clinic", "softwarehouse"))], "host string, path string, html string").write.parquet(at("caps/pages"))
+    spark.createDataFrame([("Software House", "https://softwarehouse.com"), ("Nobody", "")], "name string, website string").write.parquet(at("caps/resolved"))
+    cli.main(["url", "www.clinic.com", at("caps/pages"), at("one")], spark)
+    assert [(r.company_name, r.email, r.source) for r in spark.read.parquet(at("one")).collect()] == [("clinic", "info@clinic.com", "on_demand_url")]
+    (tmp_path / "names.txt").write_text("Software House\n\nNobody\nsoftware house\n")
+    for _ in range(2):
+        cli.main(["firms", at("names.txt"), at("caps"), at("firms")], spark)
+    assert [(r.company_name, r.email) for r in spark.read.parquet(at("firms")).collect()] == [("Software House", "info@softwarehouse.com")]
+
+    stored = lead_rows(spark, [{"ord": 1, "company_name": "A", "email": "a@a.com", "score": 80, "industry": "healthcare", "tag_source": "rules", "tag_confidence": 0.9}, {"ord": 2, "company_name": "B", "score": 10}])
+    stored = stored.withColumns({"dedupe_key": F.lower("company_name"), "id": F.col("ord"), "llm_model": F.lit(None).cast("string"), "classified_at": F.lit(None).cast("timestamp")})
+    stored.write.parquet(at("db/leads"))
+    spark.createDataFrame([("a", '{"primary_industry": "ai-ml", "confidence": 1}'), ("b", '{"primary_industry": "ai-ml", "confidence": 0.8}')], "dedupe_key string, answer string").write.parquet(at("answers"))
+    cli.main(["classify", at("db/leads"), at("answers"), at("m1")], spark)
+    assert {r.dedupe_key: (r.industry, r.tag_source) for r in spark.read.parquet(at("m1")).collect()} == {"a": ("healthcare", "rules"), "b": ("ai-ml", "llm")}
+    cli.main(["classify", at("db/leads"), at("answers"), at("m2"), "--force", "--dry-run"], spark)
+    assert {(r.dedupe_key, r.industry, r.confidence) for r in spark.read.parquet(at("m2")).collect()} == {("a", "ai-ml", 1.0), ("b", "ai-ml", 0.8)}
+
+    spark.createDataFrame([(1, "u1", '{"hasEmail": true}', "daily", True, "quick", None, None, None), (2, "u2", "{}", "off", True, "quick", None, None, None)], "id long, user_id string, filter_json string, schedule string, is_active boolean, depth string, last_run_at timestamp, industry string, region string").write.parquet(at("db/searches"))
+    spark.createDataFrame([(5, 2, "done", None), (6, 9, "pending", None)], "id long, saved_search_id long, status string, created_at timestamp").withColumns({c: F.lit(None).cast(k) for c, k in (("started_at", "timestamp"), ("finished_at", "timestamp"), ("error", "string"), ("leads_found", "long"), ("user_id", "string"), ("depth", "string"))}).write.parquet(at("db/runs"))
+    cli.main(["saved-searches", at("db"), at("next")], spark)
+    assert [(r.user_id, r.lead_id, r.saved_search_id, r.scrape_run_id) for r in spark.read.parquet(at("next/user_leads")).collect()] == [("u1", 1, 1, 7)]
+    assert {(r.id, r.status, r.leads_found) for r in spark.read.parquet(at("next/runs")).collect()} == {(5, "done", None), (6, "failed", None), (7, "done", 1)}
