@@ -1,10 +1,11 @@
 """Removal of repeated word windows with FM-index shards (operator 5).
 
-A shard is a bucket of ``anchors``: the contexts whose key recurs, so every occurrence of a repeated window is
-in its shard. The shard's distinct contexts are indexed (suffix array by prefix doubling, Burrows-Wheeler
-transform in a wavelet matrix of packed bits with block counts). Every context is then streamed right to left
-through the index, all in step: backward search keeps the interval of the longest match, which is cut to the
-window's length by the intervals of equal prefixes; windows whose interval weighs two or more are reported.
+A shard is a bucket of ``anchors``: the parts of documents (contexts) whose key recurs, so every occurrence of a
+repeated window is in its shard; that is a filter, which drops only windows that occur once. The shard's distinct
+contexts are indexed: Burrows-Wheeler transform in a wavelet matrix, whose levels are bits in blocks, of which those
+that are all zeros or all ones are not stored. Documents' contexts are then streamed right to left through the index,
+all in step: backward search keeps the interval of the longest match, which is cut to the window's length at marks
+between suffixes that differ in it. Windows whose interval weighs two or more are reported.
 """
 
 from __future__ import annotations
@@ -23,26 +24,40 @@ WINDOW, KEY = 35, 8
 CACHE_ENTRIES = 400_000
 
 
+class Bits:
+    """Rank on a row of bits, 64 to a word; words that are all zeros or all ones aren't stored."""
+
+    def __init__(self, bit: np.ndarray) -> None:
+        raw = np.packbits(np.concatenate([bit, np.zeros(64 + -len(bit) % 64, np.uint8)]), bitorder="little").view("<u8")
+        mixed = (raw != 0) & (raw != ~np.uint64(0))
+        # A word's place among the stored ones; the two kinds that aren't come first.
+        self.place = np.where(mixed, np.cumsum(mixed) + 1, raw != 0).astype(np.int32)
+        self.words = np.concatenate([np.array([0, ~np.uint64(0)], np.uint64), raw[mixed]])
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(raw), dtype=np.int64)[:-1]]).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = at >> 6
+        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word] + np.bitwise_count(self.words[self.place[word]] & low)
+
+
 class WaveletMatrix:
-    """Rank queries on a row of symbols; a level's bits are packed 64 to a word, with counts before each word."""
+    """Rank queries on a row of symbols."""
 
     def __init__(self, row: np.ndarray, symbols: int) -> None:
         self.depth = max(1, int(symbols - 1).bit_length())
-        self.words, self.before, self.zeros = [], [], []
+        self.levels, self.zeros = [], []
         for level in range(self.depth - 1, -1, -1):
             bit = (row >> level & 1).astype(np.uint8)
-            raw = np.packbits(np.concatenate([bit, np.zeros(64 + -len(bit) % 64, np.uint8)]), bitorder="little").view("<u8")
-            self.words.append(raw)
-            self.before.append(np.concatenate([[0], np.cumsum(np.bitwise_count(raw), dtype=np.int64)[:-1]]).astype(np.int32))
+            self.levels.append(Bits(bit))
             self.zeros.append(int(len(bit) - bit.sum()))
             row = np.concatenate([row[bit == 0], row[bit == 1]])
-        every = np.arange(symbols)
-        self.base = self.walk(every, np.zeros(symbols, np.int64))
+        self.base = self.walk(np.arange(symbols), np.zeros(symbols, np.int64)).astype(np.int32)
 
     def walk(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        for words, before, zeros, level in zip(self.words, self.before, self.zeros, range(self.depth - 1, -1, -1), strict=True):
-            word = at >> 6
-            ones = before[word] + np.bitwise_count(words[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+        for bits, zeros, level in zip(self.levels, self.zeros, range(self.depth - 1, -1, -1), strict=True):
+            ones = bits.rank(at)
             at = np.where(symbol >> level & 1, zeros + ones, at - ones)
         return at
 
@@ -72,11 +87,10 @@ class FmIndex:
         far = np.zeros(n, np.int64)
         far[: n - (WINDOW - 32)] = kept[WINDOW - 32 :] + 1
         head, tail = kept[order], far[order]
-        edge = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])]))
-        sizes = np.diff(np.append(edge, n))
-        self.low, self.high = np.repeat(edge, sizes), np.repeat(edge + sizes, sizes)  # equal in WINDOW symbols
-        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])
-        self.bwt = WaveletMatrix(text[order - 1], symbols)
+        new = np.concatenate([[True], (head[1:] != head[:-1]) | (tail[1:] != tail[:-1])])
+        self.mark, self.edges = Bits(new.astype(np.uint8)), np.append(np.flatnonzero(new), n).astype(np.int32)  # suffixes that differ in WINDOW symbols from the one before
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))]).astype(np.int32)
+        self.bwt = WaveletMatrix(text[order - 1].astype(np.int32), symbols)
         self.weight = np.concatenate([[0], np.cumsum(weight[order])])
 
     def stream(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -92,7 +106,8 @@ class FmIndex:
             both = self.bwt.rank(np.concatenate([c, c]), np.concatenate([lo[:live], hi[:live]]))
             lo, hi = self.first[c] + both[:live], self.first[c] + both[live:]
             if t >= WINDOW - 1:
-                lo, hi = self.low[lo], self.high[lo]
+                group = self.mark.rank(lo + 1) - 1  # all suffixes of the interval agree in the window
+                lo, hi = self.edges[group], self.edges[group + 1]
                 out[at] = self.weight[hi] - self.weight[lo]
         return out
 
