@@ -20,16 +20,19 @@ from pyspark.sql import functions as F
 from prospectrum.llm import anchors, common
 
 SIZE, KEY = 50, 16
-#: Groups of so many strings are ordered without a pivot.
-FEW = 4096
+#: Groups of up to so many strings are sorted without a pivot.
+FEW = 32_768
 SAMPLE_BYTES = 1_000_000
 
 
 def letters(b: np.ndarray, at: np.ndarray, depth: np.ndarray, size: int) -> np.ndarray:
     """Eight bytes of each string from its depth on as one number, bytes beyond the string's end as zeros."""
     out = b[at + depth].view(">u8").ravel().astype(np.uint64)
-    beyond = np.maximum(depth + 8 - size, 0).astype(np.uint64) * np.uint64(8)
-    return out >> beyond << beyond
+    last = np.flatnonzero(depth + 8 > size)
+    if len(last):
+        beyond = (depth[last] + 8 - size).astype(np.uint64) * np.uint64(8)
+        out[last] = out[last] >> beyond << beyond
+    return out
 
 
 def partitioned(of: np.ndarray, side: np.ndarray, groups: int) -> np.ndarray:
@@ -46,44 +49,56 @@ def partitioned(of: np.ndarray, side: np.ndarray, groups: int) -> np.ndarray:
 
 
 def sorted_classes(buffer: np.ndarray, at: np.ndarray, size: int) -> list[np.ndarray]:
-    """Classes of two or more equal strings buffer[i:i+size], i in at, as indexes into at; buckets are sorted by
-    multikey quicksort with eight bytes for a letter.
+    """Classes of two or more equal strings buffer[i:i+size], i in at, as indexes into at; they are sorted by multikey
+    quicksort with eight bytes for a letter.
 
     A group of strings that agree up to its depth is split at a pivot letter into those below, at and above it;
-    those at it go eight bytes deeper. All groups are split in step. Groups of up to FEW are put in order by their
-    letters at once, and then split where neighbours differ."""
+    those at it go eight bytes deeper. All groups are split in step. Groups of up to FEW are sorted letter by letter."""
     # Letters are gathered for live strings only; all places' letters would take eight times the buffer.
     b = np.lib.stride_tricks.sliding_window_view(np.concatenate([buffer, np.zeros(size + 8, np.uint8)]), 8)
-    live = np.arange(len(at))
-    sizes, depth = np.array([len(at)]) if len(at) > 1 else np.empty(0, np.int64), np.zeros(1 if len(at) > 1 else 0, np.int64)
-    live = live[: int(sizes.sum())]
+    many = len(at) > 1
+    live, sizes, depth = np.arange(len(at) if many else 0), np.array([len(at)] * many, np.int64), np.zeros(int(many), np.int64)
     found: list[np.ndarray] = []
     ends: list[np.ndarray] = []
-    while len(live):
-        of = np.repeat(np.arange(len(sizes)), sizes)
-        letter = letters(b, at[live], depth[of], size)
-        first = np.cumsum(sizes) - sizes
-        # The middle one of three letters of each group is its pivot.
-        three = np.stack([letter[first], letter[first + sizes // 2], letter[first + sizes - 1]])
-        pivot = np.sort(three, axis=0)[1][of]
-        few = (sizes <= FEW)[of]
-        side = (letter >= pivot).astype(np.uint64) + (letter > pivot)
-        order = partitioned(of, side, len(sizes))
-        if few.any():
-            small = np.flatnonzero(few)  # their own places: groups don't move
-            order[small] = small[np.lexsort((letter[small], of[small]))]
-        live, letter, side, few = live[order], letter[order], side[order], few[order]
-        new = np.concatenate([[True], (of[1:] != of[:-1]) | np.where(few[1:], letter[1:] != letter[:-1], side[1:] != side[:-1])])
+    aside: list[tuple[np.ndarray, ...]] = []
+
+    def split(new: np.ndarray, deeper: np.ndarray) -> None:
+        """Goes on with the groups that new begins, each deeper or not; whole strings are classes."""
+        nonlocal live, sizes, depth
         start = np.flatnonzero(new)
-        group = of[start]
-        deeper = depth[group] + np.where(few[start] | (side[start] == 1), 8, 0)
         sizes = np.diff(np.append(start, len(live)))
-        done = (deeper >= size) & (sizes > 1)
+        depth = deeper[start]
+        done = (depth >= size) & (sizes > 1)
         if done.any():
             found.append(live[np.repeat(done, sizes)])
             ends.append(sizes[done])
         go = (sizes > 1) & ~done
-        live, sizes, depth = live[np.repeat(go, sizes)], sizes[go], deeper[go]
+        live, sizes, depth = live[np.repeat(go, sizes)], sizes[go], depth[go]
+
+    while len(live):
+        few = sizes <= FEW
+        if few.any():
+            aside.append((live[np.repeat(few, sizes)], sizes[few], depth[few]))
+            live, sizes, depth = live[np.repeat(~few, sizes)], sizes[~few], depth[~few]
+            if not len(live):
+                break
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        letter = letters(b, at[live], depth[of], size)
+        first = np.cumsum(sizes) - sizes
+        # The middle one of three letters of each group is its pivot.
+        pivot = np.sort(np.stack([letter[first], letter[first + sizes // 2], letter[first + sizes - 1]]), axis=0)[1][of]
+        side = (letter >= pivot).astype(np.uint8) + (letter > pivot)
+        order = partitioned(of, side, len(sizes))
+        live, side = live[order], side[order]
+        split(np.concatenate([[True], (of[1:] != of[:-1]) | (side[1:] != side[:-1])]), depth[of] + 8 * (side == 1))
+    if aside:
+        live, sizes, depth = (np.concatenate(x) for x in zip(*aside, strict=True))
+    while len(live):
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        letter = letters(b, at[live], depth[of], size)
+        order = np.lexsort((letter, of)) if len(sizes) > 1 else np.argsort(letter)
+        live, letter = live[order], letter[order]
+        split(np.concatenate([[True], (of[1:] != of[:-1]) | (letter[1:] != letter[:-1])]), depth[of] + 8)
     if not found:
         return []
     sizes = np.concatenate(ends)
