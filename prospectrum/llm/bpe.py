@@ -1,6 +1,6 @@
 """BPE encoding and decoding by a pair occurrence index (operator 4).
 
-The distinct pre-tokens that a partition has not met before are laid out as one row of symbols. An index
+Texts are cut to distinct pre-tokens by whole columns (see ``pretokens``). Those that a partition has not met before are laid out as one row of symbols. An index
 maps each pair of neighbours to all its positions. The ranks that occur are applied in ascending order from
 a heap; each merge updates the lists of the two pairs it touches. Ranks, vocabulary and byte alphabet come
 from the tokenizer's file; the library itself is not used.
@@ -13,15 +13,13 @@ import heapq
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectrum.llm import common
-
-#: Entries after which a worker's cache of pre-tokens starts anew (bounds memory, never results).
-CACHE_ENTRIES = 400_000
+from prospectrum.llm import common, pretokens
 
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -57,7 +55,10 @@ class PairIndexBpe:
             self.bytes_of[i] = t.encode()
         self.cut = regex.compile(PATTERN).findall
         self.stop = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.cache: dict[str, tuple[bytes, bytes, int]] = {}
+        self.known = pretokens.Known(self.learn)
+        # Fixed value: the pre-tokenizer for which pretokens cuts texts as the pattern does.
+        own = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.columns = spec.get("normalizer") is None and spec.get("pre_tokenizer") == own and all("<" in t for t in self.added)
 
     def apply(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word."""
@@ -127,44 +128,50 @@ class PairIndexBpe:
             out.extend([part] if k % 2 else self.cut(part))
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pre-tokens that aren't known: cached as (decimal ids with commas, decoded bytes, ids)."""
-        new = sorted(pieces.difference(self.cache))
-        plain = [p for p in new if p not in self.added]
-        for p, ids in zip(plain, self.apply([p.encode() for p in plain]), strict=True):
-            self.cache[p] = self.entry(ids)
-        for p in set(new).difference(plain):
-            self.cache[p] = self.entry([self.added[p]])
+    def learn(self, pieces: list[bytes | str]) -> list[tuple[bytes, bytes]]:
+        """(decimal ids with a comma after each, decoded bytes) of pre-tokens; an added token comes as a string."""
+        coded = iter(self.apply([p for p in pieces if isinstance(p, bytes)]))
+        return [self.entry([self.added[p]] if isinstance(p, str) else next(coded)) for p in pieces]
 
-    def entry(self, ids: list[int]) -> tuple[bytes, bytes, int]:
-        return (",".join(map(str, ids)).encode(), self.decode(ids), len(ids))
+    def entry(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return ("".join([f"{i}," for i in ids]).encode(), self.decode(ids))
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of ids; ill-formed UTF-8 is replaced when they become text."""
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def column(self, texts: pa.Array) -> tuple[pretokens.Texts, list[bytes], list[bytes]]:
+        """Cuts of a column, and of each pre-token and then of each other piece its decimal ids and its decoded bytes."""
+        if self.columns:
+            t = pretokens.cut(texts, pretokens.BYTE)
+        else:
+            whole = [x or "" for x in texts.to_pylist()]
+            t = pretokens.Texts([], np.empty(0, np.int32), np.zeros(1, np.int64), whole, np.arange(len(whole)), np.arange(len(whole) + 1))
+        parts = [[p if p in self.added else p.encode() for p in self.pretokens(c)] for c in t.others]
+        every = list(dict.fromkeys([*t.pieces, *(p for c in parts for p in c)]))
+        found = dict(zip(every, self.known(every), strict=True))
+        rows = [[found[p]] for p in t.pieces] + [[found[p] for p in c] for c in parts]
+        return t, *([b"".join([e[k] for e in r]) for r in rows] for k in (0, 1))
+
     def encode(self, text: str | None) -> list[int]:
-        pieces = self.pretokens(text or "")
-        self.learn(set(pieces))
-        return [int(x) for p in pieces for x in self.cache[p][0].split(b",")]
+        pieces = [p if p in self.added else p.encode() for p in self.pretokens(text or "")]
+        distinct = list(dict.fromkeys(pieces))
+        found = dict(zip(distinct, self.known(distinct), strict=True))
+        return [int(x) for p in pieces for x in found[p][0].split(b",")[:-1]]
 
 
-def digest_batch(bpe: PairIndexBpe, texts: list[str | None]) -> list[tuple[int, str, str]]:
+def digest_batch(bpe: PairIndexBpe, texts: pa.Array | list[str | None]) -> list[tuple[int, str, str]]:
     """(n_tokens, sha256 of the decimal ids, sha256 of the decoded text) of each text."""
-    if len(bpe.cache) > CACHE_ENTRIES:
-        bpe.cache.clear()
-    cut = [bpe.pretokens(t or "") for t in texts]
-    seen: set[str] = set()
-    for c in cut:
-        seen.update(c)
-    bpe.learn(seen)
-    get, out = bpe.cache.__getitem__, []
-    for c in cut:
-        found = list(map(get, c))
-        ids, parts, sizes = zip(*found, strict=True) if found else ((), (), ())
+    texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    t, ids, back = bpe.column(texts)
+    n, out = len(t.pieces), []
+    rows = [(ends.tolist(), memoryview(data)) for ends, data in (t.join(x[:n], x[n:]) for x in (ids, back))]
+    (at, coded), (end, decoded) = rows
+    for i in range(len(texts)):
+        own = bytes(coded[at[i] : at[i + 1]])
         # Ids do not cross pre-tokens, so the bytes of all ids in a row are those of the pre-tokens in a row.
-        back = b"".join(parts).decode("utf-8", "replace")
-        out.append((sum(sizes), hashlib.sha256(b",".join(ids)).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+        text = bytes(decoded[end[i] : end[i + 1]]).decode("utf-8", "replace")
+        out.append((own.count(b","), hashlib.sha256(own[:-1]).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     return out
 
 
@@ -197,8 +204,8 @@ def encode_digest(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(tokenizer)
-        for b in common.slices(batches, 2048):
-            n, ids, back = zip(*digest_batch(bpe, b.column("text").to_pylist()), strict=True)
+        for b in common.sized(batches, "text"):
+            n, ids, back = zip(*digest_batch(bpe, b.column("text")), strict=True)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(back)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

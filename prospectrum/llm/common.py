@@ -21,7 +21,9 @@ __all__ = ["documents", "shared_folder", "written", "slices", "sized", "text_byt
 #: Bytes of text that one group of a two-sided pass holds in a Python worker.
 GROUP_BYTES = 12_000_000
 #: Bytes of text that are worked on at a time where whole columns are.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+#: Files of a small table: so many at least, and one more for so many rows.
+LEAST_FILES, FILE_ROWS = 3, 500_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,10 +50,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/prospectrum-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, form: str = "parquet", **options: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it again."""
+def written(df: DataFrame, form: str = "parquet", rows: int | None = None, **options: str) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder and read it again. Where the number of its (small)
+    rows is known, the tasks after the last shuffle are as many as these need, so that no crowd of files arises."""
     spark = df.sparkSession
     path = shared_folder(spark)
+    if rows is not None:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     df.write.options(**options).format(form).save(path)
     return spark.read.schema(df.schema).format(form).load(path)
 

@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Entries of either half of a worker's cache, beside those of one column (bounds memory, never results).
-CACHE_ENTRIES = 150_000
+#: Entries of each part of a worker's cache, beside those of one column (bounds memory, never results).
+CACHE_ENTRIES = 120_000
 
 BAD, LETTER, DIGIT, SIGN, SPACE, BREAK = range(6)
 
@@ -81,30 +81,31 @@ def binary(ends: np.ndarray, data: np.ndarray) -> pa.Array:
 
 
 class Known:
-    """Values of pre-tokens. Those that a second column asks for are kept longest."""
+    """Values of pre-tokens: those met lately (in two halves, of which the older is given up), and longer those that
+    were met again."""
 
     def __init__(self, learn: Callable[[list], list]) -> None:
-        self.learn, self.again, self.once = learn, {}, {}
+        self.learn, self.again, self.young, self.old = learn, {}, {}, {}
 
     def __call__(self, pieces: list) -> list:
         """A value for each distinct piece."""
         if len(self.again) > CACHE_ENTRIES:
-            self.again, self.once = {}, self.again
-        elif len(self.once) > CACHE_ENTRIES:
-            self.once = {}
-        again, once = self.again, self.once
+            self.again, self.old = {}, self.again
+        if len(self.young) > CACHE_ENTRIES:
+            self.young, self.old = {}, self.young
+        again, young, old = self.again, self.young, self.old
         out = list(map(again.get, pieces))
-        lack = [i for i, v in enumerate(out) if v is None]
         new = []
-        for i in lack:
-            v = once.pop(pieces[i], None)
+        for i, v in enumerate(out):
             if v is None:
-                new.append(i)
-            else:
-                again[pieces[i]] = out[i] = v
-        got = self.learn([pieces[i] for i in new])
-        for i, v in zip(new, got, strict=True):
-            once[pieces[i]] = out[i] = v
+                p = pieces[i]
+                v = young.pop(p, None) or old.pop(p, None)
+                if v is None:
+                    new.append(i)
+                else:
+                    again[p] = out[i] = v
+        for i, v in zip(new, self.learn([pieces[i] for i in new]), strict=True):
+            young[pieces[i]] = out[i] = v
         return out
 
 

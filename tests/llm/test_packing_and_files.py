@@ -120,3 +120,50 @@ def test_op8_edges(spark, edge_docs, empty_docs):
 def test_plan_of_small_capacity(capacity):
     counts = dict.fromkeys(range(1, capacity + 1), 3)
     assert sum(r[2] for r in packing.plan_packing(counts, capacity)) == sum(counts.values())
+
+
+def test_op8_hot_ids_and_many_ranges(spark, monkeypatch):
+    """A third of the rows have one id and a third none: they are dealt to many ranges, and order holds all the same."""
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 4000)
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i} " + "word " * (i % 50)) for i in range(1500)]
+    path = shared_folder(spark)
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path, BYTE)
+    stored = spark.read.orc(path)
+    assert stored.select("part").distinct().count() > 30
+    assert stored.where("doc_id = 7").select("part").distinct().count() > 8 and stored.where("doc_id is null").select("part").distinct().count() > 8
+    got = sorted((tuple(r) for r in token_files.read_digest(spark, path).collect()), key=lambda r: r[1])
+    order = [-1 if r[0] is None else r[0] for r in got]
+    assert order == sorted(order)
+    at = 0
+    for _, start, n, _ in got:
+        assert start == at
+        at += n
+    want = [(d, n, crc) for d, _, n, crc in digest(zip([d for d, _ in rows], library(BYTE, [t for _, t in rows]), strict=True))]
+    key = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    assert sorted(((d, n, crc) for d, _, n, crc in got), key=key) == sorted(want, key=key)
+
+
+def test_op8_indexes_prune(spark):
+    """A row index of 1000 rows, run lengths that shrink repeats, and a Bloom filter that rules out an absent id."""
+    path = shared_folder(spark)
+    token_files.write_tokens(spark.createDataFrame([(2 * i, "the same words") for i in range(40_000)], "doc_id long, text string").coalesce(4), path, BYTE)
+
+    def scanned(df):
+        df.collect()
+        plan, out = df._jdf.queryExecution().executedPlan(), 0
+        nodes = [plan]
+        while nodes:
+            node = nodes.pop()
+            kids = node.children()
+            nodes += [kids.apply(i) for i in range(kids.size())]
+            if node.nodeName().startswith("Scan orc"):
+                out += node.metrics().apply("numOutputRows").value()
+        return out
+
+    assert scanned(token_files.lookup(spark, path, [20_000])) in range(1, 1001)
+    assert scanned(token_files.lookup(spark, path, [20_001])) == 0
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = [f.getPath() for f in jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).listStatus(jvm.org.apache.hadoop.fs.Path(path)) if f.getPath().getName().startswith("part-")]
+    reader = jvm.org.apache.orc.OrcFile.createReader(files[0], jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    assert reader.getRowIndexStride() == token_files.STRIDE and reader.getRawDataSize() > 8 * reader.getContentLength()
