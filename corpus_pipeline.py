@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Every stage takes (spark, docs, sf_dir) and gives a DataFrame; it is written as Parquet and read again as the next
-one's docs. All but the last give the columns of documents.
+one's docs. All but the last give the columns of documents; other columns, whatever their names, end at the first.
+No stage looks at a part of its rows or texts, and an empty table goes through all of them as one.
 """
 
 from __future__ import annotations
@@ -18,39 +19,47 @@ LANGUAGE_SCORE = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, with their values as they were. Nulls in any column are features
+    of their own, a null or empty text is judged as the empty text, a long one whole; repeated rows are judged
+    alike, so all of them stay or go; a score at the threshold is accepted. Without labels of both classes all stay."""
     return quality.classify(docs.select(*COLUMNS), common.table(spark, sf_dir, "labels")).where("accepted").select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows; lang stays as it was."""
+    """Documents in a language that the model knows; lang stays as it was, right or wrong or null. A text that is null
+    or empty, or has no letter, has no language and goes. Repeated rows are judged alike. Where no row has a language
+    to learn from, none is found, and all rows go."""
     return language.identify(docs.select(*COLUMNS)).where((F.col("lang_pred") != "und") & (F.col("score") >= LANGUAGE_SCORE)).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five-word shingles, Jaccard 0.8 or more, in chains too): that with the
     least doc_id, rows without one last; among equal ids that with the least hash of its columns. Repeated rows are
-    copies like any other, so one stays."""
+    copies like any other, so one stays; texts of fewer than five words are one shingle; null texts and those without
+    words are copies of each other. A text of any length is compared whole."""
     docs = docs.select(*COLUMNS)
     row = F.xxhash64(*COLUMNS)
     rows = docs.select("doc_id", row.alias("row"), near_copies.node().alias("node")).join(near_copies.groups(docs), "node", "left")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = rows.groupBy(F.coalesce("root", "node")).agg(F.min(order).alias("first")).select("first.row", "first.doc_id")
     copies = rows.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
-    kept = docs.withColumn("row", row).join(common.written(first.join(copies, "row").select("row", "copies")), "row")
+    kept = docs.withColumn("row", row).join(common.written(first.join(copies, "row").select("row", "copies"), rows=docs.count()), "row")
     repeated = kept.where("copies > 1").dropDuplicates(["row"])  # equal in all columns
     return kept.where("copies = 1").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without byte strings that start in an earlier document; texts of which nothing is left go."""
+    """Texts without byte strings that start in an earlier document; texts of which nothing is left go. Null, empty and
+    short texts stay as they are; rows of one doc_id don't remove from each other, and rows without one come last.
+    n_chars is counted anew where something was removed."""
     cut = suffix_dedup.suffix_array_dedup(docs.select(*COLUMNS))
     gone = (F.size("removed") > 0) & (F.length("text") == 0)
     return cut.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of what is left."""
+    """The packed pieces of what is left; a null or empty text is a piece of its end id alone, a long one is cut, and
+    rows that repeat or share a doc_id are packed each."""
     return packing.best_fit_pack(docs, common.tokenizer_file("word_bpe_49k.json"))
 
 
