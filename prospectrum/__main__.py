@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectrum.functions.rules import TAXONOMY, Vocabularies
+from prospectrum.functions.rules import TAXONOMY, Vocabularies, differences
 from prospectrum.functions.text import name_key, site_key
 from prospectrum.operators import leads, searches, service
 from prospectrum.plans import maintenance, pipeline
@@ -27,6 +27,11 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--only", nargs="*", help="sources, by key")
         if name == "reclassify":
             c.add_argument("--apply", action="store_true", help="write the rows; else the counts of outcomes")
+    c = sub.add_parser("migrate", help="a stored table of an earlier form in the present one")
+    c.add_argument("source")
+    c.add_argument("target")
+    c = sub.add_parser("drift", help="what a vocabulary file has otherwise than the built-in one; an error if there is anything")
+    c.add_argument("source")
     c = sub.add_parser("url", help="one company's site, from its captured pages (Parquet: host, path, html), to a scored lead")
     c.add_argument("website")
     c.add_argument("source")
@@ -119,6 +124,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "reclassify":
         out = maintenance.reclassified(spark.read.parquet(a.source), words.taxonomy)
         out = maintenance.collapsed(out.drop("outcome", "before"), "ord") if a.apply else service.counts_by(out, "outcome", "none")
+    elif a.command == "migrate":
+        out = maintenance.migrated(spark.read.parquet(a.source))
+    elif a.command == "drift":
+        if found := differences(Vocabularies.read("{}"), Vocabularies.read(spark.read.text(a.source, wholetext=True).first()[0])):
+            raise SystemExit("\n".join(found))
+        return
     elif a.command == "url":
         out = one_site(spark, a.website, spark.read.parquet(a.source))
     elif a.command == "firms":

@@ -38,6 +38,17 @@ class Vocabularies:
         return Vocabularies(tuple(spec["icp_words"]), of(spec["industries"]), of(spec["regions"]))
 
 
+def differences(ours: Vocabularies, theirs: Vocabularies) -> list[str]:
+    """What two copies of the vocabularies don't have in common, by slug or word; nothing if they are equal."""
+    out = [f"icp word {w}" for w in sorted(set(ours.icp_words) ^ set(theirs.icp_words))]
+    for kind, a, b in (("industry", ours.taxonomy, theirs.taxonomy), ("region", ours.regions, theirs.regions)):
+        x, y = dict(a.buckets), dict(b.buckets)
+        out += [f"{kind} {s}" for s in sorted(x.keys() | y.keys()) if x.get(s) != y.get(s)]
+        if not out and [s for s, _ in a.buckets] != [s for s, _ in b.buckets]:
+            out.append(f"order of the {kind} list")
+    return out
+
+
 DEFAULTS = pkgutil.get_data("prospectrum", "data/vocabularies.json").decode()
 _DEFAULT = Vocabularies.read("{}")
 ICP_WORDS, TAXONOMY, REGIONS = _DEFAULT.icp_words, _DEFAULT.taxonomy, _DEFAULT.regions

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Named HTML entities that are decoded, legal forms that names lose.
 ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&ndash;": "–", "&mdash;": "—", "&laquo;": "«", "&raquo;": "»"}
 LEGAL_FORMS = ["inc", "incorporated", "llc", "l\\.l\\.c", "ltd", "limited", "corp", "corporation", "co", "company", "pvt", "private", "fz-llc", "fze", "llp", "plc", "gmbh", "sa", "srl", "pty"]
+# The patterns that decide what is an address and what stands for no phone number.
 EMAIL = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9\-]+(?:\.[a-zA-Z0-9\-]+)*\.[a-zA-Z]{2,}$"
 PLACEHOLDER_PHONE = r"(?i)^(\+?0+|n/?a|none|null|undefined)$"
 ASCII_EDGE = "(?<![A-Za-z0-9_])(?:{})\\.?(?![A-Za-z0-9_])"

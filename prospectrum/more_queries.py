@@ -17,7 +17,7 @@ from prospectrum.operators.service import LeadsQuery
 from prospectrum.plans import maintenance, pipeline, targeting
 from prospectrum.runtime import table
 from prospectrum.source_queries import pages as source_pages
-from prospectrum.sources import captured
+from prospectrum.sources import captured, directories
 from prospectrum.streaming import incremental
 
 Frame = Callable[[SparkSession, str], DataFrame]
@@ -154,7 +154,7 @@ def web_tags(raw: Frame) -> Frame:
     return run
 
 
-def more_queries(raw: Frame, scored: Frame, base_sql: str, scored_sql: str, merged_sql: str, icp_sql: str, contact_sql: str, clean_sql: str, scored_of: Callable[[str], str]) -> dict[str, tuple[Frame, str]]:
+def more_queries(raw: Frame, scored: Frame, base_sql: str, scored_sql: str, merged_sql: str, icp_sql: str, contact_sql: str, clean_sql: str, scored_of: Callable[[str], str], key_sql: str) -> dict[str, tuple[Frame, str]]:
     def enriched(spark: SparkSession, sf: str) -> DataFrame:
         found = spark.range(700).where("id % 2 = 0").select(F.concat(F.lit("site"), F.col("id").cast("string"), F.lit(".com")).alias("host"), F.array(F.concat(F.lit("new"), F.col("id").cast("string"), F.lit("@a.com"))).alias("emails"), F.lit("https://linkedin.com/company/new").alias("linkedin"), F.lit(None).cast("string").alias("facebook"), F.lit("").alias("instagram"))
         return captured.enriched(raw(spark, sf), found).select("ord", "email", "all_emails", "linkedin", "facebook")
@@ -206,6 +206,18 @@ def more_queries(raw: Frame, scored: Frame, base_sql: str, scored_sql: str, merg
     def names(spark: SparkSession, sf: str) -> DataFrame:
         return raw(spark, sf).select("ord", captured.site_name(F.col("website")).alias("name"))
 
+    def exported(spark: SparkSession, sf: str) -> DataFrame:
+        return captured.csv_cells(service.export_leads(scored(spark, sf), LeadsQuery(tier="C")))
+
+    def migrated(spark: SparkSession, sf: str) -> DataFrame:
+        old = raw(spark, sf).select("ord", "company_name", "website", "rating", F.lit("7").alias("score"))
+        return maintenance.migrated(old).select("ord", "dedupe_key", "score", "status", "tier")
+
+    def organisations(spark: SparkSession, sf: str) -> DataFrame:
+        s = table(spark, sf, "supplier")
+        asked = s.select(F.col("s_name").alias("name"), F.expr("case when s_suppkey % 4 = 0 then '{\"items\": []}' else '{\"items\": [{\"login\": \"L' || cast(s_suppkey as string) || '\"}, {\"login\": \"x\"}]}' end").alias("payload"))
+        return directories.github_by_name(asked, source_pages(spark, sf, "github_orgs", "payload"))
+
     key = "'site' || cast(ord % 700 as varchar) || '.com'"
     score_case = contact_sql
     kept = f"with {clean_sql}, {merged_sql}, {scored_of('merged')}, f as (select {icp_sql} as a, {score_case} as b, not (email_verified = 'dead' and phone = '' and linkedin = '') as c, score >= 22 as d from scored)"
@@ -236,5 +248,8 @@ def more_queries(raw: Frame, scored: Frame, base_sql: str, scored_sql: str, merg
         "run_requests": (requests, "with q as (select c_custkey as r, c_custkey % 13 as s, c_nationkey % 2 as u from customer), j as (select *, s between 1 and 10 and s % 2 = u as mine, s in (1, 3, 5) as flying from q) select r as request_id, case when not mine then 404 when flying or row_number() over (partition by s, mine order by r) > 1 then 409 else 202 end as answer from j"),
         "seeded_deliveries": (seeded, scored_sql + "select id as lead_id, 7::bigint as saved_search_id, 'backfill' as delivery_reason from (select id from scored where tier = 'C' and id % 5 <> 0 order by score desc, id limit 200) where id % 4 <> 0"),
         "domain_statuses": (statuses, "select 'd' || cast(user_id as varchar) || '.com' as domain, case when bool_or(event_id % 7 = 0) then 'alive' when bool_or(event_id % 7 in (1, 2)) then 'dead' else 'unknown' end as status from events group by 1"),
+        "export_table": (exported, scored_sql + "select company_name, category, website, email, all_emails, phone, address, linkedin, facebook, '' as instagram, rating, review_count, company_size, source, coalesce(industry, '') as industry, coalesce(region, '') as region, coalesce(firm_size_band, '') as firm_size_band, cast(score as varchar) as score, tier, cast(scraped_at as varchar) as scraped_at from scored where tier = 'C'"),
+        "migrated_table": (migrated, f"with {base_sql} select ord, {key_sql} as dedupe_key, 7::int as score, 'new' as status, null::varchar as tier from raw"),
+        "organisations_by_name": (organisations, "select s_name as name, 'https://firm' || cast(s_suppkey as varchar) || '.example/home' as website, '/g/' || cast(s_suppkey as varchar) as profile_url, 1.0::double as confidence from supplier where s_suppkey % 4 <> 0"),
         "site_names": (names, f"with {base_sql} select ord, case when website = '' then '' else 'site' || cast(ord % 700 as varchar) end as name from raw"),
     }

@@ -57,12 +57,14 @@ def listed(searches: DataFrame, user_id: str) -> DataFrame:
 
 
 def changed(searches: DataFrame, asked: DataFrame) -> DataFrame:
-    """asked: id, user_id, name, is_active; null leaves a value. Only a user's own rows change, and no row whose new
-    name is empty or too long. Of several requests for a row the one with the greatest request_id counts."""
-    ok = asked.where(F.col("name").isNull() | name_problem(F.col("name")).isNull())
-    last = ok.groupBy("id", "user_id").agg(F.max_by(F.struct(F.trim("name").alias("name"), "is_active"), "request_id").alias("_new"))
+    """asked: id, user_id, name, is_active and, if it has it, schedule; null leaves a value. Only a user's own rows
+    change, and no row whose new name is empty or too long or whose schedule isn't known. Of several requests for a
+    row the one with the greatest request_id counts."""
+    asked = asked if "schedule" in asked.columns else asked.withColumn("schedule", F.lit(None).cast("string"))
+    ok = asked.where((F.col("name").isNull() | name_problem(F.col("name")).isNull()) & (F.col("schedule").isNull() | F.col("schedule").isin(*SCHEDULES)))
+    last = ok.groupBy("id", "user_id").agg(F.max_by(F.struct(F.trim("name").alias("name"), "is_active", "schedule"), "request_id").alias("_new"))
     out = searches.join(last, ["id", "user_id"], "left")
-    return out.withColumns({"name": F.coalesce("_new.name", "name"), "is_active": F.coalesce("_new.is_active", "is_active")}).select(*searches.columns)
+    return out.withColumns({c: F.coalesce(f"_new.{c}", c) for c in ("name", "is_active", "schedule")}).select(*searches.columns)
 
 
 def deleted(searches: DataFrame, asked: DataFrame) -> DataFrame:

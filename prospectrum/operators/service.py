@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import subprocess
 import threading
 import time
 from collections.abc import Callable, Iterator
@@ -313,6 +314,25 @@ def classify_with(df: DataFrame, calls: Callable[[str], str] | list[Callable[[st
     return df.mapInPandas(run, f"{schema}, answer string, error string")
 
 
+def through_process(df: DataFrame, command: list[str], column: str, into: str, wait: float = 60.0) -> DataFrame:
+    """Adds what a program says about a column: it gets a JSON string a line and answers with one a line, in order. One
+    program runs for each Arrow batch; rows of a batch for which it fails, or takes too long, get null."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            try:
+                said = subprocess.run(command, input="".join(json.dumps(x) + "\n" for x in pdf[column]), capture_output=True, text=True, timeout=wait, check=True).stdout
+                out = [json.loads(x) for x in said.splitlines()]
+                if len(out) != len(pdf):
+                    raise ValueError("not an answer for each line")
+            except (OSError, ValueError, subprocess.SubprocessError):
+                out = [None] * len(pdf)
+            yield pdf.assign(**{into: out})
+
+    return df.mapInPandas(run, f"{schema}, `{into}` string")
+
+
 def classified(df: DataFrame, allowed: list[str], model: str, now: Column) -> DataFrame:
     """Rows with an answer, updated by what it says; others stay."""
     p = parsed_answer(F.col("answer"), allowed)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prospectrum.functions.rules import TAXONOMY, Vocabulary
-from prospectrum.functions.text import present, truthy
+from prospectrum.functions.text import dedupe_key, present, truthy
 from prospectrum.operators import leads
 
 # Fixed value: sources of a classification that the rules leave alone.
@@ -74,9 +74,25 @@ def pending(firms: DataFrame, done: DataFrame, key: Column) -> DataFrame:
 
 
 def outcomes(df: DataFrame) -> DataFrame:
-    """One row about a pass of model calls (answer, error, parsed): classified, failed, unusable, total."""
+    """One row about a pass of model calls (answer, error, parsed, and tokens if known): classified, failed, unusable,
+    total, and the tokens used."""
     ok, failed = F.col("parsed").isNotNull(), F.col("error").isNotNull()
-    return df.agg(F.count_if(ok).alias("classified"), F.count_if(failed).alias("failed"), F.count_if(~ok & ~failed).alias("unusable"), F.count(F.lit(1)).alias("total"))
+    tokens = [F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")] if "tokens" in df.columns else []
+    return df.agg(F.count_if(ok).alias("classified"), F.count_if(failed).alias("failed"), F.count_if(~ok & ~failed).alias("unusable"), F.count(F.lit(1)).alias("total"), *tokens)
+
+
+# Fixed value: columns of the stored table beside those of a lead, in the order in which they were added.
+STORED = {"id": "long", "dedupe_key": "string", "created_at": "timestamp", "updated_at": "timestamp", "status": "string", "deleted_at": "timestamp", "llm_model": "string", "classified_at": "timestamp"}
+
+
+def migrated(df: DataFrame) -> DataFrame:
+    """A stored table of any earlier form in the present one: columns that came later are null (status: new), types are
+    cast, and a missing key or id is made. Columns that aren't known stay at the end. Doing it again changes nothing."""
+    have = set(df.columns)
+    own = {c: F.col(c).cast(k) if c in have else F.lit(None).cast(k) for c, k in (leads.KINDS | STORED).items()}
+    out = df.select(*(e.alias(c) for c, e in own.items()), *(c for c in df.columns if c not in own))
+    out = out.withColumn("dedupe_key", F.coalesce("dedupe_key", dedupe_key(F.col("website"), F.col("company_name"))))
+    return out.withColumns({"id": F.coalesce("id", F.xxhash64("dedupe_key")), "status": F.coalesce("status", F.lit("new"))})
 
 
 def exported(df: DataFrame) -> DataFrame:

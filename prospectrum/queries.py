@@ -356,4 +356,4 @@ PREMIUM_FALLBACK_SQL = or_sql("lower(concat_ws(' ', coalesce(category, ''), coal
 QUERIES["unclassified_score"] = (lambda s, d: leads.scored(raw_leads(s, d)).select("ord", "score"), f"with {BASE_SQL}, h as (select *, coalesce(try_cast(regexp_extract(rating, '^\\d+\\.?\\d*') as double), 0) as rt, coalesce(try_cast(regexp_extract(review_count, '^\\d+') as bigint), 0) as rv, case when {PREMIUM_FALLBACK_SQL} then ['ai-ml'] else ['none'] end as tags, 0 as employee_count from raw) select ord, {SCORE_SQL} as score from h")
 QUERIES |= SOURCE_QUERIES
 QUERIES |= job_queries(raw_leads, scored, BASE_SQL, f"coalesce({KEY_SQL}, {NAME_SQL})", SCORED_SQL)
-QUERIES |= more_queries(raw_leads, scored, BASE_SQL, SCORED_SQL, MERGED_SQL, ICP_SQL, CONTACT_TEST, CLEAN_RAW_SQL, scored_sql)
+QUERIES |= more_queries(raw_leads, scored, BASE_SQL, SCORED_SQL, MERGED_SQL, ICP_SQL, CONTACT_TEST, CLEAN_RAW_SQL, scored_sql, f"coalesce({KEY_SQL}, {NAME_SQL})")

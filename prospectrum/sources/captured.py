@@ -199,7 +199,7 @@ def csv_cells(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    csv_cells(df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", lineSep="\n")
+    csv_cells(df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", lineSep="\r\n")
 
 
 #: Sources in order: key -> (source, engine, parser of captured rows). Parsers that need a second capture take it as "<key>_pages".

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prospectrum.functions.rules import name_confidence
 from prospectrum.functions.text import EMAIL, present, site_key, url_decoded
 from prospectrum.operators.leads import first_seen
 
@@ -251,6 +252,16 @@ def footer_paths(html: Column) -> Column:
     return F.array_distinct(F.filter(paths, lambda p: p.rlike(r"(?i)^/?[^:]*(contact|about|team|leadership|company)")))
 
 
+def github_by_name(searches: DataFrame, organisations: DataFrame) -> DataFrame:
+    """A strategy's table (name, website, profile_url, confidence) from captured organisation searches (name, payload)
+    and the organisations' own answers (payload): the first hit of a search counts, if its organisation has a site."""
+    kind = "items array<struct<login: string>>"
+    first = searches.select("name", F.lower(F.get(F.from_json("payload", kind)["items"], F.lit(0))["login"]).alias("login")).where("login is not null")
+    own = organisations.select(F.from_json("payload", "login string, name string, blog string, html_url string").alias("o")).select(F.lower("o.login").alias("login"), F.coalesce(F.nullif("o.name", F.lit("")), "o.login").alias("found"), F.nullif("o.blog", F.lit("")).alias("blog"), F.coalesce("o.html_url", F.lit("")).alias("profile_url")).where("blog is not null").dropDuplicates(["login"])
+    site = F.when(F.col("blog").rlike(r"^https?://"), F.col("blog")).otherwise(F.concat(F.lit("https://"), "blog"))
+    return first.join(own, "login").select("name", site.alias("website"), "profile_url", name_confidence(F.col("name"), F.col("found")).alias("confidence"))
+
+
 def resolved(firms: DataFrame, *strategies: tuple[str, DataFrame]) -> DataFrame:
     """firms (name) with website, profile_url, strategy and confidence of the first strategy that has a website for the
     name. A strategy's table is (name, website, profile_url, confidence); its first row of a name by website counts."""

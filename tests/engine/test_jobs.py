@@ -216,3 +216,25 @@ def test_commands_on_demand(spark, tmp_path):
     cli.main(["saved-searches", at("db"), at("next")], spark)
     assert [(r.user_id, r.lead_id, r.saved_search_id, r.scrape_run_id) for r in spark.read.parquet(at("next/user_leads")).collect()] == [("u1", 1, 1, 7)]
     assert {(r.id, r.status, r.leads_found) for r in spark.read.parquet(at("next/runs")).collect()} == {(5, "done", None), (6, "failed", None), (7, "done", 1)}
+
+
+def test_a_program_on_the_executors(spark):
+    import sys
+
+    df = spark.createDataFrame([("a\nb",), (None,), ("c",)], "html string").coalesce(1)
+    shout = [sys.executable, "-c", "import sys, json\nfor x in sys.stdin: print(json.dumps((json.loads(x) or '').upper()))"]
+    assert [r.text for r in service.through_process(df, shout, "html", "text").collect()] == ["A\nB", "", "C"]
+    assert [r.text for r in service.through_process(df, [sys.executable, "-c", "print(1)"], "html", "text").collect()] == [None] * 3
+
+
+def test_drift_and_migration(spark, tmp_path):
+    (tmp_path / "same.json").write_text("{}")
+    cli.main(["drift", str(tmp_path / "same.json")], spark)
+    (tmp_path / "other.json").write_text('{"icp_words": ["x"], "regions": []}')
+    with pytest.raises(SystemExit) as e:
+        cli.main(["drift", str(tmp_path / "other.json")], spark)
+    assert "region europe" in str(e.value) and "icp word x" in str(e.value)
+    old = spark.createDataFrame([("A Ltd", "5", "kept")], "company_name string, score string, extra string")
+    once = maintenance.migrated(old)
+    assert [(r.dedupe_key, r.score, r.status, r.extra) for r in once.collect()] == [("a", 5, "new", "kept")]
+    assert maintenance.migrated(once).collect() == once.collect()
