@@ -102,7 +102,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
 
 SMALL = "ord as id, company_name, score, tier, industry, source"
 SMALL_COLUMNS = ["id", "company_name", "score", "tier", "industry", "source"]
-SEARCH = LeadsQuery(tier="C", min_score=36, has_email=True, search=" CONSULT")
+SEARCH = LeadsQuery(tier="C", min_score=36, has_email=True, search=" AGENCY")
 SAVED = LeadsQuery(min_score=0, max_score=60, search="germany", tag="healthcare")
 PAGES_OF = {"query_page_desc": LeadsQuery(page=2, page_size=25), "query_page_asc": LeadsQuery(sort_col="scraped_at", sort_dir="asc", page=3, page_size=500), "query_search": SEARCH, **{f"preset_{k}": q for k, q in service.PRESETS.items()}}
 
