@@ -21,15 +21,16 @@ from prospectrum.llm import common
 
 TOP, EVERY = 20, 20
 #: Links of a node by inner product and in space; points that a search keeps, when building and when asked.
-M_PRODUCT, M_SPACE, EF_PRODUCT, EF_SPACE, EF_SEARCH = 32, 16, 48, 32, 160
+M_PRODUCT, M_SPACE, EF_PRODUCT, EF_SPACE, EF_SEARCH = 32, 16, 48, 24, 160
 #: Layers: each has so many times fewer nodes, down to so many; a search takes ENTRIES points of the layer above.
 SHRINK, TOP_NODES, EF_UPPER, ENTRIES = 16, 128, 16, 8
 EXPAND, SEEN, BATCH = 4, 4096, 1024
 NOBODY = -(1 << 63)
 ONE, NONE = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Shards: so many at least (a constant, so that work grows with the rows), and one more for so many vectors.
-SHARDS, SHARD_ROWS = 8, 50_000
-BLOCK_QUERIES = 4096
+SHARDS, SHARD_ROWS = 4, 50_000
+#: Queries of a block: as many bytes as a shard, since blocks go to every shard and shards to every block.
+BLOCK_QUERIES = 65_536
 #: Queries that walk in step.
 WALKERS = 256
 
