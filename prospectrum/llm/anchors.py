@@ -10,7 +10,7 @@ share their key's place; together they form a *context*. Five passes, of which e
 4. bucket: an index over the contexts (suffix array or FM-index) finds which strings recur; sent back;
 5. text group: recurring strings cover units of documents.
 
-Groups are dealt by a hash of doc_id and are as many as the text needs. A key or context reaches a bucket once
+Groups are dealt by a hash of doc_id and text and are as many as the text needs. A key or context reaches a bucket once
 from each text group, however often it occurs there: a third of all rows being copies of one text adds one
 context per key and group. Rows are arrays in binary columns: a row for each pair of group and bucket that
 have something to tell each other, so never more rows than keys.
@@ -336,7 +336,7 @@ class Search:
         groups = common.groups_for(common.text_bytes(docs))
         keep = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest))) if rest else F.lit(None).cast("string")
         doc_id = F.col("doc_id").cast("long")
-        base = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(groups)).cast("int").alias("_p"), doc_id.alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"), keep.alias("rest")).repartition(groups, "_p")
+        base = docs.select(F.pmod(F.xxhash64(doc_id, F.col("text").cast("string")), F.lit(groups)).cast("int").alias("_p"), doc_id.alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw"), keep.alias("rest")).repartition(groups, "_p")
         keys = base.groupBy("_p").applyInArrow(lean(self.keys(groups)), "bucket int, p int, once binary, more binary")
         again = keys.groupBy("bucket").applyInArrow(lean(self.repeated), "p int, keys binary").repartition(groups, "p")
         found = base.groupBy("_p").cogroup(again.groupBy("p")).applyInArrow(lean2(self.contexts(SPLIT * groups, splitters)), "bucket int, p int, key binary, hash binary, data binary, ends binary, low binary, high binary")

@@ -58,7 +58,16 @@ def written(df: DataFrame, form: str = "parquet", rows: int | None = None, **opt
     if rows is not None:
         df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     df.write.options(**options).format(form).save(path)
-    return spark.read.schema(df.schema).format(form).load(path)
+    out = spark.read.schema(df.schema).format(form).load(path)
+    out.written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a table that written() made and that nothing will read again."""
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -168,8 +168,8 @@ def remaining(t: pa.Table, masks: list[np.ndarray], units: list[np.ndarray]) ->
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, text (kept words joined by one space) and n_removed of each row: words covered by a window of 35
     words that also starts anywhere else are gone. Null text stays null; texts of fewer words stay whole;
-    repeated rows are occurrences of each other; an empty table gives an empty result; extra columns are
-    ignored."""
+    repeated rows are occurrences of each other, whatever their doc_id; texts of any length are searched whole, in parts
+    that overlap by a window; an empty table gives an empty result; extra columns are ignored."""
     return SEARCH.run(docs, remaining, "doc_id long, text string, n_removed long")
 
 

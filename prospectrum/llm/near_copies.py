@@ -2,10 +2,11 @@
 
 SimHash bits can't find them all: pairs at 0.8 lie 5 to 17 of 64 bits apart. So operator 10's index over the
 shingles' fingerprints is joined by bands of least hashes: 20 bands of 5 meet at 0.8 with probability 0.9996. Every
-pair is then verified on the shingles themselves. Equal texts are one node.
+link is verified on the shingles themselves. Equal texts are one node.
 
-A list's nodes are compared with its first; then, sorted by their next band, with up to WIDE that follow, where the
-first links don't connect them. So work grows with the rows, not with the square of a list.
+First each node is compared with the first of each of its lists. Lists whose nodes that leaves unconnected are then
+compared whole, within one task a list and on the shingles themselves; what leaves the task is a forest of verified
+links, never all pairs. A list longer than WHOLE is cut by bands of further least hashes first.
 """
 
 from __future__ import annotations
@@ -23,7 +24,12 @@ from prospectrum.llm.components import components
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
-WIDE = 128
+#: Nodes of a list that are compared each with each; longer lists are cut by so many bands of so many places first.
+WHOLE, PLACES, CUTS, CUT_PLACES = 4096, 256, 32, 8
+#: Bytes of shingles that a bucket of lists gets on average.
+BUCKET_BYTES = 4_000_000
+#: Bits that tell most texts without candidates, as a power of two (2 MB).
+MOST_BITS = 24
 _RNG = np.random.default_rng(5)
 FACTORS = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 OFFSETS = _RNG.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
@@ -58,57 +64,128 @@ def signatures(docs: DataFrame) -> DataFrame:
     return common.map_arrow(docs.select(node().alias("node"), F.col("text").cast("string").cast("binary").alias("raw")), run, "node long, fp long, bands array<long>")
 
 
-def neighbours(key: np.ndarray, nodes: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each node with those up to WIDE places on in its list, where their roots differ; key is sorted."""
-    a, b = [nodes[:0]], [nodes[:0]]
-    for step in range(1, min(WIDE + 1, len(key))):
-        same = key[step:] == key[:-step]
-        if not same.any():
-            break
-        i = np.flatnonzero(same & (roots[step:] != roots[:-step]))
-        a.append(nodes[i])
-        b.append(nodes[i + step])
-    return np.concatenate(a), np.concatenate(b)
-
-
-def firsts(key: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each node with its list's first; key is sorted."""
-    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-    return nodes[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))], nodes
-
-
-def band_pairs(signed: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """(a, b), a below b: firsts in the lists of the bands, or neighbours that roots (node, root) don't connect."""
-    buckets = max(16, -(-signed.count() * BANDS // simhash.BUCKET_ROWS))
-    following = F.concat(F.slice("bands", 2, BANDS - 1), F.slice("bands", 1, 1))
-    rows = signed.withColumn("root", F.col("node")) if roots is None else signed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    entries = rows.select("node", "root", F.explode(F.arrays_zip(F.col("bands").alias("key"), following.alias("following"))).alias("e")).select("node", "root", "e.key", "e.following")
-    star = roots is None
+def lists(signed: DataFrame, n: int) -> DataFrame:
+    """(key, node, first) of all lists of two nodes or more; first is a list's least node. n: nodes."""
+    buckets = max(16, -(-n * BANDS // simhash.BUCKET_ROWS))
 
     def run(t: pa.Table) -> pa.Table:
-        key, following, nodes, root = (t.column(c).combine_chunks().to_numpy() for c in ("key", "following", "node", "root"))
-        order = np.lexsort((nodes, key) if star else (nodes, following, key))
-        key, nodes, root = key[order], nodes[order], root[order]
-        a, b = firsts(key, nodes) if star else neighbours(key, nodes, root)
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[a != b], axis=0)
-        return pa.table({"a": both[:, 0], "b": both[:, 1]})
-
-    common.ship(signed.sparkSession)
-    return entries.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "a long, b long")
-
+        key, nodes = (t.column(c).combine_chunks().to_numpy() for c in ("key", "node"))
+        order = np.lexsort((nodes, key))
+        key, nodes = key[order], nodes[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        sizes = np.diff(np.append(np.flatnonzero(new), len(key)))
+        shared, first = np.repeat(sizes > 1, sizes), np.repeat(nodes[new], sizes)
+        return pa.table({"key": key[shared], "node": nodes[shared], "first": first[shared]})
+
+    entries = signed.select("node", F.explode("bands").alias("key"))
+    return entries.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "key long, node long, first long")
+
+
+def sketch(own: np.ndarray) -> np.ndarray:
+    """Of sorted shingles the least of each of 256 shares, by its last bits; 0 where there is none."""
+    share = (own >> np.uint64(56)).astype(np.int64)
+    first = np.flatnonzero(np.diff(share, prepend=-1))
+    out = np.zeros(PLACES, np.uint8)
+    out[share[first]] = 1 + (own[first] % np.uint64(255)).astype(np.uint8)
+    return out
+
+
+def cut_list(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Members of a list, whole or, if it is long, those that are equal in a band of places."""
+    if len(sets) <= WHOLE:
+        yield np.arange(len(sets))
+        return
+    s = np.stack([sketch(x) for x in sets])
+    for k in range(CUTS):
+        band = np.ascontiguousarray(s[:, k * CUT_PLACES : (k + 1) * CUT_PLACES]).view(np.uint64).ravel()
+        order = np.argsort(band, kind="stable")
+        edges = np.flatnonzero(np.diff(band[order])) + 1
+        yield from (own for own in np.split(order, edges) if len(own) > 1)
+
+
+def verified_forest(sets: list[np.ndarray], root: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of members, near copies all, that connect what root leaves apart among them. A member is compared with
+    all that follow it and have another root in one pass over their shingles."""
+    sizes = np.array([len(x) for x in sets])
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(known), bool)
+    root, out = np.unique(root, return_inverse=True)[1], []
+    for i in range(len(sets) - 1):
+        if not (root[i + 1 :] != root[i]).any():
+            continue
+        if not sizes[i]:
+            hit = sizes[i + 1 :] == 0
+        else:
+            own = flat[start[i] : start[i] + sizes[i]]
+            mark[own] = True
+            counts = np.concatenate([[0], np.cumsum(mark[flat[start[i + 1] :]])])
+            at = start[i + 1 :] - start[i + 1]
+            both = counts[at + sizes[i + 1 :]] - counts[at]
+            mark[own] = False
+            hit = 5 * both >= 4 * (sizes[i] + sizes[i + 1 :] - both)
+        for j in (i + 1 + np.flatnonzero(hit & (root[i + 1 :] != root[i]))).tolist():
+            if root[j] != root[i]:
+                out.append((i, j))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def open_links(held: DataFrame, sets: DataFrame, roots: DataFrame, n: int) -> DataFrame:
+    """(a, b): verified links that connect the roots of lists; held: see lists(); sets: shingles of all that is in it."""
+    rooted = common.written(held.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), rows=BANDS * n)
+    apart = rooted.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+    live = common.written(rooted.join(apart, "key", "left_semi"), rows=BANDS * n)
+    size = sets.agg(F.avg(F.octet_length("own"))).first()[0] or 0
+    buckets = max(64, int(live.count() * size / BUCKET_BYTES))
 
-def fingerprint_pairs(signed: DataFrame) -> DataFrame:
+    def run(t: pa.Table) -> pa.Table:
+        key, nodes, root = (t.column(c).combine_chunks().to_numpy() for c in ("key", "node", "root"))
+        own = t.column("own")
+        order = np.lexsort((nodes, key))
+        a, b = [], []
+        for one in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            members = [np.frombuffer(own[i].as_py(), np.uint64) for i in one.tolist()]
+            for part in cut_list(members):
+                for i, j in verified_forest([members[k] for k in part.tolist()], root[one[part]]):
+                    a.append(int(nodes[one[part[i]]]))
+                    b.append(int(nodes[one[part[j]]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    common.ship(held.sparkSession)
+    rows = live.hint("merge").join(sets, "node").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
+    return rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(run, "a long, b long")
+
+
+def fingerprint_pairs(signed: DataFrame, n: int) -> DataFrame:
     """(a, b), a below b: what operator 10's index links, and nodes of one fingerprint with their least."""
-    distinct = common.written(signed.groupBy("fp").agg(F.min("node").alias("rep")))
+    distinct = common.written(signed.groupBy("fp").agg(F.min("node").alias("rep")), rows=n)
     same = signed.join(distinct, "fp").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     both = simhash.links(distinct).unionByName(same).where("a != b")
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def bit_words(numbers: DataFrame, column: str, n: int) -> tuple[DataFrame, int]:
+    """((word, bits), number of bits): the words of a row of bits of which each number has one set; others share them.
+    There are 2 ** MOST_BITS bits at most, so the words may be broadcast whatever the corpus."""
+    size = 1 << min(MOST_BITS, max(16, (8 * n).bit_length()))
+    word = F.shiftright(F.col(column).bitwiseAND(F.lit(size - 1)), 6).alias("word")
+    return numbers.groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, cast(`{column}` & 63 as int)))").alias("bits")), size
+
+
+def told(df: DataFrame, column: str, words: DataFrame, size: int) -> DataFrame:
+    """df with told: whether a number's bit is set."""
+    word = F.shiftright(F.col(column).bitwiseAND(F.lit(size - 1)), 6)
+    hit = F.expr(f"shiftright(bits, cast(`{column}` & 63 as int)) & 1 = 1")
+    return df.withColumn("word", word).join(F.broadcast(words), "word", "left").withColumn("told", F.coalesce(hit, F.lit(False))).drop("word", "bits")
+
+
 def shingle_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, own): the sorted distinct shingles of the texts in pairs."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.select(node().alias("node"), F.col("text").cast("string").cast("binary").alias("raw")).join(nodes, "node", "left_semi")
+    """(node, own): the sorted distinct shingles of the texts in pairs. Most other texts are told by their bits where
+    they are read, so that shingles are shuffled and no texts."""
+    nodes = common.written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    words, size = bit_words(nodes, "node", nodes.count())
+    texts = told(docs.select(node().alias("node"), F.col("text").cast("string").cast("binary").alias("raw")), "node", words, size).where("told").select("node", "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
@@ -116,7 +193,7 @@ def shingle_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(own, pa.binary())], names=["node", "own"])
 
     # Equal texts have equal sets: any of a node's will do.
-    return common.written(common.map_arrow(texts, run, "node long, own binary").dropDuplicates(["node"]))
+    return common.written(common.map_arrow(texts, run, "node long, own binary").join(nodes.hint("merge"), "node", "left_semi").dropDuplicates(["node"]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -127,7 +204,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(b.column("own").to_pylist(), b.column("other").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    joined = pairs.join(sets.withColumnRenamed("node", "a"), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("other")), "b")
+    # Pairs grow with the corpus, so these are shuffle joins at every size.
+    joined = pairs.hint("merge").join(sets.withColumnRenamed("node", "a"), "a").hint("merge").join(sets.select(F.col("node").alias("b"), F.col("own").alias("other")), "b")
     return common.written(common.map_arrow(joined.select("a", "b", "own", "other"), run, "a long, b long"))
 
 
@@ -144,10 +222,13 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 def groups(docs: DataFrame) -> DataFrame:
     """(node, root) for the nodes of docs (text) that have near copies of other texts."""
+    common.ship(docs.sparkSession)
     signed = common.written(signatures(docs).dropDuplicates(["node"]))
-    pairs = common.written(band_pairs(signed).unionByName(fingerprint_pairs(signed)).distinct())
-    sets = shingle_sets(docs, pairs)  # a list's nodes are all in pairs with its first
-    roots = common.written(components(verified(pairs, sets)))
-    apart = common.written(band_pairs(signed, roots).distinct())
-    more = verified(apart, sets)
-    return roots if more.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    n = signed.count()
+    held = common.written(lists(signed, n), rows=BANDS * n)
+    stars = held.where("node <> first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b"))
+    pairs = common.written(stars.unionByName(fingerprint_pairs(signed, n)).distinct(), rows=BANDS * n)
+    sets = shingle_sets(docs, pairs.unionByName(held.select(F.col("node").alias("a"), F.col("first").alias("b"))))
+    roots = common.written(components(verified(pairs, sets), n), rows=n)
+    more = common.written(open_links(held, sets, roots, n), rows=n)
+    return roots if more.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), n)

@@ -143,11 +143,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits) and component_id, the least doc_id that links reach.
 
     Null and empty texts have fingerprint zero and link like any other. Rows without doc_id take part, but
-    give no component id. Repeated rows share theirs. An empty table gives an empty result; extra columns are
-    ignored."""
+    give no component id. Repeated rows share theirs, and so do different texts of equal fingerprints; half of the
+    shingles is no majority, so a tie leaves a bit at 0. A text of any length is hashed whole, 4,096 shingles at a
+    time. An empty table gives an empty result; extra columns are ignored."""
     rows = common.written(fingerprints(docs))
-    distinct = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).select("fp", F.coalesce("rep", F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(1 << 60))).alias("rep")))
-    roots = components(links(distinct)).withColumnRenamed("node", "rep")
+    n = rows.count()
+    distinct = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")).select("fp", F.coalesce("rep", F.lit(NO_ID) + F.pmod(F.xxhash64("fp"), F.lit(1 << 60))).alias("rep")), rows=n)
+    roots = components(links(distinct), n).withColumnRenamed("node", "rep")
     classes = distinct.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
 

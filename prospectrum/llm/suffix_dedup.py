@@ -179,8 +179,9 @@ def suffix_array_dedup(docs: DataFrame) -> DataFrame:
 
     Adds ``removed``, the spans (start, end) of bytes taken out of the text's UTF-8; keeps the other columns. A
     character cut by a span's border goes with it. Null text stays null and short texts stay whole. Documents
-    of equal doc_id do not remove from each other; a null doc_id counts as larger than all. A column named
-    ``removed`` is replaced."""
+    of equal doc_id, repeated rows among them, do not remove from each other; a null doc_id counts as larger than all.
+    Texts of any length are searched whole, in parts that overlap by a string. Other columns may have any names; one
+    named ``removed`` is replaced. An empty table gives an empty result."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "removed")]
     kinds = dict(docs.dtypes)
     inner = "string" if not rest else "struct<" + ",".join(f"c{i}:{kinds[c]}" for i, c in enumerate(rest)) + ">"

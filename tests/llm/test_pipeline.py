@@ -1,7 +1,7 @@
 import duckdb
 import public_tokenizers
+from test_near_copies import first_of_groups
 from test_packing_and_files import check_packing, library
-from test_simhash import brute, slow_fingerprint
 
 import corpus_pipeline as cp
 from prospectrum.llm.common import documents, written
@@ -9,8 +9,8 @@ from prospectrum.llm.common import documents, written
 
 def by_hand(docs):
     """docs: rows after the classifiers. What the last three stages do, written plainly."""
-    near = {d: c for d, _, c in brute([(r.doc_id, slow_fingerprint(r.text)) for r in docs])}
-    left = [(r.doc_id, r.text) for r in docs if near[r.doc_id] == r.doc_id]
+    first = set(first_of_groups(sorted((r.doc_id, r.text) for r in docs)))
+    left = [(r.doc_id, r.text) for r in docs if r.doc_id in first]
     least = {}
     raws = {d: t.encode() for d, t in left}
     for d, r in raws.items():
@@ -51,8 +51,27 @@ def test_stages_against_brute_force(spark, sf_dir):
 
 
 def test_edges(spark, sf_dir, edge_docs, empty_docs):
-    for docs in (edge_docs, empty_docs):
-        docs = docs.select(*cp.COLUMNS)
-        for _, stage in cp.STAGES:
-            docs = written(stage(spark, docs, sf_dir))
-        docs.collect()
+    """Rows with nulls, empty texts, repeats and ids that clash: each stage alone, on the same rows."""
+    docs = edge_docs.select(*cp.COLUMNS)
+    rows = docs.collect()
+    out = [written(stage(spark, docs, sf_dir)).collect() for _, stage in cp.STAGES]
+    quality, language, near, cut, packed = out
+    assert {tuple(r) for r in quality} <= {tuple(r) for r in rows}
+    assert sorted((r.doc_id, r.text) for r in language if r.doc_id is not None) == sorted((r.doc_id, r.text) for r in rows if r.doc_id is not None and r.text is not None and any(map(str.isalpha, r.text)) and r.doc_id in {x.doc_id for x in language})
+    assert not {None, "", " "} & {r.text for r in language}
+    assert sorted(r.doc_id for r in near if r.doc_id is not None) == sorted(first_of_groups(sorted({(r.doc_id, r.text) for r in rows if r.doc_id is not None})))
+    assert sorted(map(str, cut)) == sorted(str(r) for r in rows)  # nothing is shared but what one doc_id has
+    word = public_tokenizers.path("word_bpe_49k.json")
+    check_packing([tuple(r) for r in packed], zip([r.doc_id for r in rows], library(word, [r.text for r in rows]), strict=True))
+    docs = empty_docs.select(*cp.COLUMNS)
+    for _, stage in cp.STAGES:
+        docs = written(stage(spark, docs, sf_dir))
+    assert docs.collect() == []
+
+
+def test_copies_that_share_an_id(spark, sf_dir):
+    """Copies under one id and under none: one row stays, and the next stages see no other."""
+    long = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, long)] * 3 + [(None, long)] * 3 + [(2, long + " more")]
+    docs = spark.createDataFrame([(i, t, "en", "x", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [(r.doc_id, r.text) for r in cp.near_duplicate_stage(spark, docs, sf_dir).collect()] == [(1, long)]
