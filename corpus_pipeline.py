@@ -40,12 +40,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     docs = docs.select(*COLUMNS)
     row = F.xxhash64(*COLUMNS)
     rows = docs.select("doc_id", row.alias("row"), near_copies.node().alias("node")).join(near_copies.groups(docs), "node", "left")
+    rows = common.written(rows, rows=docs.count())
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    first = rows.groupBy(F.coalesce("root", "node")).agg(F.min(order).alias("first")).select("first.row", "first.doc_id")
-    copies = rows.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
-    kept = docs.withColumn("row", row).join(common.written(first.join(copies, "row").select("row", "copies"), rows=docs.count()), "row")
-    repeated = kept.where("copies > 1").dropDuplicates(["row"])  # equal in all columns
-    return kept.where("copies = 1").select(*COLUMNS).unionByName(repeated.select(*COLUMNS))
+    group = F.coalesce("root", "node").alias("group")
+    crowds = rows.groupBy(group).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("group", F.col("first.row").alias("stays"))
+    judged = rows.select("row", group).join(crowds, "group").groupBy("row").agg(F.bool_or(F.col("row") == F.col("stays")).alias("stays"), F.count(F.lit(1)).alias("copies"))
+    judged = common.written(judged, rows=docs.count())
+    # Most rows are alone in their group, and are told by their bits where they are read; only the others are dealt.
+    words, size = near_copies.bit_words(judged, "row", judged.count())
+    seen = near_copies.told(docs.withColumn("row", row), "row", words, size)
+    alone, others = seen.where("not told"), seen.where("told").join(judged.hint("merge"), "row", "left")
+    out = alone.select(*COLUMNS).unionByName(others.where("stays is null or (stays and copies = 1)").select(*COLUMNS))
+    if judged.where("stays and copies > 1").isEmpty():
+        return out
+    repeated = others.where("stays and copies > 1").dropDuplicates(["row"])  # equal in all columns
+    return out.unionByName(repeated.select(*COLUMNS))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
