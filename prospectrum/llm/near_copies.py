@@ -230,5 +230,5 @@ def groups(docs: DataFrame) -> DataFrame:
     pairs = common.written(stars.unionByName(fingerprint_pairs(signed, n)).distinct(), rows=BANDS * n)
     sets = shingle_sets(docs, pairs.unionByName(held.select(F.col("node").alias("a"), F.col("first").alias("b"))))
     roots = common.written(components(verified(pairs, sets), n), rows=n)
-    more = common.written(open_links(held, sets, roots, n), rows=n)
+    more = common.written(open_links(held, sets, roots, n).distinct(), rows=n)
     return roots if more.isEmpty() else components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), n)
