@@ -131,7 +131,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
             crc = [zlib.crc32(raw[i:j]) for i, j in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(of)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.arange(nth, nth + len(of)))], names=["doc_id", "piece", "start", "length", "ids_crc32", "nth"])
             nth += len(of)
-            common.give_back()
+        common.give_back()
 
     return common.map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), cut, PIECES)
 

@@ -66,7 +66,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
             part = low + (turn + np.arange(b.num_rows)) % (high - low + 1)  # a bound's own rows may be on either side
             turn += b.num_rows
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(part, pa.int32()), lists], names=["doc_id", "part", "ids"])
-            common.give_back()
+        common.give_back()
 
     coded = common.map_arrow(docs, encode, "doc_id long, part int, ids array<int>")
     dealt = coded.repartitionById(len(cuts) + 1, "part").sortWithinPartitions("part", order_key())
