@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from prospectrum.llm import bpe, decontaminate, fm_dedup, hnsw, language, media, packing, quality, ranked_search, simhash, suffix_dedup, token_files
+from prospectrum.llm import bpe, decontaminate, fm_dedup, hnsw, language, media, packing, quality, ranked_search, simhash, spelling, suffix_dedup, token_files
 
-MODULES = (bpe, decontaminate, fm_dedup, hnsw, language, media, packing, quality, ranked_search, simhash, suffix_dedup, token_files)
+MODULES = (bpe, decontaminate, fm_dedup, hnsw, language, media, packing, quality, ranked_search, simhash, spelling, suffix_dedup, token_files)
 
 
 def queries() -> dict[str, Callable]:
