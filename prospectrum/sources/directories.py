@@ -1,6 +1,6 @@
-"""Parsers of captured directory pages and API answers into raw leads, as Column expressions.
+"""Parsers of captured directory pages and API answers into raw leads.
 
-Pages are rows (ord, html); a page is split at its cards' opening tags, so a card runs up to the next one. Payloads are
+Pages are rows (ord, html); their cards and fields are found by selectors in the page's element tree. Payloads are
 rows (ord, payload). A lead's ord is its page's times PER_PAGE plus its place there. Missing values are ''.
 """
 
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from prospectrum.functions.rules import name_confidence
 from prospectrum.functions.text import EMAIL, present, site_key, url_decoded
 from prospectrum.operators.leads import first_seen
+from prospectrum.runtime import ship
+from prospectrum.sources.elements import balanced_after, cards, filled, first
 
 PER_PAGE = 1_000_000
 # Categories of sources that name none, networks that are no company's own site.
@@ -21,30 +23,11 @@ SOCIAL = r"(?i)(^|\.)(linkedin\.com|facebook\.com|instagram\.com|twitter\.com|x\
 LINK = r"(?is)<a\b[^>]*?\shref=[\"']([^\"']+)"
 
 
-def opening(tag: str, css: str) -> str:
-    """Pattern of an opening tag up to, but without, its end; css is one class."""
-    return rf"<{tag}\b(?=[^>]*\bclass=[\"'][^\"'>]*(?<![\w-]){css}(?![\w-]))"
-
-
 def plain(c: Column) -> Column:
     """Text of markup, blanks collapsed."""
     return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"(?U)\s+", " "))
 
 
-def inner(c: Column, tag: str, css: str) -> Column:
-    """Text of the first such element, up to the first end tag of its kind."""
-    return plain(F.regexp_extract(c, rf"(?is){opening(tag, css)}[^>]*>(.*?)</{tag}\s*>", 1))
-
-
-def attribute(c: Column, tag: str, css: str, name: str) -> Column:
-    return F.replace(F.regexp_extract(c, rf"(?is){opening(tag, css)}[^>]*?\s{name}=[\"']([^\"']*)", 1), F.lit("&amp;"), F.lit("&"))
-
-
-def items(c: Column, pattern: str) -> Column:
-    """Texts of all matches of the pattern's group, empty ones too."""
-    return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), plain)
-
-
 def digits(c: Column) -> Column:
     return F.regexp_extract(c, r"\d+", 0)
 
@@ -57,99 +40,99 @@ def pick(found: Column, nth: int = 0) -> Column:
     return F.coalesce(F.get(found, F.lit(nth)), F.lit(""))
 
 
-def cards(pages: DataFrame, start: str) -> DataFrame:
-    """(ord, card) of each card of the pages; start is the pattern of its opening tag."""
-    own = pages.select("ord", F.posexplode(F.split("html", rf"(?is)(?={start})")).alias("nth", "card"))
-    return own.where(F.col("card").rlike(rf"(?is)^{start}")).select((F.col("ord") * PER_PAGE + F.col("nth")).alias("ord"), "card")
-
-
 def leads_of(rows: DataFrame, key: Column | None = None, **fields: Column) -> DataFrame:
     """Leads with a name, the first of each key (by default the name, in lower case)."""
     own = rows.select("ord", *(F.coalesce(c, F.lit("")).alias(n) for n, c in fields.items())).where(present(F.col("name")))
     return first_seen(own, F.lower("name") if key is None else key)
 
 
+def site(c: str) -> Column:
+    return no_query(first(c))
+
+
 def clutch(pages: DataFrame) -> DataFrame:
     """Cards with redirect links: the target is parameter u; the directory's own host is no website."""
-    c = F.col("card")
-    href = F.replace(F.regexp_extract(c, r"(?is)<a\b[^>]*?\shref=[\"']([^\"']*//r\.clutch\.co/redirect[^\"']*)", 1), F.lit("&amp;"), F.lit("&"))
-    target = url_decoded(F.regexp_extract(href, r"[?&]u=([^&#]*)", 1))
-    cut = lambda css, label: F.regexp_replace(inner(c, r"(?:div|span|li)", css), rf"(?i)^{label}\s*", "")
+    fields = {
+        "title": ("", "data-title"), "heading": ("h3", "text"), "link": ('a[href*="r.clutch.co/redirect"]', "href"), "place": (".provider__highlights-item.location", "text"), "rating": (".sg-rating__number", "text"),
+        "reviews": (".sg-rating__reviews", "text"), "size": (".employees-count", "text"), "rate": (".hourly-rate", "text"), "least": (".min-project-size", "text"), "profile": (".provider__title-link", "href"),
+    }
+    target = url_decoded(F.regexp_extract(first("link"), r"[?&]u=([^&#]*)", 1))
+    cut = lambda c, label: F.regexp_replace(first(c), rf"(?i)^{label}\s*", "")
     return leads_of(
-        cards(pages, opening(r"(?:div|li|article)", "provider")), name=F.coalesce(F.nullif(attribute(c, r"\w+", "provider", "data-title"), F.lit("")), inner(c, "h3", r"[\w-]+")), category=F.lit(DEVELOPER),
-        website=F.when(~site_key(target).rlike(r"clutch\.co"), no_query(target)), address=cut("location", "Location"), rating=inner(c, "span", "sg-rating__number"), reviews=F.regexp_replace(inner(c, r"(?:a|span|div)", "sg-rating__reviews"), "[^0-9]", ""),
-        company_size=cut("employees-count", "Employees"), hourly_rate=cut("hourly-rate", "Hourly rate"), min_project=cut("min-project-size", r"Min\.?\s*project size"), maps_url=attribute(c, "a", "provider__title-link", "href"),
+        cards(pages, ".provider", PER_PAGE, fields), name=F.coalesce(filled("title"), filled("heading")), category=F.lit(DEVELOPER), website=F.when(~site_key(target).rlike(r"clutch\.co"), no_query(target)), address=cut("place", "Location"),
+        rating=first("rating"), reviews=F.regexp_replace(first("reviews"), "[^0-9]", ""), company_size=cut("size", "Employees"), hourly_rate=cut("rate", "Hourly rate"), min_project=cut("least", r"Min\.?\s*project size"), maps_url=first("profile"),
     )
 
 
 def goodfirms(pages: DataFrame) -> DataFrame:
     """Highlights are told apart by their form: a price, a range of people, a place."""
-    c = F.col("card")
-    lists = F.regexp_extract_all(c, F.lit(rf"(?is)({opening(r'(?:ul|div)', r'firm-(?:pricing|practices|highlights)')}.*?</ul>)"), F.lit(1))
-    found = F.flatten(F.transform(lists, lambda x: items(x, r"(?is)<li\b[^>]*>(.*?)</li>")))
-    which = lambda test: pick(F.filter(found, test))
+    fields = {
+        "title": ("", "entity-name"), "heading": (".firm-name", "text"), "link": ("a.visit-website", "href"), "profile": ("a.visit-profile", "href"), "reviews": (".visit-profile", "text"), "rating": (".rating-number", "text"),
+        "points": (".firm-pricing li, .firm-practices li, .firm-highlights li", "text"), "place": (".firm-location", "text"),
+    }
+    which = lambda test: pick(F.filter("points", test))
+    place = which(lambda h: F.contains(h, F.lit(",")) & ~F.contains(h, F.lit("$")))
     return leads_of(
-        cards(pages, opening("li", "firm-wrapper")), name=F.coalesce(F.nullif(attribute(c, "li", "firm-wrapper", "entity-name"), F.lit("")), inner(c, r"(?:h3|a|span|div)", "firm-name")), category=F.lit(DEVELOPER),
-        website=no_query(attribute(c, "a", "visit-website", "href")), address=F.coalesce(F.nullif(which(lambda h: F.contains(h, F.lit(",")) & ~F.contains(h, F.lit("$"))), F.lit("")), inner(c, r"(?:div|span)", "firm-location")),
-        rating=inner(c, "span", "rating-number"), reviews=digits(inner(c, "a", "visit-profile")), company_size=which(lambda h: h.rlike(r"^\d[\d,]*\s*-\s*\d")), hourly_rate=which(lambda h: h.rlike(r"/\s*hr|\$\d")), maps_url=attribute(c, "a", "visit-profile", "href"),
+        cards(pages, "li.firm-wrapper", PER_PAGE, fields), name=F.coalesce(filled("title"), filled("heading")), category=F.lit(DEVELOPER), website=site("link"), address=F.coalesce(F.nullif(place, F.lit("")), filled("place")),
+        rating=first("rating"), reviews=digits(first("reviews")), company_size=which(lambda h: h.rlike(r"^\d[\d,]*\s*-\s*\d")), hourly_rate=which(lambda h: h.rlike(r"/\s*hr|\$\d")), maps_url=first("profile"),
     )
 
 
 def topdevelopers(pages: DataFrame) -> DataFrame:
     """Highlights are known by place: size, hourly rate, least project, location."""
-    c = F.col("card")
-    found = items(c, rf"(?is){opening(r'(?:p|span|div)', 'set_es_p')}[^>]*>(.*?)</(?:p|span|div)>")
-    title = F.regexp_extract(c, rf"(?is){opening('h3', 'comp_title')}.*?</h3>", 0)
-    link = F.regexp_extract(title, r"(?is)<a\b(?=[^>]*itemprop=[\"']url)[^>]*>", 0)
+    link = 'h3.comp_title a[itemprop="url"]'
+    fields = {
+        "title": (f'{link} span[itemprop="name"]', "text"), "heading": (link, "text"), "link": (link, "href"), "item": ("", "itemid"), "profile": ("a.company_prof", "href"), "rating": (".ratingInput", "value"),
+        "reviews": (".inputDiv span", "text"), "points": (".company_reviews li", "text:.set_es_p"),
+    }
     return leads_of(
-        cards(pages, opening("div", "comp_main_box")), name=plain(title), category=F.lit(DEVELOPER), website=no_query(F.regexp_extract(link, r"(?is)\shref=[\"']([^\"']*)", 1)),
-        address=pick(found, 3), rating=attribute(c, "input", "ratingInput", "value"), reviews=digits(F.regexp_extract(c, rf"(?is){opening('div', 'inputDiv')}.*?<span[^>]*>(.*?)</span>", 1)),
-        company_size=pick(found), hourly_rate=pick(found, 1), min_project=pick(found, 2), maps_url=F.coalesce(F.nullif(attribute(c, "div", "comp_main_box", "itemid"), F.lit("")), attribute(c, "a", "company_prof", "href")),
+        cards(pages, ".comp_main_box.new_company_listing", PER_PAGE, fields), name=F.coalesce(filled("title"), first("heading")), category=F.lit(DEVELOPER), website=site("link"), address=pick(F.col("points"), 3), rating=first("rating"),
+        reviews=digits(first("reviews")), company_size=pick(F.col("points")), hourly_rate=pick(F.col("points"), 1), min_project=pick(F.col("points"), 2), maps_url=F.coalesce(filled("item"), first("profile")),
     )
 
 
 def designrush(pages: DataFrame) -> DataFrame:
-    c, css = F.col("card"), "js-agency-item"
-    service = plain(F.regexp_extract(c, rf"(?is){opening(r'(?:li|div)', 'js-item-services-item')}.*?<span[^>]*>(.*?)</span>", 1))
-    rate = lambda tag: plain(F.regexp_extract(c, rf"(?is){opening(r'(?:div|span)', 'rate')}.*?<{tag}[^>]*>(.*?)</{tag}>", 1))
+    fields = {
+        "title": ("", "data-agency-name"), "heading": (".item-title", "text"), "kind": ("", "data-gtm-agency-category"), "service": (".js-item-services-item span", "text"), "link": ("a.gtm-agency-website-link", "href"),
+        "profile": ("a.gtm-agency-profile-link", "href"), "rating": (".rate strong", "text"), "reviews": (".rate small", "text"),
+    }
     return leads_of(
-        cards(pages, opening("article", css)), name=F.coalesce(F.nullif(attribute(c, "article", css, "data-agency-name"), F.lit("")), inner(c, r"(?:h3|div|span)", "item-title")),
-        category=F.coalesce(F.nullif(service, F.lit("")), F.nullif(F.replace(attribute(c, "article", css, "data-gtm-agency-category"), F.lit("-"), F.lit(" ")), F.lit("")), F.lit(DEVELOPER)),
-        website=no_query(attribute(c, "a", "gtm-agency-website-link", "href")), rating=rate("strong"), reviews=digits(rate("small")), maps_url=attribute(c, "a", "gtm-agency-profile-link", "href"),
+        cards(pages, "article.js-agency-item", PER_PAGE, fields), name=F.coalesce(filled("title"), filled("heading")), category=F.coalesce(F.nullif(first("service"), F.lit("")), F.nullif(F.replace(first("kind"), F.lit("-"), F.lit(" ")), F.lit("")), F.lit(DEVELOPER)),
+        website=site("link"), rating=first("rating"), reviews=digits(first("reviews")), maps_url=first("profile"),
     )
 
 
 def selectedfirms(pages: DataFrame, category: str = DEVELOPER) -> DataFrame:
-    c = F.col("card")
-    point = lambda css: plain(F.regexp_extract(c, rf"(?is){opening(r'(?:div|li)', css)}.*?{opening(r'(?:div|span|p)', 'bm-text')}[^>]*>(.*?)</(?:div|span|p)>", 1))
+    points = {"size": "people", "place": "location", "rate": "rate", "least": "purse"}
+    fields = {"title": ("a.website-click", "text"), "link": ("a.website-click", "href"), "profile": ("a.profile-click", "href"), "rating": (".company-rating span, .review-text span", "text"), "all": ("", "text")}
     return leads_of(
-        cards(pages, opening("div", "listing_box_wpr")), name=inner(c, "a", "website-click"), category=F.lit(category), website=no_query(attribute(c, "a", "website-click", "href")), address=point("location"),
-        rating=plain(F.regexp_extract(c, rf"(?is){opening(r'(?:div|p)', r'(?:company-rating|review-text)')}.*?<span[^>]*>([^<]*)</span>", 1)), reviews=F.regexp_extract(plain(c), r"(?i)View all\s*(\d+)\s*Reviews?", 1),
-        company_size=point("people"), hourly_rate=point("rate"), min_project=point("purse"), maps_url=attribute(c, "a", "profile-click", "href"),
+        cards(pages, ".listing_box_wpr", PER_PAGE, fields | {n: (f".in-point.{css} .bm-text", "text") for n, css in points.items()}), name=first("title"), category=F.lit(category), website=site("link"), address=first("place"), rating=first("rating"),
+        reviews=F.regexp_extract(first("all"), r"(?i)View all\s*(\d+)\s*Reviews?", 1), company_size=first("size"), hourly_rate=first("rate"), min_project=first("least"), maps_url=first("profile"),
     )
 
 
-def visit_link(c: Column) -> Column:
-    """The href of the first link that says 'visit website', without its query."""
-    return no_query(F.regexp_extract(c, r"(?is)<a\b[^>]*?\shref=[\"']([^\"']*)[\"'][^>]*>(?:(?!</a>).)*?visit website", 1))
+def visit_link() -> Column:
+    """The address of the first link that says 'visit website', without its query; links and words are those of a[href]."""
+    said = F.filter(F.arrays_zip("links", "words"), lambda x: x["words"].rlike("(?i)visit website"))
+    return no_query(F.coalesce(F.get(said, F.lit(0))["links"], F.lit("")))
 
 
 def techbehemoths(pages: DataFrame, profiles: DataFrame | None = None, category: str = DEVELOPER, visits: int = 15) -> DataFrame:
     """Cards with a website, on the card or on their profile (url, html): the first profiles of each page count, as many
     as visits. Cards without either go."""
-    c = F.col("card")
-    places = F.filter(items(c, r"(?is)<a\b[^>]*?\shref=[\"']/companies/[^\"']*[\"'][^>]*>(.*?)</a>"), lambda x: x != "")
-    name = F.trim(F.regexp_replace(inner(c, r"(?:h2|h3|p|div|span|a)", "co-box__name"), "(?i)Verified Company", ""))
-    profile = F.regexp_extract(c, r"(?is)<a\b[^>]*?\shref=[\"']([^\"']*/company/[^\"']*)", 1)
-    rows = cards(pages, opening("article", "co-box")).select("ord", name.alias("name"), visit_link(c).alias("website"), profile.alias("maps_url"), F.array_join(F.slice(places, 1, 2), ", ").alias("address")).where(present(F.col("name")))
+    links = {"links": ("a[href]", "href"), "words": ("a[href]", "text")}
+    fields = links | {"title": (".co-box__name", "text"), "profile": ('a[href*="/company/"]', "href"), "places": ('a[href^="/companies/"]', "text")}
+    name = F.trim(F.regexp_replace(first("title"), "(?i)Verified Company", ""))
+    places = F.filter("places", lambda x: x != "")
+    rows = cards(pages, "article.co-box", PER_PAGE, fields).select("ord", name.alias("name"), visit_link().alias("website"), first("profile").alias("maps_url"), F.array_join(F.slice(places, 1, 2), ", ").alias("address")).where(present(F.col("name")))
     if profiles is None:
         rows = rows.withColumn("phone", F.lit(""))
     else:
         seen = profiles.groupBy(F.col("url").alias("maps_url")).agg(F.min("html").alias("html"))
-        tel = plain(F.regexp_extract("html", r"(?is)<a\b[^>]*?\shref=[\"']tel:[^\"']*[\"'][^>]*>(.*?)</a>", 1))
         # Few cards lack a website, so the profiles to read are picked before the join: an array per page keeps their order.
         lacking = rows.where((F.col("website") == "") & (F.col("maps_url") != "")).groupBy(F.floor(F.col("ord") / PER_PAGE).alias("page")).agg(F.array_sort(F.collect_list(F.struct("ord", "maps_url"))).alias("todo"))
-        read = lacking.select(F.inline(F.slice("todo", 1, visits))).join(seen, "maps_url").select("ord", visit_link(F.col("html")).alias("_site"), tel.alias("_phone"))
+        todo = lacking.select(F.inline(F.slice("todo", 1, visits))).join(seen, "maps_url").select("ord", "html")
+        read = cards(todo, "", 1, links | {"tel": ('a[href^="tel:"]', "text")}).select("ord", visit_link().alias("_site"), first("tel").alias("_phone"))
         rows = rows.join(read, "ord", "left").select("ord", "name", F.coalesce(F.nullif("website", F.lit("")), "_site", F.lit("")).alias("website"), "maps_url", "address", F.coalesce("_phone", F.lit("")).alias("phone"))
     rows = rows.where(present(F.col("website")))
     return leads_of(rows, name=F.col("name"), category=F.lit(category), website=F.col("website"), phone=F.col("phone"), address=F.col("address"), maps_url=F.col("maps_url"))
@@ -157,16 +140,51 @@ def techbehemoths(pages: DataFrame, profiles: DataFrame | None = None, category:
 
 def pseb(pages: DataFrame) -> DataFrame:
     """Companies first, then freelancers, who need a LinkedIn page."""
-    person = rf"{opening('div', 'tech-user-profile')}"
-    c, start = F.col("card"), opening("div", "tech-api-profile")
-    halves = pages.select("ord", F.split("html", rf"(?is)(?={person})", 2).alias("h"))
-    skill = plain(F.regexp_extract(c, rf"(?is){opening('div', 'ecperties-overflow')}[^>]*>\s*<div[^>]*>(.*?)</div>", 1))
-    common = lambda other: {"name": inner(c, r"(?:h\d|div|span|p)", "name"), "category": F.coalesce(F.nullif(skill, F.lit("")), F.lit(other)), "address": inner(c, r"(?:div|span|p)", "location")}
-    first = cards(halves.select("ord", F.get("h", F.lit(0)).alias("html")), start).select("ord", *(x.alias(n) for n, x in (common(DEVELOPER) | {"website": F.regexp_extract(c, r"(?is)<a\b[^>]*?\shref=[\"'](http[^\"']*)", 1), "linkedin": F.lit("")}).items()))
-    profile = F.regexp_extract(c, rf"(?is){opening('div', 'View-Profile')}.*?<a\b[^>]*?\shref=[\"']([^\"']*)", 1)
-    second = cards(halves.select("ord", F.get("h", F.lit(1)).alias("html")), start).select((F.col("ord") + PER_PAGE // 2).alias("ord"), *(x.alias(n) for n, x in (common(FREELANCE) | {"website": F.lit(""), "linkedin": profile}).items())).where(F.contains("linkedin", F.lit("linkedin.com")))
+    fields = {"title": (".name", "text"), "link": ('a[href^="http"]', "href"), "profile": (".View-Profile a", "href"), "place": (".location", "text"), "skills": (".ecperties-overflow div", "text")}
+
+    def part(box: str, other: str, later: int, **own: Column) -> DataFrame:
+        rows = cards(pages, f"{box} .tech-api-profile", PER_PAGE, fields)
+        return rows.select((F.col("ord") + later).alias("ord"), first("title").alias("name"), F.coalesce(filled("skills"), F.lit(other)).alias("category"), first("place").alias("address"), *(c.alias(n) for n, c in own.items()))
+
+    firms = part(".tech-company-profile", DEVELOPER, 0, website=first("link"), linkedin=F.lit(""))
+    people = part(".tech-user-profile", FREELANCE, PER_PAGE // 2, website=F.lit(""), linkedin=first("profile")).where(F.contains("linkedin", F.lit("linkedin.com")))
     key = F.lower(F.coalesce(F.nullif("website", F.lit("")), F.nullif("linkedin", F.lit("")), "name"))
-    return leads_of(first.unionByName(second), key, **{n: F.col(n) for n in ("name", "category", "website", "address", "linkedin")})
+    return leads_of(firms.unionByName(people), key, **{n: F.col(n) for n in ("name", "category", "website", "address", "linkedin")})
+
+
+# Pages of a crawled directory, and where a company's page has what its JSON-LD lacks.
+CATEGORY_PAGE, COMPANY_PAGE = r"/category/([^/?#]+)(?:/(\d+))?/?(?:[?#].*)?$", r"/company/\d+/"
+FALLBACK = {"title": ("#company_name", "text"), "tel": (".text.phone", "text"), "place": ("#company_address", "text"), "data": ('script[type="application/ld+json"]', "text")}
+
+
+def category_links(pages: DataFrame, most: int = 10) -> DataFrame:
+    """(path, category, nth) of the companies that category pages (url, html) link to: pages up to most of a category, as
+    far as each before has links; a company belongs to the category and page that link to it first, by nth and name."""
+    number = F.coalesce(F.nullif(F.regexp_extract("url", CATEGORY_PAGE, 2), F.lit("")).cast("int"), F.lit(1))
+    own = pages.where(F.col("url").rlike(CATEGORY_PAGE)).select(F.lit(0).alias("ord"), F.regexp_extract("url", CATEGORY_PAGE, 1).alias("category"), number.alias("nth"), "html").where(F.col("nth") <= most)
+    found = cards(own, "", 1, {"links": ('a[href*="/company/"]', "href")}).groupBy("category", "nth").agg(F.array_distinct(F.flatten(F.collect_list("links"))).alias("links"))
+    reached = found.where(F.size("links") > 0).groupBy("category").agg(F.array_sort(F.collect_set("nth")).alias("with_links")).select("category", F.expr("1 + coalesce(element_at(filter(with_links, (n, i) -> n = i + 1), -1), 0)").alias("reach"))
+    links = found.join(reached, "category").where(F.col("nth") <= F.col("reach")).select("category", "nth", F.explode("links").alias("link")).where(F.col("link").rlike(COMPANY_PAGE))
+    return links.groupBy(F.regexp_replace("link", "(?i)^https?://[^/]*", "").alias("path")).agg(F.min(F.struct("nth", "category")).alias("x")).select("path", "x.category", "x.nth")
+
+
+def directory_crawl(pages: DataFrame, domain: str, most: int = 10) -> DataFrame:
+    """Leads of a crawl (ord, url, html) of category and company pages: a company's JSON-LD counts (the first block with a
+    name), and selectors fill what it lacks; the directory's own addresses are no website. Companies that no category
+    page links to are left out, as a crawl doesn't come to them."""
+    linked = category_links(pages, most)
+    company = pages.where(F.col("url").rlike(COMPANY_PAGE)).select("ord", "url", F.regexp_replace("url", "(?i)^https?://[^/]*", "").alias("path"), "html").join(linked, "path")
+    kind = "array<struct<name: string, telephone: string, url: string, address: struct<streetAddress: string, addressLocality: string, addressRegion: string>>>"
+    read = F.transform("data", lambda t: F.from_json(F.when(t.startswith("["), t).otherwise(F.concat(F.lit("["), t, F.lit("]"))), kind))
+    named = F.filter(F.flatten(F.filter(read, lambda x: x.isNotNull())), lambda x: present(x["name"]))
+    rows = cards(company, "", 1, FALLBACK).withColumn("x", F.get(named, F.lit(0)))
+    parts = F.concat_ws(", ", *(F.nullif(F.col(f"x.address.{k}"), F.lit("")) for k in ("streetAddress", "addressLocality", "addressRegion")))
+    or_else = lambda c, field: F.coalesce(F.nullif(F.trim(c), F.lit("")), first(field))
+    site_url = F.trim("x.url")
+    return leads_of(
+        rows, F.col("maps_url"), name=or_else(F.col("x.name"), "title"), category=F.replace("category", F.lit("-"), F.lit(" ")), website=F.when(~F.contains(site_url, F.lit(domain)), site_url), phone=or_else(F.col("x.telephone"), "tel"),
+        address=or_else(parts, "place"), maps_url=F.col("url"), search_query=F.col("category"),
+    )
 
 
 def sortlist(pages: DataFrame, category: str = DEVELOPER) -> DataFrame:
@@ -186,16 +204,17 @@ def sortlist(pages: DataFrame, category: str = DEVELOPER) -> DataFrame:
 
 
 def eventbrite(pages: DataFrame, organizers: DataFrame) -> DataFrame:
-    """Organizers of the events in pages (__SERVER_DATA__), each once, with the links of their own page (organizer_id,
-    html). The JSON reader stops at the object's end, so what follows it in the script needs no cutting."""
+    """Organizers of the events in pages (the balanced object after __SERVER_DATA__), each once, with the links of their
+    own page (organizer_id, html)."""
+    ship(pages.sparkSession)
     kind = "search_data struct<events: struct<results: array<struct<name: string, primary_organizer_id: string, primary_venue: struct<name: string, address: struct<localized_address_display: string>>, tags: array<struct<display_name: string>>>>>>"
-    data = F.from_json(F.regexp_extract("html", r"(?s)window\.__SERVER_DATA__\s*=\s*(\{.*)", 1), kind)
-    e = pages.select("ord", F.posexplode(data["search_data"]["events"]["results"]).alias("nth", "e")).where(present(F.col("e.primary_organizer_id")))
+    data = F.from_json("data", kind)
+    e = pages.select("ord", balanced_after(F.col("html"), "window.__SERVER_DATA__").alias("data")).select("ord", F.posexplode(data["search_data"]["events"]["results"]).alias("nth", "e")).where(present(F.col("e.primary_organizer_id")))
     topic = pick(F.filter(F.transform("e.tags", lambda t: t["display_name"]), present))
     events = first_seen(e.select((F.col("ord") * PER_PAGE + F.col("nth")).alias("ord"), F.col("e.primary_organizer_id").alias("organizer_id"), F.coalesce(F.nullif(topic, F.lit("")), F.lit(COMMUNITY)).alias("category"), F.col("e.primary_venue.address.localized_address_display").alias("address")), F.col("organizer_id"))
-    meta = F.regexp_extract("html", r"(?is)<meta\b(?=[^>]*property=[\"']og:title)[^>]*?\scontent=[\"']([^\"']*)", 1)
-    block = F.array_join(F.regexp_extract_all("html", F.lit(r"(?is)(<\w+\b[^>]*class=[\"'][^\"']*socialBlock[^>]*>.*?</(?:ul|div|section)>)"), F.lit(1)), " ")
-    page = organizers.select(F.col("organizer_id").cast("string").alias("organizer_id"), F.coalesce(F.nullif(meta, F.lit("")), plain(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))).alias("name"), F.regexp_extract_all(block, F.lit(LINK), F.lit(1)).alias("links"))
+    own = organizers.select(F.lit(0).alias("ord"), F.col("organizer_id").cast("string").alias("organizer_id"), "html")
+    found = cards(own, "", 1, {"meta": ('meta[property="og:title"]', "content"), "title": ("title", "text"), "links": ('[class*="socialBlock"] a[href]', "href")})
+    page = found.select("organizer_id", F.coalesce(filled("meta"), first("title")).alias("name"), "links").dropDuplicates(["organizer_id"])
     to = lambda host: pick(F.filter("links", lambda h: h.rlike(host)))
     other = pick(F.filter("links", lambda h: ~h.rlike(r"(?i)facebook\.com|instagram\.com|twitter\.com|x\.com|linkedin\.com|eventbrite\.")))
     rows = events.join(page, "organizer_id").where("name <> 'Organizer'")
