@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import pkgutil
 import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,20 +101,60 @@ def haystack(category: Column, name: Column, query: Column, website: Column, pro
     return F.lower(F.concat_ws(" ", *(F.nullif(x, F.lit("")) for x in (category, name, query, domain, words))))
 
 
-def hits(text: Column, vocabulary: Vocabulary, words: bool) -> Column:
-    """Buckets with hits, most first: array<struct<less, ord, slug>>, less being minus the distinct keywords found.
-    The literal test before each pattern is exact and saves nearly all pattern work. Keywords are data, not
-    expressions of their own, so that a large vocabulary doesn't outgrow generated code."""
+@cache
+def automaton(keywords: tuple[str, ...]):  # noqa: ANN201
+    """An Aho-Corasick automaton over the keywords, built once in a worker."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for i, k in enumerate(keywords):
+        out.add_word(k, (i, len(k)))
+    out.make_automaton()
+    return out
+
 
-    rows = [{"ord": i, "slug": slug, "keywords": [{"k": k, "p": word_pattern(k)} for k in own]} for i, (slug, own) in enumerate(vocabulary.buckets)]
-    # One literal, read once when the plan is made: a literal for each keyword takes seconds to plan.
-    buckets = F.from_json(F.lit(json.dumps(rows)), "array<struct<ord: int, slug: string, keywords: array<struct<k: string, p: string>>>>")
+_WORD_LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
-    def of(t: Column) -> Column:
-        found = lambda k: F.contains(t, k["k"]) & F.rlike(t, k["p"]) if words else F.contains(t, k["k"])
-        return F.filter(F.transform(buckets, lambda b: F.struct((-F.size(F.filter(b["keywords"], found))).alias("less"), b["ord"].alias("ord"), b["slug"].alias("slug"))), lambda r: r["less"] < 0)
 
-    return F.array_sort(F.get(F.transform(F.array(text), of), F.lit(0)))  # the text is made once
+def found_keywords(text: str, keywords: tuple[str, ...], words: bool) -> set[int]:
+    """Places of the keywords in a text, in one pass over it. words: only those between characters that are no ASCII
+    letter or digit, or the text's ends; a plural s may follow."""
+    out, n = set(), len(text)
+    for last, (i, size) in automaton(keywords).iter(text):
+        if words and i not in out:
+            begin, end = last - size, last + 1
+            if begin >= 0 and text[begin] in _WORD_LETTERS:
+                continue
+            if end < n and text[end] in _WORD_LETTERS and not (text[end] == "s" and (end + 1 == n or text[end + 1] not in _WORD_LETTERS)):
+                continue
+        out.add(i)
+    return out
+
+
+def hits(text: Column, vocabulary: Vocabulary, words: bool) -> Column:
+    """Buckets with hits, most first: array<struct<less, ord, slug>>, less being minus the distinct keywords found.
+    One automaton holds all keywords, so that a row costs one pass over its text, whatever the vocabulary's size."""
+    keywords = tuple(dict.fromkeys(k for _, own in vocabulary.buckets for k in own))
+    place = {k: i for i, k in enumerate(keywords)}
+    buckets = [(n, slug, frozenset(place[k] for k in own)) for n, (slug, own) in enumerate(vocabulary.buckets)]
+    of_keyword = [[n for n, _, own in buckets if i in own] for i in range(len(keywords))]
+
+    def run(column):  # noqa: ANN001, ANN202
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("less", pa.int32()), ("ord", pa.int32()), ("slug", pa.string())]))
+        out = []
+        for t in column.to_pylist():
+            if t is None:
+                out.append(None)
+                continue
+            counts = Counter(n for i in found_keywords(t, keywords, words) for n in of_keyword[i])
+            out.append([{"less": less, "ord": n, "slug": buckets[n][1]} for less, n in sorted((-k, n) for n, k in counts.items())])
+        return pa.array(out, kind)
+
+    if not keywords:
+        return F.when(text.isNotNull(), F.array().cast("array<struct<less: int, ord: int, slug: string>>"))
+    return F.arrow_udf(run, "array<struct<less: int, ord: int, slug: string>>")(text)
 
 
 def slugs(found: Column) -> Column:

@@ -38,12 +38,16 @@ def as_leads(df: DataFrame) -> DataFrame:
 
 
 def clean(df: DataFrame) -> DataFrame:
-    jobs: dict[str, Column] = {c: text.clean_text(F.col(c)) for c in CLEANED_TEXT}
-    jobs |= {"email": text.clean_email(F.col("email")), "all_emails": text.clean_emails(F.col("all_emails")), "phone": text.clean_phone(F.col("phone"))}
-    jobs |= {c: text.clean_url(F.col(c)) for c in CLEANED_URLS}
-    new = {c: F.when(text.present(F.col(c)), e).otherwise(F.col(c)) for c, e in jobs.items() if c in df.columns}
-    # As in once(): the merge below uses each column twice.
-    return df.select(F.inline(F.array(F.struct(*(new.get(c, F.col(c)).alias(c) for c in df.columns)))))
+    """Each kind of column goes through its cleaning as one array, so that a plan holds each chain once; the arrays stand
+    behind a generator (see once), as the columns are used more than once."""
+    kinds = {text.clean_text: CLEANED_TEXT, text.clean_url: CLEANED_URLS, text.clean_email: ("email",), text.clean_emails: ("all_emails",), text.clean_phone: ("phone",)}
+    own = {fn: [c for c in names if c in df.columns] for fn, names in kinds.items()}
+    guarded = lambda fn: lambda x: F.when(text.present(x), fn(x)).otherwise(x)
+    arrays = [F.transform(F.array(*names), guarded(fn)).alias(fn.__name__) for fn, names in own.items() if names]
+    if not arrays:
+        return df
+    where = {c: F.col("_clean")[fn.__name__][i] for fn, names in own.items() for i, c in enumerate(names)}
+    return once(df, "_clean", F.struct(*arrays)).select(*(where.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns))
 
 
 def with_key(df: DataFrame) -> DataFrame:

@@ -70,3 +70,29 @@ def test_haystack_ignores_blobs(spark):
 
 def test_name_confidence(spark):
     assert [one(spark, rules.name_confidence, a, b) for a, b in (("Acme", "acme "), ("Acme", "Acme Labs"), ("Acme", "Other"), ("", "x"))] == [1.0, 0.7, 0.3, 0.3]
+
+
+def test_automaton_equals_patterns():
+    """One pass finds the keywords that a pattern each finds, on texts made of keywords, letters and marks."""
+    import random
+    import re
+
+    rng = random.Random(1)
+    keywords = ("ai", "data", "cloud data", "c++", ".net", "s", "as", "e-commerce", "data s", "it services", "ß", "1c")
+    bits = [*keywords, " ", " ", "-", "s", "ss", "x", ".", "é", "9"]
+    for _ in range(3000):
+        t = "".join(rng.choices(bits, k=rng.randint(0, 9)))
+        words = {i for i, k in enumerate(keywords) if re.search(rules.word_pattern(k), t)}
+        assert rules.found_keywords(t, keywords, True) == words, t
+        assert rules.found_keywords(t, keywords, False) == {i for i, k in enumerate(keywords) if k in t}
+
+
+def test_hits_of_nulls_and_ties(spark):
+    from prospectrum.functions.rules import Vocabulary, hits
+
+    v = Vocabulary.of({"a": "x|yy", "b": "yy|zz", "c": "q"})
+    rows = spark.createDataFrame([(1, "yy"), (2, None), (3, ""), (4, "zz yys x x"), (5, "none")], "i int, t string")
+    got = {r.i: r.h if r.h is None else [tuple(x) for x in r.h] for r in rows.select("i", hits(F.col("t"), v, True).alias("h")).collect()}
+    assert got == {1: [(-1, 0, "a"), (-1, 1, "b")], 2: None, 3: [], 4: [(-2, 0, "a"), (-2, 1, "b")], 5: []}
+    none = rows.select("i", hits(F.col("t"), Vocabulary(()), True).alias("h")).collect()
+    assert {r.i: r.h for r in none} == {1: [], 2: None, 3: [], 4: [], 5: []}
