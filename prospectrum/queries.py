@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from prospectrum.functions import rules, text
 from prospectrum.functions.rules import ICP_WORDS, PREMIUM, PREMIUM_WORDS, REGIONS, SOURCE_POINTS, TAXONOMY, Vocabulary
 from prospectrum.job_queries import job_queries
-from prospectrum.more_queries import more_queries
+from prospectrum.more_queries import more_queries, scratch
 from prospectrum.operators import leads, service
 from prospectrum.operators.service import LeadsQuery
 from prospectrum.plans import pipeline
 from prospectrum.runtime import table
 from prospectrum.source_queries import SOURCE_QUERIES
 from prospectrum.sources import captured
+from prospectrum.state_queries import state_queries
 
 SOURCES = [*SOURCE_POINTS][:12]
 RAW = {
@@ -299,6 +300,17 @@ def _ids(test: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str]
 
 
 #: name -> (query, SQL or None)
+SCHEDULED = {
+    "id": "o_orderkey", "industry": "case o_orderkey % 4 when 0 then 'ai-ml' when 1 then 'healthcare' when 2 then 'real-estate' end", "region": "case when o_custkey % 3 = 0 then '' else 'r' || cast(o_custkey % 5 as string) end", "depth": "case when o_orderkey % 5 = 0 then 'deep' when o_orderkey % 5 = 1 then 'quick' end",
+    "schedule": "case when o_orderkey % 2 = 0 then 'daily' else 'weekly' end", "is_active": "o_orderkey % 5 <> 0", "last_run_at": "case when o_orderkey % 7 > 0 then timestamp '2026-02-01 00:00:00' - interval '1' day * cast(o_orderkey % 12 as int) end",
+}
+SCHEDULED_SQL = "searches as (select " + ", ".join(f"{e} as {n}" for n, e in SCHEDULED.items()) + " from orders)"
+
+
+def scheduled(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select(*(F.expr(e).alias(n) for n, e in SCHEDULED.items()))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "lead_pipeline": (flagship, f"with {CLEAN_RAW_SQL}, {MERGED_SQL}, kept as (select * from merged where {ICP_SQL} and {CONTACT_TEST}), {scored_sql('kept')} select {PICK} from scored where score >= 22"),
     "site_keys": (lambda s, d: table(s, d, "pages").groupBy(text.site_key(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n")), r"select split_part(split_part(regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '^www\.', ''), '/', 1), '?', 1) as host, count(*) as n from pages group by 1"),
@@ -337,8 +349,8 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "new_deliveries": (deliveries, DELIVERY_SQL),
     "claim_runs": (claimed, CLAIM_SQL),
     "latest_runs": (lambda s, d: service.latest_runs(run_rows(s, d), 5).select("saved_search_id", "id", F.col("nth").cast("long").alias("nth")), f"select saved_search_id, id, nth from (select *, row_number() over (partition by saved_search_id order by created_at desc, id desc) as nth from (select {RUNS} from events)) where nth <= 5"),
-    "due_searches": (lambda s, d: searches(s).where(service.due(F.expr(NOW))).select("id"), f"with {SEARCH_SQL} select id from searches where is_active and (last_run_at is null or last_run_at <= {NOW} - case when schedule = 'daily' then interval 1 day else interval 7 day end)"),
-    "signature_groups": (lambda s, d: searches(s).groupBy(service.signature().alias("signature")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ";").alias("ids")), f"with {SEARCH_SQL} select industry || '|europe|quick' as signature, count(*) as n, string_agg(cast(id as string), ';' order by id) as ids from searches group by 1"),
+    "due_searches": (lambda s, d: scheduled(s, d).where(service.due(F.expr(NOW))).select("id"), f"with {SCHEDULED_SQL} select id from searches where is_active and (last_run_at is null or last_run_at <= {NOW} - case when schedule = 'daily' then interval 1 day else interval 7 day end)"),
+    "signature_groups": (lambda s, d: service.signature_groups(scheduled(s, d)), f"with {SCHEDULED_SQL} select coalesce(industry, 'any') || '|' || coalesce(nullif(region, ''), 'all') || '|' || case when depth = 'deep' then 'deep' else 'quick' end as signature, count(*) as n, min(id) as first from searches group by 1"),
     "reclassification": (_reclassified, SCORED_SQL + "select outcome, count(*) as n from (select case when id % 9 = 0 then 'protected' when old is not distinct from industry then 'unchanged' when industry is null then 'cleared' when old is null then 'gained' else 'changed' end as outcome from (select id, industry, case when id % 4 = 0 then null when id % 4 = 1 then 'healthcare' else industry end as old from scored)) group by 1"),
     "parsed_answers": (_answers, "select event_id, case event_id % 5 when 1 then 'ai-ml' when 3 then 'healthcare' end as industry, case event_id % 5 when 1 then 'healthcare' when 2 then '' when 3 then '' end as secondary, case event_id % 5 when 1 then 1.0::double when 2 then 0.5::double when 3 then 0.0::double end as confidence from events"),
     "needs_classification": (_s(lambda df: df.withColumn("llm_model", F.lit(None).cast("string")).withColumn("tag_source", F.when(F.col("ord") % 5 == 0, "llm").otherwise("rules")).where(service.needs_classification("m1", 0.65)).select("ord")), SCORED_SQL + f"select ord from scored where industry is null or ord % 5 = 0 or {CONF_SQL} < 0.65"),
@@ -357,3 +369,4 @@ QUERIES["unclassified_score"] = (lambda s, d: leads.scored(raw_leads(s, d)).sele
 QUERIES |= SOURCE_QUERIES
 QUERIES |= job_queries(raw_leads, scored, BASE_SQL, f"coalesce({KEY_SQL}, {NAME_SQL})", SCORED_SQL)
 QUERIES |= more_queries(raw_leads, scored, BASE_SQL, SCORED_SQL, MERGED_SQL, ICP_SQL, CONTACT_TEST, CLEAN_RAW_SQL, scored_sql, f"coalesce({KEY_SQL}, {NAME_SQL})")
+QUERIES |= state_queries(scratch)
