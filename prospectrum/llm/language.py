@@ -11,18 +11,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from prospectrum.llm import common
 from prospectrum.llm.linear import linear_svm, margin, sigmoid
 
 DIM = 4096
-#: Bounds of the training sample: rows of each language, and of all where there are many languages, of which each
-#: keeps LEAST_ROWS. Which rows is decided by a hash of doc_id and text.
+#: Bounds of the training sample: different texts of each language, and of all where there are many languages, of which
+#: each keeps LEAST_ROWS. They are those of least hash.
 TRAIN_ROWS, ALL_ROWS, LEAST_ROWS = 700, 20_000, 5
-#: Languages up to which their table of chances is broadcast (a code and a number each).
-BROADCAST_LANGUAGES = 50_000
+#: Examples up to which their keys are broadcast (a code and 64 digits each). Parts of a language while its first are sought.
+BROADCAST_ROWS, SALTS = 25_000, 64
 
 #: Families of common language codes; any other code is a family of its own.
 FAMILIES = {
@@ -55,6 +55,7 @@ def features(texts: list[str | None]) -> np.ndarray:
 class Model:
     def __init__(self, x: np.ndarray, langs: list[str]) -> None:
         lang = np.array(langs)
+        self.examples = {str(v): int((lang == v).sum()) for v in sorted(set(langs))}
         family = np.array([FAMILY_OF.get(v.lower().split("-")[0], v) for v in langs])
         self.families = sorted(set(family.tolist()))
         self.members = {f: sorted(set(lang[family == f].tolist())) for f in self.families}
@@ -96,24 +97,33 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def train(docs: DataFrame) -> Model | None:
-    """From a bounded sample of texts with a language; None where there is none."""
+    """From a bounded sample of different texts with a language; None where there is none. The driver gets 8 kB for each:
+    TRAIN_ROWS of a language, ALL_ROWS in all, or LEAST_ROWS of each where there are more than 4,000 languages."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = common.written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
-    languages = counts.count()
+    # Equal texts of a language are one example, so that copies neither crowd out others nor multiply.
+    known = known.select("text", "lang", F.xxhash64(F.lit(11), "text").alias("draw"), F.sha2("text", 256).alias("same"))
+    least = common.written(known.select("lang", "draw", "same").distinct())
+    languages = least.select("lang").distinct().count()
     if not languages:
         return None
     rows_each = max(LEAST_ROWS, min(TRAIN_ROWS, ALL_ROWS // languages))
-    chances = counts.select("lang", (F.lit(1_000_000 * rows_each) / F.col("n") + 1).cast("long").alias("_chance"))
-    draw = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(1_000_000))
-    picked = known.join(F.broadcast(chances) if languages <= BROADCAST_LANGUAGES else chances, "lang").where(draw < F.col("_chance")).select("doc_id", "text", "lang")
+    # The least hashes of each language, exactly so many, or all where it has fewer. Each salt keeps its own first, so that
+    # no task holds a large language.
+    least = least.withColumn("salt", F.pmod("draw", F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("draw", "same"))
+        least = least.withColumn("nth", nth).where(F.col("nth") <= rows_each)
+    least = common.written(least.select("lang", "same"), rows=languages * rows_each)
+    chosen = known.join(F.broadcast(least) if languages * rows_each <= BROADCAST_ROWS else least.hint("merge"), ["lang", "same"])
+    picked = chosen.groupBy("lang", "same").agg(F.min("text").alias("text")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches):
+        for b in common.sized(batches, "text"):
             x = features(b.column("text").to_pylist()).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
     common.ship(docs.sparkSession)
-    rows = sorted(picked.mapInArrow(run, "doc_id long, lang string, x binary").collect(), key=lambda r: (r["doc_id"], bytes(r["x"])))
+    rows = sorted(picked.mapInArrow(run, "lang string, x binary").collect(), key=lambda r: (r["lang"], bytes(r["x"])))
     return Model(np.stack([np.frombuffer(r["x"], np.float16) for r in rows]).astype(np.float32), [r["lang"] for r in rows]) if rows else None
 
 
@@ -124,8 +134,8 @@ def has_letter(text: str | None) -> bool:
 def identify(docs: DataFrame) -> DataFrame:
     """All columns of docs with lang_pred and score added (columns of those names are replaced).
 
-    The model learns from text and lang of a bounded sample of the rows that aren't held out; every language among
-    them can be predicted. ``und`` with score 0 where the text is null or has no letter, or nothing could be learned.
+    The model learns from text and lang of a bounded sample of the rows that aren't held out; equal texts of a language are one
+    example, and every language among these rows can be predicted. ``und`` with score 0 where the text is null or has no letter, or nothing could be learned.
     A text of any length is looked at whole, a megabyte at a time. Ties of votes go to the larger sum of margins,
     then to the later code. Repeated rows get equal predictions; an empty table gives an empty result."""
     model = train(docs)
@@ -133,7 +143,7 @@ def identify(docs: DataFrame) -> DataFrame:
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, 256):
+        for b in common.sized(batches, "text"):
             texts = b.column("text").to_pylist()
             own = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
             pred, score = ["und"] * len(texts), np.zeros(len(texts))

@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter
 
@@ -146,3 +147,24 @@ def test_texts_beyond_a_megabyte():
     assert np.allclose(view[:64], np.sqrt(pairs / pairs.sum()))
     words = Counter(zlib.crc32(w) % quality.WORDS for w in text.encode().split())
     assert np.allclose(view[72:] ** 2, [words[k] / words.total() for k in range(quality.WORDS)])
+
+
+@pytest.mark.parametrize("base", [0, 1, 5_000_000])
+def test_language_of_many_copies_is_learned(spark, base):
+    """20,000 copies of one text are one example: its language is learned, and the driver gets a bounded sample."""
+    rng = random.Random(base)
+    english = [" ".join(rng.choices("the of and that with which have from this would there their about".split(), k=20)) for _ in range(1500)]
+    rows = [(base + i, t, "en") for i, t in enumerate(english)] + [(base + 2000 + i, "les enfants jouent dans la forêt avec leurs amis pendant l'été", "fr") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df)
+    assert model.families == ["germanic", "romance"]
+    assert model.examples == {"en": language.TRAIN_ROWS, "fr": 1}
+    pred = language.identify(df.where(f"doc_id < {base + 2100}")).where("lang = 'fr'").select("lang_pred").collect()
+    assert {r.lang_pred for r in pred} == {"fr"} and len(pred) == 100
+
+
+def test_very_long_texts_get_a_language(spark):
+    rows = [(i, t * 9 + str(i), v) for i in range(60) for t, v in (("this is the house that they have built ", "en"), ("das ist ein haus und die katze ist nicht da ", "de"))]
+    rows.append((1000, "das ist nicht die katze und ein haus " * 60_000, None))
+    out = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id = 1000").first()
+    assert out.lang_pred == "de" and 0 <= out.score <= 1
