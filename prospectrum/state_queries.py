@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from prospectrum.operators import matching, service
 from prospectrum.runtime import table
+from prospectrum.source_queries import pages
+from prospectrum.sources import datasource, directories
 from prospectrum.streaming import state
 
 Frame = Callable[[SparkSession, str], DataFrame]
@@ -92,6 +94,15 @@ def state_queries(scratch: Callable[[SparkSession], str]) -> dict[str, tuple[Fra
         in_parts(spark, sf, rows, "event_id", kind, scratch).writeStream.foreachBatch(twice).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
         return state.deliveries(spark, path, kind)
 
+    def captured_leads(spark: SparkSession, sf: str) -> DataFrame:
+        """Supplier pages as captures of two sources and several days, read back by the data source."""
+        path = scratch(spark)
+        for name in ("goodfirms", "clutch"):
+            rows = pages(spark, sf, name).selectExpr(f"'{name}' as source", "'2026-01-' || lpad(cast(ord % 9 + 1 as string), 2, '0') as day", "ord", "'https://list.example/' || cast(ord as string) as url", "html as body")
+            datasource.write_captures(rows, path)
+        own = datasource.captures(spark, path).where("source = 'goodfirms' and day >= '2026-01-04'")
+        return directories.goodfirms(own.select("ord", F.col("body").alias("html"))).select("name", "rating", "reviews")
+
     lives_sql = f"""with e as (select 'u' || cast(user_id as varchar) || '-' || cast(event_id % 7 as varchar) as dedupe_key, epoch_us(ts) as seen, event_type, case when event_id % 2 = 1 then cast(event_id as varchar) end as phone, event_id from events),
  g as (select *, case when seen - lag(seen) over (partition by dedupe_key order by seen) <= {int(TTL_DAYS * state.DAY)} then 0 else 1 end as new from e),
  i as (select *, sum(new) over (partition by dedupe_key order by seen) as life from g)
@@ -99,6 +110,7 @@ def state_queries(scratch: Callable[[SparkSession], str]) -> dict[str, tuple[Fra
     return {
         "filters_as_rows": (match_counts, f"with {LEADS_SQL}, {FILTERS_SQL} select search_id, count(*) as n, cast(sum(id) as bigint) as ids from filters join leads on {MATCH} group by search_id"),
         "deliveries_of_filters": (delivered, f"with {LEADS_SQL}, {FILTERS_SQL} select user_id, id as lead_id, min(search_id) as saved_search_id from filters join leads on {MATCH} where id % 3 < 2 group by user_id, id"),
+        "captured_leads": (captured_leads, "select name, '4.5' as rating, cast(s_nationkey as varchar) as reviews from (select s_name as name, * from supplier union all select 'Other ' || s_name as name, * from supplier) where s_suppkey % 9 + 1 >= 4"),
         "living_master": (lives, lives_sql),
         "replayed_deliveries": (replayed, "select cast(user_id as varchar) as user_id, event_id % 40 as lead_id, min(event_id) as event_id from events group by 1, 2"),
     }
