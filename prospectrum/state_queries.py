@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectrum.operators import matching, service
+from prospectrum.operators import matching, paging
+from prospectrum.operators.service import LeadsQuery
+from prospectrum.plans import rollups
 from prospectrum.runtime import table
 from prospectrum.source_queries import pages
 from prospectrum.sources import datasource, directories
-from prospectrum.streaming import state
+from prospectrum.streaming import incremental, state
 
 Frame = Callable[[SparkSession, str], DataFrame]
+PAGE = LeadsQuery(region="r1", min_score=20, page=3, page_size=10)
+SESSIONS_SQL = """with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hour then 0 else 1 end as new from events),
+ i as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as s from g)
+ select user_id, min(ts) as start, max(ts) as last, count(*) as n, round(sum(value), 4) as value from i group by user_id, s"""
 PARTS, TTL_DAYS = 4, 4.0
 
 # Stored leads of customers and saved searches of orders: expressions that both engines read.
@@ -103,6 +109,23 @@ def state_queries(scratch: Callable[[SparkSession], str]) -> dict[str, tuple[Fra
         own = datasource.captures(spark, path).where("source = 'goodfirms' and day >= '2026-01-04'")
         return directories.goodfirms(own.select("ord", F.col("body").alias("html"))).select("name", "rating", "reviews")
 
+    def seek_page(spark: SparkSession, sf: str) -> DataFrame:
+        own = paging.Ordered(scratch(spark))
+        own.write(leads(spark, sf).withColumn("deleted_at", F.when(F.col("id") % 17 == 0, F.lit("x"))), 8)
+        page, total = own.page(spark, PAGE)
+        return page.select("id", "score", F.lit(total).cast("long").alias("total"))
+
+    def rollup(spark: SparkSession, sf: str) -> DataFrame:
+        """A table of days, made once, from which the last ten are asked for, by tier."""
+        path = scratch(spark)
+        rows = leads(spark, sf).withColumns({"phone": F.col("address"), "linkedin": F.lit(None).cast("string"), "day": (F.col("id") % 30).cast("int"), "dedupe_key": F.concat(F.lit("s"), (F.col("id") % 400).cast("string"))})
+        rollups.daily(rows, F.col("day"), "tier").write.parquet(path)
+        out = rollups.merged(spark.read.parquet(path).where("day >= 20"), "tier")
+        exact = rows.where("day >= 20").groupBy("tier").agg(F.countDistinct("dedupe_key").alias("keys"), F.expr("percentile(score, array(0.47, 0.53))").alias("near"))
+        told = F.abs(F.col("distinct_keys") - F.col("keys")) <= 0.06 * F.col("keys")
+        ranked = F.col("score_50").between(F.floor(F.col("near")[0]), F.ceil(F.col("near")[1]))
+        return out.join(exact, "tier").select("tier", "n", "with_email", "with_phone", "with_email_percent", F.round("average", 6).alias("average"), told.alias("keys_near"), ranked.alias("median_near"))
+
     lives_sql = f"""with e as (select 'u' || cast(user_id as varchar) || '-' || cast(event_id % 7 as varchar) as dedupe_key, epoch_us(ts) as seen, event_type, case when event_id % 2 = 1 then cast(event_id as varchar) end as phone, event_id from events),
  g as (select *, case when seen - lag(seen) over (partition by dedupe_key order by seen) <= {int(TTL_DAYS * state.DAY)} then 0 else 1 end as new from e),
  i as (select *, sum(new) over (partition by dedupe_key order by seen) as life from g)
@@ -111,6 +134,10 @@ def state_queries(scratch: Callable[[SparkSession], str]) -> dict[str, tuple[Fra
         "filters_as_rows": (match_counts, f"with {LEADS_SQL}, {FILTERS_SQL} select search_id, count(*) as n, cast(sum(id) as bigint) as ids from filters join leads on {MATCH} group by search_id"),
         "deliveries_of_filters": (delivered, f"with {LEADS_SQL}, {FILTERS_SQL} select user_id, id as lead_id, min(search_id) as saved_search_id from filters join leads on {MATCH} where id % 3 < 2 group by user_id, id"),
         "captured_leads": (captured_leads, "select name, '4.5' as rating, cast(s_nationkey as varchar) as reviews from (select s_name as name, * from supplier union all select 'Other ' || s_name as name, * from supplier) where s_suppkey % 9 + 1 >= 4"),
+        "query_page_seek": (seek_page, f"with {LEADS_SQL}, own as (select id, score from leads where id % 17 > 0 and region = 'r1' and coalesce(score, -1) >= 20) select id, score, (select count(*) from own) as total from own order by score desc nulls last, id limit {PAGE.page_size} offset {PAGE.page_size * (PAGE.page - 1)}"),
+        "dashboard_rollup": (rollup, f"with {LEADS_SQL} select tier, count(*) as n, count_if(email <> '') as with_email, count(address) as with_phone, cast(round(100.0 * count_if(email <> '') / count(*)) as integer) as with_email_percent, round(avg(score), 6) as average, true as keys_near, true as median_near from leads where id % 30 >= 20 group by tier"),
+        "event_sessions": (lambda s, d: incremental.sessions(table(s, d, "events"), "6 hours").select("user_id", "start", "last", "n", F.round("value", 4).alias("value")), SESSIONS_SQL),
+        "sliding_counts": (lambda s, d: incremental.windowed_counts(table(s, d, "events"), width="6 hours", slide="2 hours"), "select time_bucket(interval 2 hour, ts) - to_hours(2 * k) as start, event_type, count(*) as n from events, unnest([0, 1, 2]) as x(k) group by 1, 2"),
         "living_master": (lives, lives_sql),
         "replayed_deliveries": (replayed, "select cast(user_id as varchar) as user_id, event_id % 40 as lead_id, min(event_id) as event_id from events group by 1, 2"),
     }

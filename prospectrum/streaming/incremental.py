@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -62,12 +62,29 @@ def merge_into_master(path: str, keep: int = 3):  # noqa: ANN201
     return run
 
 
-def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Counts of event types in tumbling windows; rows later than the watermark are left out. Times without a zone
-    are taken as UTC and come back without one."""
+def _zoned(events: DataFrame) -> tuple[DataFrame, bool]:
+    """Events with ts as a time with a zone; whether it had none (UTC then)."""
     bare = dict(events.dtypes)["ts"] == "timestamp_ntz"
     ts = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp") if bare else F.col("ts")
-    counted = events.withColumn("ts", ts).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    start = F.col("window.start")
-    start = F.convert_timezone(F.current_timezone(), F.lit("UTC"), start.cast("timestamp_ntz")) if bare else start
-    return counted.select(start.alias("start"), "event_type", "n")
+    return events.withColumn("ts", ts), bare
+
+
+def _plain(c: Column, bare: bool) -> Column:
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz")) if bare else c
+
+
+def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts of event types in windows, tumbling or, with a slide, overlapping; rows later than the watermark are left
+    out. Times without a zone are taken as UTC and come back without one."""
+    own, bare = _zoned(events)
+    counted = own.withWatermark("ts", late).groupBy(F.window("ts", width, slide), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(_plain(F.col("window.start"), bare).alias("start"), "event_type", "n")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """(user_id, start, last, n, value): each user's stretches of events with no gap of so long or longer between them. In a stream
+    a session is given once, when the watermark has passed its end; until then rows that come late join it, also two
+    sessions to one. Rows later than the watermark, or without time, are left out."""
+    own, bare = _zoned(events)
+    found = own.where("ts is not null").withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
+    return found.select("user_id", _plain(F.col("w.start"), bare).alias("start"), _plain(F.col("last"), bare).alias("last"), "n", "value")
