@@ -22,9 +22,8 @@ from prospectrum.streaming import incremental
 
 Frame = Callable[[SparkSession, str], DataFrame]
 NOW = "timestamp '2026-02-01 00:00:00'"
-CATEGORIES = [("ai-ml", "google_maps", "ai firms"), ("ai-ml", "clutch", "ai"), ("healthcare", "clutch", "health"), ("healthcare", "goodfirms", "clinics"), ("*", "google_maps", "software firms"), ("*", "clutch", "developers")]
-PLACES = [(r, i, s, f"{r}-{s}-{k}", k) for i, (r, n) in enumerate((("europe", 5), ("asia", 3))) for s in ("google_maps", "clutch") for k in range(n)]
-SEARCH = "c_custkey as id, case c_custkey % 4 when 0 then 'ai-ml' when 1 then 'healthcare' when 2 then 'odd' end as industry, case c_custkey % 3 when 0 then 'europe' when 1 then 'moon' end as region, case when c_custkey % 2 = 0 then 'deep' else 'quick' end as depth"
+CATEGORIES, PLACES = targeting.default_rows()
+SEARCH = "c_custkey as id, case c_custkey % 4 when 0 then 'ai-ml' when 1 then 'digital-marketing' when 2 then 'odd' end as industry, case c_custkey % 3 when 0 then 'europe' when 1 then 'moon' end as region, case when c_custkey % 2 = 0 then 'deep' else 'quick' end as depth"
 #: Emails that a page may show; the last two are none.
 MAILS = "case c_custkey % 5 when 0 then 'name@x.com' when 1 then 'no-reply@firm.com' when 2 then 'a' || cast(c_custkey as string) || '@yourdomain.com' when 3 then 'pic@2x.png' else 'user' || cast(c_custkey as string) || '@firm.com' end"
 
@@ -44,7 +43,7 @@ def values(rows: list[tuple]) -> str:
 
 
 def _vocabularies(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(CATEGORIES, "industry string, source string, category string"), spark.createDataFrame(PLACES, "region string, region_ord int, source string, place string, place_ord int")
+    return targeting.defaults(spark)
 
 
 def _searches(spark: SparkSession, sf: str) -> DataFrame:
@@ -63,8 +62,8 @@ def _coverage(spark: SparkSession, sf: str) -> DataFrame:
 _ASKED = [line.split(None, 5) for line in targeting.ASKED.strip().splitlines()]
 JOBS_SQL = f"""with s as (select {SEARCH} from customer), cat(industry, source, category) as (values {values(CATEGORIES)}), pl(region, ro, source, place, po) as (values {values(PLACES)}),
  ask(depth, source, most, pages, wording, so) as (values {values([(d, x, int(m), int(p), w, i) for i, (d, x, m, p, _, w) in enumerate(_ASKED)])}),
- w as (select s.id as search_id, a.*, s.region, coalesce((select category from cat where cat.source = a.source and cat.industry = case when s.industry in ('ai-ml', 'healthcare') then s.industry else '*' end),
-  case when a.source = 'google_maps' then 'software firms' end) as category, s.industry is null or s.industry in ('ai-ml', 'healthcare') as known from s join ask a on a.depth = s.depth),
+ w as (select s.id as search_id, a.*, s.region, coalesce((select category from cat where cat.source = a.source and cat.industry = case when s.industry in (select industry from cat) then s.industry else '*' end),
+  case when a.source = 'google_maps' then (select category from cat where source = 'google_maps' and industry = '*') end) as category, s.industry is null or s.industry in (select industry from cat) as known from s join ask a on a.depth = s.depth),
  r as (select w.*, place, row_number() over (partition by search_id, w.source order by ro, po, place) as nth from w join pl on pl.source = w.source and (w.region is null or w.region = pl.region) where category is not null),
  jobs as (select search_id, source, nth, replace(replace(wording, '{{c}}', category), '{{p}}', place) as query, pages from r where nth <= most) """
 

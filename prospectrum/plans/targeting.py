@@ -1,12 +1,14 @@
 """Which jobs would gather leads for saved searches: a join of searches with what each source can be asked.
 
-Vocabularies are small tables: ``categories`` (industry, source, category), where the industry ``*`` stands for
+Vocabularies are small tables, of which the package has a default (``defaults``): ``categories`` (industry, source, category), where the industry ``*`` stands for
 searches that name none or an unknown one, and ``places`` (region, region_ord, source, place, place_ord). Only
 industry and region can be asked of a source; the rest of a search's filter is applied to what comes back.
 """
 
 from __future__ import annotations
 
+import json
+import pkgutil
 from datetime import datetime
 from email.utils import parsedate_to_datetime
 
@@ -30,6 +32,20 @@ deep  selectedfirms 4 2  0 {c}/{p}
 """
 
 
+def default_rows(raw: str | None = None) -> tuple[list[tuple], list[tuple]]:
+    """Rows of categories and places of the targets that come with the package, or of others in the same JSON form."""
+    spec = json.loads(raw if raw is not None else pkgutil.get_data("prospectrum", "data/targets.json").decode())
+    categories = [(i, s, c) for i, (term, service) in spec["industries"].items() for s, c in ({MAPS: term} | spec["services"][service]).items()]
+    places = [(r, n, s, p, k) for n, (r, own) in enumerate(spec["regions"].items()) for s, names in own.items() for k, p in enumerate(names)]
+    return categories, places
+
+
+def defaults(spark: SparkSession, raw: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(categories, places) of default_rows."""
+    categories, places = default_rows(raw)
+    return spark.createDataFrame(categories, "industry string, source string, category string"), spark.createDataFrame(places, "region string, region_ord int, source string, place string, place_ord int")
+
+
 def asked(spark: SparkSession) -> DataFrame:
     """(depth, source, source_ord, most, pages, results, wording): a row for each depth and source."""
     rows = [line.split(None, 5) for line in ASKED.strip().splitlines()]
