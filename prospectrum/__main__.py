@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prospectrum.functions.rules import TAXONOMY, Vocabularies, differences
 from prospectrum.functions.text import name_key, site_key
-from prospectrum.operators import leads, searches, service
+from prospectrum.operators import leads, matching, searches, service
 from prospectrum.plans import maintenance, pipeline
 from prospectrum.sources import captured, directories
 
@@ -75,18 +76,18 @@ def firms(spark: SparkSession, names: DataFrame, captures: str, done: DataFrame
 
 
 def saved_searches(spark: SparkSession, source: str, target: str) -> None:
-    """Runs that are due or pending are claimed, their matches among the stored leads delivered, and the runs closed.
-    The driver walks over the claimed runs, of which there are RUNS_A_CALL at most."""
+    """Runs that are due or pending are claimed, their matches among the stored leads delivered, and the runs closed; all
+    runs meet the leads in one join."""
     now = F.current_timestamp()
     own, stored = spark.read.parquet(f"{source}/searches"), spark.read.parquet(f"{source}/leads")
     searches.enqueued(spark.read.parquet(f"{source}/runs"), own, now).write.mode("overwrite").parquet(f"{target}/queued")
     service.claim(spark.read.parquet(f"{target}/queued"), own, now).write.mode("overwrite").parquet(f"{target}/claimed")
     claimed = spark.read.parquet(f"{target}/claimed")
-    work = claimed.where("status = 'running'").join(own.select(F.col("id").alias("saved_search_id"), "filter_json", F.col("user_id").alias("owner")), "saved_search_id").orderBy("id").limit(service.RUNS_A_CALL).collect()
     empty = spark.createDataFrame([], "user_id string, lead_id long, saved_search_id long, scrape_run_id long, delivery_reason string")
-    rows = empty
-    for r in work:
-        rows = rows.unionByName(service.attributed(stored, stored, service.LeadsQuery.parse(r["filter_json"]), r["owner"], r["saved_search_id"], r["id"]))
+    work = claimed.where("status = 'running'").select(F.col("id").alias("scrape_run_id"), "saved_search_id").join(own.select(F.col("id").alias("saved_search_id"), "filter_json", "user_id"), "saved_search_id")
+    hits = matching.matched(stored.where("dedupe_key is not null"), work, ["id"], ["user_id", "saved_search_id", "scrape_run_id"])
+    # A lead that several runs of a user match is the first run's.
+    rows = hits.groupBy("user_id", F.col("id").alias("lead_id")).agg(F.min(F.struct("scrape_run_id", "saved_search_id")).alias("x")).select("user_id", "lead_id", F.col("x.saved_search_id").cast("long").alias("saved_search_id"), F.col("x.scrape_run_id").cast("long").alias("scrape_run_id"), F.lit("fresh").alias("delivery_reason"))
     delivered = spark.read.parquet(f"{source}/user_leads") if captured.exists(spark, f"{source}/user_leads") else empty
     service.new_deliveries(delivered, rows).write.mode("overwrite").parquet(f"{target}/user_leads")
     found = spark.read.parquet(f"{target}/user_leads").groupBy(F.col("scrape_run_id").alias("id")).agg(F.count(F.lit(1)).alias("leads_found"))
@@ -114,7 +115,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         root = jvm.org.apache.hadoop.fs.Path(a.source)
         keys = [s.getPath().getName() for s in root.getFileSystem(conf).listStatus(root)]
-        out = pipeline.run(captured.gather({k: spark.read.parquet(f"{a.source}/{k}") for k in keys}, F.current_timestamp(), tuple(a.only) if a.only else None), settings)
+        rows, failed = captured.gather_into({k: lambda k=k: spark.read.parquet(f"{a.source}/{k}") for k in keys}, F.current_timestamp(), f"{a.target}.gathered", tuple(a.only) if a.only else None)
+        for key, why in failed.items():
+            print(f"left out: {key}: {why}", file=sys.stderr)
+        out = pipeline.run(rows, settings)
     elif a.command == "ingest":
         out = pipeline.run(captured.read_runs(spark, a.source), settings)
     elif a.command == "rescore":

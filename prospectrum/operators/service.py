@@ -316,17 +316,25 @@ def classify_with(df: DataFrame, calls: Callable[[str], str] | list[Callable[[st
 
 def through_process(df: DataFrame, command: list[str], column: str, into: str, wait: float = 60.0) -> DataFrame:
     """Adds what a program says about a column: it gets a JSON string a line and answers with one a line, in order. One
-    program runs for each Arrow batch; rows of a batch for which it fails, or takes too long, get null."""
+    program runs for each Arrow batch. A line that is no JSON string costs its own row its answer, lines that lack
+    theirs; where the program fails or takes too long, the batch's rows get null."""
+
+    def answer(line: str) -> str | None:
+        try:
+            said = json.loads(line)
+        except ValueError:
+            return None
+        return said if isinstance(said, str) else None
+
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             try:
                 said = subprocess.run(command, input="".join(json.dumps(x) + "\n" for x in pdf[column]), capture_output=True, text=True, timeout=wait, check=True).stdout
-                out = [json.loads(x) for x in said.splitlines()]
-                if len(out) != len(pdf):
-                    raise ValueError("not an answer for each line")
-            except (OSError, ValueError, subprocess.SubprocessError):
+                out = [answer(x) for x in said.split("\n")[: len(pdf)]]
+                out += [None] * (len(pdf) - len(out))
+            except (OSError, subprocess.SubprocessError):
                 out = [None] * len(pdf)
             yield pdf.assign(**{into: out})
 

@@ -170,13 +170,13 @@ def read_recovered(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_master(spark: SparkSession, path: str) -> DataFrame:
-    """Leads of a master file (a JSON list); an absent or unreadable one counts as empty."""
+    """Leads of a master file (a JSON list); an absent or unreadable one counts as empty. A list is read as a
+    stream of its objects, so its length isn't bounded by what one value holds."""
     if not exists(spark, path):
         return as_leads(spark.createDataFrame([], "ord long"))
-    kinds = ", ".join(f"{c} {k}" for c, k in KINDS.items())
-    old = ", ".join(f"{c} string" for c in RAW_NAMES)
-    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"array<struct<{old.replace(' string', ': string')}, {kinds.replace(', ', ',').replace(' ', ': ').replace(',', ', ')}>>").alias("x"))
-    raw = rows.select(F.posexplode("x").alias("ord", "x")).select(F.col("ord").cast("long").alias("ord"), "x.*")
+    kinds = ", ".join([*(f"{c} string" for c in RAW_NAMES), *(f"{c} {k}" for c, k in KINDS.items()), "_unread string"])
+    raw = spark.read.schema(kinds).option("multiLine", True).option("columnNameOfCorruptRecord", "_unread").json(path)
+    raw = raw.withColumn("ord", F.monotonically_increasing_id()).where("_unread is null").drop("_unread")
     for was, now in RAW_NAMES.items():
         raw = raw.withColumn(now, F.coalesce(now, was)).drop(was)
     return as_leads(raw)
@@ -248,7 +248,26 @@ def gather(captures: dict[str, DataFrame], at: Column, only: tuple[str, ...] | N
     return as_leads(spark.createDataFrame([], "ord long"))
 
 
+def gather_into(captures: dict[str, DataFrame | Callable[[], DataFrame]], at: Column, folder: str, only: tuple[str, ...] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """(the rows of gather(), why sources failed). Each source is read, parsed and written apart, so one that breaks while it runs
+    is left out as one that can't be read is, and the others' work stays."""
+    spark = SparkSession.active()
+    failed: dict[str, str] = {}
+    done = []
+    for key in REGISTRY:
+        if key not in captures or (only is not None and key not in only):
+            continue
+        read = lambda k: captures[k]() if callable(captures[k]) else captures[k]
+        try:
+            own = {k: read(k) for k in (key, f"{key}_pages") if k in captures}
+            gather(own, at, (key,)).write.mode("overwrite").parquet(f"{folder}/{key}")
+            done.append(f"{folder}/{key}")
+        except Exception as e:  # one broken source doesn't end the others
+            failed[key] = str(e).split("\n", 1)[0]
+    schema = as_leads(spark.createDataFrame([], "ord long")).schema
+    return (spark.read.schema(schema).parquet(*done) if done else spark.createDataFrame([], schema)), failed
+
+
 def site_name(url: Column) -> Column:
     """The first label of a URL's host, without www."""
     return F.split_part(site_key(url), F.lit("."), F.lit(1))
-

@@ -1,3 +1,4 @@
+import sys
 from datetime import UTC, datetime
 
 import pytest
@@ -238,3 +239,43 @@ def test_drift_and_migration(spark, tmp_path):
     once = maintenance.migrated(old)
     assert [(r.dedupe_key, r.score, r.status, r.extra) for r in once.collect()] == [("a", 5, "new", "kept")]
     assert maintenance.migrated(once).collect() == once.collect()
+
+
+def test_a_source_that_breaks_while_it_runs_is_left_out(spark, tmp_path):
+    """One can't be read, one fails in its rows; the third's rows come through, and the command says what is missing."""
+    good = spark.createDataFrame([(1, '[{"name": "Acme Software", "website": "https://acme.example", "phone": "+1"}]')], "ord long, payload string")
+    broken = spark.range(3).select(F.col("id").alias("ord"), F.when(F.col("id") == 2, F.raise_error(F.lit("torn capture"))).otherwise("{}").alias("payload"))
+
+    def absent():
+        return spark.read.parquet(str(tmp_path / "nowhere"))
+
+    rows, failed = captured.gather_into({"google_maps": good, "github_orgs": broken, "clutch": absent}, F.current_timestamp(), str(tmp_path / "g"))
+    assert [r.company_name for r in rows.collect()] == ["Acme Software"]
+    assert set(failed) == {"github_orgs", "clutch"} and "torn capture" in failed["github_orgs"]
+    none, failed = captured.gather_into({"clutch": absent}, F.current_timestamp(), str(tmp_path / "h"))
+    assert none.collect() == [] and set(failed) == {"clutch"} and "company_name" in none.columns
+
+
+def test_one_bad_line_costs_one_row(spark):
+    df = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "i int, html string").coalesce(1)
+    odd = "import sys, json\nfor n, line in enumerate(sys.stdin):\n    print('not json' if n == 1 else '{}' if n == 2 else json.dumps(json.loads(line).upper()))\n    if n == 3: break"
+    got = [r.text for r in service.through_process(df, [sys.executable, "-c", odd], "html", "text").orderBy("i").collect()]
+    assert got == ["T0", None, None, "T3", None]
+
+
+def test_a_cut_off_master_counts_as_empty(spark, tmp_path):
+    (tmp_path / "cut.json").write_text('[{"name": "A"}, {"name": "B"')
+    assert captured.read_master(spark, str(tmp_path / "cut.json")).collect() == []
+
+
+def test_default_targets(spark):
+    categories, places = targeting.defaults(spark)
+    s = spark.createDataFrame([(1, "ai-ml", "europe", "quick"), (2, "digital-marketing", "africa", "deep"), (3, None, None, "quick"), (4, "cloud-devops", "europe", "deep")], "id long, industry string, region string, depth string")
+    jobs = {}
+    for r in targeting.planned_jobs(s, categories, places).orderBy("search_id", "source", "nth").collect():
+        jobs.setdefault((r.search_id, r.source), []).append(r["query"])
+    assert jobs[(1, "google_maps")] == [f"AI companies in {c}" for c in ("London", "Berlin", "Amsterdam", "Warsaw")]
+    assert jobs[(1, "clutch")] == [f"{c}/developers" for c in ("gb", "de", "nl", "tr")]
+    assert (2, "goodfirms") not in jobs and jobs[(2, "designrush")] == [f"digital-marketing/{c}" for c in ("NG", "ZA", "EG")]
+    assert jobs[(3, "google_maps")] == [f"software companies in {c}" for c in ("Dubai", "Abu Dhabi", "Riyadh", "Doha")]
+    assert (4, "selectedfirms") not in jobs and jobs[(4, "techbehemoths")] == ["it-services/united-kingdom"]
