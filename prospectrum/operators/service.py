@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prospectrum.functions.text import present
+from prospectrum.functions.text import clean_email, clean_phone, clean_url, present
 
 DEFAULT_PAGE, LARGEST_PAGE = 50, 200
 RUNS_A_CALL, GROUPS_A_CALL, BACKFILL = 10, 5, 200
@@ -256,6 +256,22 @@ def parsed_answer(raw: Column, allowed: list[str]) -> Column:
     return F.when(F.coalesce(a["primary_industry"], F.lit("")) != "", out)
 
 
+# Fixed value: the fields of a contact answer.
+CONTACT_ANSWER = "email string, phone string, linkedin string, facebook string, instagram string"
+
+
+def contact_answers(answers: DataFrame, key: str = "dedupe_key") -> DataFrame:
+    """(key, email, phone, linkedin, facebook, instagram) of a model's answers (key, answer) about a page: fences and
+    chatter around the JSON are cut off, values cleaned, and those that are none ('' or no address) are null. An answer that
+    can't be read gives no row; plans.maintenance.filled puts the rest where a lead has gaps."""
+    fenced = F.regexp_extract("answer", r"(?is)```(?:json)?\s*(.*?)\s*```", 1)
+    body = F.regexp_extract(F.when(fenced != "", fenced).otherwise(F.col("answer")), r"(?s)\{.*\}", 0)
+    parsed = answers.select(key, F.from_json(body, CONTACT_ANSWER, {"mode": "PERMISSIVE"}).alias("c")).where(F.col("c").isNotNull())
+    fields = {"email": clean_email(F.col("c.email")), "phone": clean_phone(F.col("c.phone"))} | {n: clean_url(F.col(f"c.{n}")) for n in ("linkedin", "facebook", "instagram")}
+    out = parsed.select(key, *(F.nullif(e, F.lit("")).alias(n) for n, e in fields.items()))
+    return out.where(F.coalesce(*fields.keys()).isNotNull())
+
+
 def needs_classification(model: str, threshold: float = 0.65, force: bool = False) -> Column:
     coarse = F.col("tag_source").isNull() | F.col("industry").isNull() | (F.col("tag_source") == "llm") | (F.col("tag_confidence") < threshold)
     fine = F.when(F.col("tag_source").isNull() | F.col("industry").isNull(), True).when(F.col("tag_source") == "llm", ~F.col("llm_model").eqNullSafe(F.lit(model))).otherwise(F.coalesce("tag_confidence", F.lit(0.0)) < threshold)
@@ -281,10 +297,13 @@ def with_retry(call: Callable, attempts: int = ATTEMPTS, pauses: tuple[float, ..
             sleep(pauses[min(i, len(pauses) - 1)])
 
 
-def classify_with(df: DataFrame, calls: Callable[[str], str] | list[Callable[[str], str]], attempts: int = ATTEMPTS, pauses: tuple[float, ...] = PAUSES, least_gap: float = 0.0) -> DataFrame:
+def classify_with(df: DataFrame, calls: Callable[[str], str] | list[Callable[[str], str]], attempts: int = ATTEMPTS, pauses: tuple[float, ...] = PAUSES, least_gap: float = 0.0, workers: int | None = None) -> DataFrame:
     """Adds answer and error to rows with a prompt. Calls run on the executors, AT_A_TIME at once in a worker and
     least_gap seconds apart; several calls (one for each key) take turns, and a call that fails is tried again with
-    the next. A row for which all attempts fail keeps the last error."""
+    the next. A row for which all attempts fail keeps the last error. With workers the gap is kept by all of them together:
+    there are so many tasks at most, and each waits its share of turns, so no clock has to be shared."""
+    if workers is not None:
+        df, least_gap = df.coalesce(workers), least_gap * workers
     turns = calls if isinstance(calls, list) else [calls]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 

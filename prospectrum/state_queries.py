@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prospectrum.operators import matching, paging
+from prospectrum.operators import matching, paging, service
 from prospectrum.operators.service import LeadsQuery
-from prospectrum.plans import rollups
+from prospectrum.plans import maintenance, rollups
 from prospectrum.runtime import table
 from prospectrum.source_queries import pages
 from prospectrum.sources import datasource, directories
@@ -126,6 +126,14 @@ def state_queries(scratch: Callable[[SparkSession], str]) -> dict[str, tuple[Fra
         ranked = F.col("score_50").between(F.floor(F.col("near")[0]), F.ceil(F.col("near")[1]))
         return out.join(exact, "tier").select("tier", "n", "with_email", "with_phone", "with_email_percent", F.round("average", 6).alias("average"), told.alias("keys_near"), ranked.alias("median_near"))
 
+    def answered(spark: SparkSession, sf: str) -> DataFrame:
+        """Answers about customers' pages, plain, fenced, with chatter or broken, fill the gaps of stored leads."""
+        own = leads(spark, sf).withColumns({"phone": F.lit(""), "linkedin": F.when(F.col("id") % 2 == 0, "https://linkedin.com/old"), "facebook": F.lit(""), "instagram": F.lit("")})
+        said = F.to_json(F.struct(F.concat(F.lit("Mail"), F.col("id").cast("string"), F.lit("@Firm.com")).alias("email"), F.when(F.col("id") % 4 > 0, "N/A").otherwise("+1 2").alias("phone"), F.lit("https://linkedin.com/new").alias("linkedin")))
+        kinds = F.when(F.col("id") % 5 == 0, F.concat(F.lit("Here it is:\n```json\n"), said, F.lit("\n```"))).when(F.col("id") % 5 == 1, F.concat(F.lit("Found "), said, F.lit(" only."))).when(F.col("id") % 5 == 2, "nothing {found").otherwise(said)
+        found = service.contact_answers(own.select("dedupe_key", kinds.alias("answer")))
+        return maintenance.filled(own, found).select("id", "email", "phone", "linkedin")
+
     lives_sql = f"""with e as (select 'u' || cast(user_id as varchar) || '-' || cast(event_id % 7 as varchar) as dedupe_key, epoch_us(ts) as seen, event_type, case when event_id % 2 = 1 then cast(event_id as varchar) end as phone, event_id from events),
  g as (select *, case when seen - lag(seen) over (partition by dedupe_key order by seen) <= {int(TTL_DAYS * state.DAY)} then 0 else 1 end as new from e),
  i as (select *, sum(new) over (partition by dedupe_key order by seen) as life from g)
@@ -133,6 +141,7 @@ def state_queries(scratch: Callable[[SparkSession], str]) -> dict[str, tuple[Fra
     return {
         "filters_as_rows": (match_counts, f"with {LEADS_SQL}, {FILTERS_SQL} select search_id, count(*) as n, cast(sum(id) as bigint) as ids from filters join leads on {MATCH} group by search_id"),
         "deliveries_of_filters": (delivered, f"with {LEADS_SQL}, {FILTERS_SQL} select user_id, id as lead_id, min(search_id) as saved_search_id from filters join leads on {MATCH} where id % 3 < 2 group by user_id, id"),
+        "contact_answers": (answered, f"with {LEADS_SQL} select id, case when email <> '' or id % 5 = 2 then email else 'mail' || cast(id as varchar) || '@firm.com' end as email, case when id % 5 = 2 or id % 4 > 0 then '' else '+1 2' end as phone, case when id % 2 = 0 then 'https://linkedin.com/old' when id % 5 <> 2 then 'https://linkedin.com/new' end as linkedin from leads"),
         "captured_leads": (captured_leads, "select name, '4.5' as rating, cast(s_nationkey as varchar) as reviews from (select s_name as name, * from supplier union all select 'Other ' || s_name as name, * from supplier) where s_suppkey % 9 + 1 >= 4"),
         "query_page_seek": (seek_page, f"with {LEADS_SQL}, own as (select id, score from leads where id % 17 > 0 and region = 'r1' and coalesce(score, -1) >= 20) select id, score, (select count(*) from own) as total from own order by score desc nulls last, id limit {PAGE.page_size} offset {PAGE.page_size * (PAGE.page - 1)}"),
         "dashboard_rollup": (rollup, f"with {LEADS_SQL} select tier, count(*) as n, count_if(email <> '') as with_email, count(address) as with_phone, cast(round(100.0 * count_if(email <> '') / count(*)) as integer) as with_email_percent, round(avg(score), 6) as average, true as keys_near, true as median_near from leads where id % 30 >= 20 group by tier"),

@@ -279,3 +279,14 @@ def test_default_targets(spark):
     assert (2, "goodfirms") not in jobs and jobs[(2, "designrush")] == [f"digital-marketing/{c}" for c in ("NG", "ZA", "EG")]
     assert jobs[(3, "google_maps")] == [f"software companies in {c}" for c in ("Dubai", "Abu Dhabi", "Riyadh", "Doha")]
     assert (4, "selectedfirms") not in jobs and jobs[(4, "techbehemoths")] == ["it-services/united-kingdom"]
+
+
+def test_a_pace_that_workers_share(spark):
+    """Two workers at one call a tenth of a second: a worker's own calls are two tenths apart."""
+    import time
+
+    df = spark.createDataFrame([(i, f"p{i}") for i in range(6)], "i int, prompt string").repartition(6)
+    out = service.classify_with(df, lambda p: str(time.time()), least_gap=0.1, workers=2)
+    assert out.rdd.getNumPartitions() == 2
+    at = sorted(float(r.answer) for r in out.collect())
+    assert len(at) == 6 and all(b - a >= 0.19 for a, b in zip(at[:-2], at[2:], strict=True))
