@@ -118,7 +118,7 @@ def train(docs: DataFrame) -> Model | None:
     picked = chosen.groupBy("lang", "same").agg(F.min("text").alias("text")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.sized(batches, "text"):
+        for b in common.sized(common.slices(batches, 256), "text"):
             x = features(b.column("text").to_pylist()).astype(np.float16)
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
@@ -143,7 +143,7 @@ def identify(docs: DataFrame) -> DataFrame:
     kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.sized(batches, "text"):
+        for b in common.sized(common.slices(batches, 256), "text"):
             texts = b.column("text").to_pylist()
             own = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
