@@ -6,7 +6,8 @@ link is verified on the shingles themselves. Equal texts are one node.
 
 First each node is compared with the first of each of its lists. Lists whose nodes that leaves unconnected are then
 compared whole, within one task a list and on the shingles themselves; what leaves the task is a forest of verified
-links, never all pairs. A list longer than WHOLE is cut by bands of further least hashes first.
+links, never all pairs. In a list longer than WHOLE those members are compared that share one of their rarest shingles,
+which no two near copies lack.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from prospectrum.llm.components import components
 
 SHINGLE, LEAST = 5, 0.8
 BANDS, ROWS = 20, 5
-#: Nodes of a list that are compared each with each; longer lists are cut by so many bands of so many places first.
-WHOLE, PLACES, CUTS, CUT_PLACES = 4096, 256, 32, 8
+#: Nodes of a list that are compared each with each; in longer lists, those that share a rare shingle.
+WHOLE = 4096
 #: Bytes of shingles that a bucket of lists gets on average.
 BUCKET_BYTES = 4_000_000
 #: Bits that tell most texts without candidates, as a power of two (2 MB).
@@ -53,7 +54,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """(node, fp, bands)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches):
+        for b in common.sized(common.slices(batches), "raw"):
             fp, rows = np.empty(b.num_rows, np.uint64), np.empty((b.num_rows, BANDS), np.int64)
             for i, raw in enumerate(b.column("raw").to_pylist()):
                 digests = simhash.shingles(raw, SHINGLE)
@@ -81,26 +82,27 @@ def lists(signed: DataFrame, n: int) -> DataFrame:
     return entries.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(run, "key long, node long, first long")
 
 
-def sketch(own: np.ndarray) -> np.ndarray:
-    """Of sorted shingles the least of each of 256 shares, by its last bits; 0 where there is none."""
-    share = (own >> np.uint64(56)).astype(np.int64)
-    first = np.flatnonzero(np.diff(share, prepend=-1))
-    out = np.zeros(PLACES, np.uint8)
-    out[share[first]] = 1 + (own[first] % np.uint64(255)).astype(np.uint8)
-    return out
-
-
-def cut_list(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """Members of a list, whole or, if it is long, those that are equal in a band of places."""
+def parts_of(sets: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Members of a list, whole or, if it is long, by the shingles they share: of each member the rarest, as many as leave
+    fewer than LEAST of it out. Two near copies have one of those in common, so none is lost; members without words are a part."""
     if len(sets) <= WHOLE:
         yield np.arange(len(sets))
         return
-    s = np.stack([sketch(x) for x in sets])
-    for k in range(CUTS):
-        band = np.ascontiguousarray(s[:, k * CUT_PLACES : (k + 1) * CUT_PLACES]).view(np.uint64).ravel()
-        order = np.argsort(band, kind="stable")
-        edges = np.flatnonzero(np.diff(band[order])) + 1
-        yield from (own for own in np.split(order, edges) if len(own) > 1)
+    sizes = np.array([len(x) for x in sets])
+    yield np.flatnonzero(sizes == 0)
+    member = np.repeat(np.arange(len(sets)), sizes)
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((code, times[code], member))
+    nth = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    prefix = sizes - (4 * sizes + 4) // 5 + 1
+    kept = order[nth < np.repeat(prefix, sizes)]
+    kept = kept[times[code[kept]] > 1]
+    kept = kept[np.lexsort((member[kept], code[kept]))]
+    edges = np.flatnonzero(np.diff(code[kept])) + 1
+    if (np.diff([0, *edges, len(kept)]).astype(float) ** 2).sum() >= float(len(sets)) ** 2:  # whole is less work
+        yield np.arange(len(sets))
+        return
+    yield from (own for own in np.split(member[kept], edges) if len(own) > 1)
 
 
 def verified_forest(sets: list[np.ndarray], root: np.ndarray) -> list[tuple[int, int]]:
@@ -146,10 +148,15 @@ def open_links(held: DataFrame, sets: DataFrame, roots: DataFrame, n: int) -> Da
         a, b = [], []
         for one in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
             members = [np.frombuffer(own[i].as_py(), np.uint64) for i in one.tolist()]
-            for part in cut_list(members):
-                for i, j in verified_forest([members[k] for k in part.tolist()], root[one[part]]):
-                    a.append(int(nodes[one[part[i]]]))
-                    b.append(int(nodes[one[part[j]]]))
+            held = np.unique(root[one], return_inverse=True)[1]
+            for part in parts_of(members):
+                if len(part) < 2 or (held[part] == held[part[0]]).all():
+                    continue
+                for i, j in verified_forest([members[k] for k in part.tolist()], held[part]):
+                    x, y = int(part[i]), int(part[j])
+                    a.append(int(nodes[one[x]]))
+                    b.append(int(nodes[one[y]]))
+                    held[held == held[y]] = held[x]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     common.ship(held.sparkSession)
@@ -188,7 +195,7 @@ def shingle_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     texts = told(docs.select(node().alias("node"), F.col("text").cast("string").cast("binary").alias("raw")), "node", words, size).where("told").select("node", "raw")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches):
+        for b in common.sized(common.slices(batches), "raw"):
             own = [np.unique(simhash.shingles(raw, SHINGLE).view(np.uint64).ravel()).tobytes() for raw in b.column("raw").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(own, pa.binary())], names=["node", "own"])
 
