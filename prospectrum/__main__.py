@@ -146,7 +146,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "classify":
         out = model_pass(spark.read.parquet(a.source), spark.read.parquet(a.answers), a.model, [s for s, _ in TAXONOMY.buckets], a.force, a.dry_run)
     else:
-        captured.write_csv(maintenance.exported(spark.read.parquet(a.source)), a.target)
+        captured.replace_csv(spark.read.parquet(a.source), a.target)
         return
     out.write.mode("overwrite").parquet(a.target)
 

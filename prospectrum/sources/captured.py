@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -202,6 +202,23 @@ def write_csv(df: DataFrame, path: str) -> None:
     csv_cells(df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", lineSep="\r\n")
 
 
+def replace_csv(df: DataFrame, path: str) -> int:
+    """The table as CSV in place of what is at the path; how many rows. It is written beside the old export, counted in the same
+    pass, and takes its place when it is whole: an empty table is refused, and a write that breaks off or finds the old
+    export in use leaves that as it was."""
+    spark, beside, seen = df.sparkSession, f"{path.rstrip('/')}.new", Observation()
+    write_csv(df.observe(seen, F.count(F.lit(1)).alias("rows")), beside)
+    jvm = spark.sparkContext._jvm
+    new, old = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+    store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not seen.get["rows"]:
+        store.delete(new, True)
+        raise ValueError("nothing to export")
+    if store.exists(old) and not store.delete(old, True) or not store.rename(new, old):
+        raise OSError(f"{path} can't be replaced; the new export is at {beside}")
+    return seen.get["rows"]
+
+
 #: Sources in order: key -> (source, engine, parser of captured rows). Parsers that need a second capture take it as "<key>_pages".
 REGISTRY: dict[str, tuple[str, str, Callable[..., DataFrame]]] = {
     "google_maps": ("google_maps", "capture", directories.google_maps),

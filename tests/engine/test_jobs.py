@@ -290,3 +290,13 @@ def test_a_pace_that_workers_share(spark):
     assert out.rdd.getNumPartitions() == 2
     at = sorted(float(r.answer) for r in out.collect())
     assert len(at) == 6 and all(b - a >= 0.19 for a, b in zip(at[:-2], at[2:], strict=True))
+
+
+def test_an_empty_export_leaves_the_old_one(spark, tmp_path):
+    rows = lead_rows(spark, [{"ord": 1, "company_name": "A", "website": "a.com"}, {"ord": 2, "company_name": "B", "website": "b.com"}])
+    at = str(tmp_path / "out")
+    assert captured.replace_csv(rows, at) == 2 and captured.replace_csv(rows.where("ord = 2"), at) == 1
+    with pytest.raises(ValueError, match="nothing"):
+        captured.replace_csv(rows.limit(0), at)
+    assert [r.company_name for r in captured.read_runs(spark, at).collect()] == ["B"]
+    assert not (tmp_path / "out.new").exists()
