@@ -48,10 +48,11 @@ def filled(pattern: str) -> Column:
     return out
 
 
-def pages(spark: SparkSession, sf: str, name: str, column: str = "html") -> DataFrame:
+def pages(spark: SparkSession, sf: str, name: str, column: str = "html", other: str = "Other ") -> DataFrame:
+    """A page for each supplier. The name of its second card, where it has one, begins with other; '' repeats the first."""
     body = PAGES[name] if column == "payload" else NOISE + PAGES[name]
     if name in TWICE:  # a second card, the same but for its name
-        body += PAGES[name].replace("{s_name}", "Other {s_name}")
+        body += PAGES[name].replace("{s_name}", other + "{s_name}")
     html = F.replace(filled(body), F.lit("{inline}"), F.when(F.col("s_suppkey") % 2 == 0, filled(INLINE)).otherwise(F.lit("")))
     return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ord"), html.alias(column))
 

@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from prospectrum import __main__ as cli
+from prospectrum.more_queries import gathered
 from prospectrum.operators import leads, searches, service, sync
 from prospectrum.plans import maintenance, targeting
+from prospectrum.source_queries import pages as source_pages
 from prospectrum.sources import captured, directories
 
 def vocabularies(spark):
@@ -157,6 +159,13 @@ def test_a_source_that_fails_is_left_out(spark):
     assert captured.gather({}, F.current_timestamp()).collect() == [] and captured.gather({"clutch": pages}, F.current_timestamp(), only=("pseb",)).collect() == []
 
 
+def test_a_firm_that_a_page_shows_twice_is_gathered_once(spark, sf_dir):
+    page = source_pages(spark, sf_dir, "clutch", other="")
+    assert {r.html.count('class="provider row"') for r in page.collect()} == {2}
+    n = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    assert {r.source: r["count"] for r in gathered(spark, sf_dir).groupBy("source").count().collect()} == dict.fromkeys(("google_maps", "github_orgs", "clutch", "goodfirms"), n)
+
+
 def test_readers_of_files(spark, tmp_path):
     for name, rows in (("leads-2026-01-02.csv", [{"ord": 0, "company_name": "B", "tags": ["x", "y"]}, {"ord": 1, "company_name": ""}]), ("leads-2026-01-01.csv", [{"ord": 0, "company_name": "A\nline"}, {"ord": 1, "company_name": "C"}])):
         captured.write_csv(lead_rows(spark, rows).coalesce(1), str(tmp_path / "d" / name))
