@@ -2,7 +2,8 @@
 
 A filter's equalities (tier, source, industry, region, firm size, tag) are its key. Few sets of columns occur among filters, so a
 lead has one key for each of these sets, and one for each of its tags where the set has the tag; the join is one on equal
-keys, and bounds and text are tested on what meets.
+keys, and bounds and text are tested on what meets. Many users save the same filter, so counts and deliveries ask for each
+different filter once, counts without making pairs.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ EQUAL = ("tier", "source", "industry", "region", "firm_size_band")
 TEXT = ("company_name", "email", "address", "category", "search_query")
 #: Parts that a key without any equality, which all leads have, is cut into.
 SALTS = 64
+#: What filters have in common that match the same leads.
+KIND = ("set", "key", "sought", "bounds")
 FILTER = "tier string, source string, industry string, tag string, region string, firmSizeBand string, minScore double, maxScore double, hasEmail boolean, search string"
 
 
@@ -28,12 +31,14 @@ def filters(searches: DataFrame) -> DataFrame:
     return f.select("*", bits.alias("set"), F.array(*own).alias("key"))
 
 
-def matched(leads: DataFrame, searches: DataFrame, columns: list[str], given: list[str], salts: int = SALTS) -> DataFrame:
-    """columns of leads beside given columns of searches (filter_json), for each pair that matches as a saved search's
-    predicate says after a run: a missing score is 0, text is sought in one string of all text columns. A lead that
-    lacks a column doesn't match a filter that names it; a filter that can't be read matches all, as an empty one does."""
-    f = filters(searches)
-    sets = sorted(r[0] for r in f.select("set").distinct().collect())  # 64 at most
+def bounds_fit() -> Column:
+    """Whether a lead's _score and _mail are within a filter's bounds."""
+    low, high = F.col("bounds.low"), F.col("bounds.high")
+    return (low.isNull() | (F.col("_score") >= low)) & (high.isNull() | (F.col("_score") <= high)) & (~F.col("bounds.mail") | F.col("_mail"))
+
+
+def by_key(leads: DataFrame, columns: list[str], sets: list[int], salts: int) -> DataFrame:
+    """columns of leads with _score, _mail, _text, and a row for each key that a lead has for one of the sets: set, key, salt."""
     text = F.lower(F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in TEXT if c in leads.columns)))
     own = leads.select(*columns, F.coalesce("score", F.lit(0)).alias("_score"), present(F.col("email")).alias("_mail"), text.alias("_text"), *(F.col(c).alias(f"_{c}") for c in EQUAL), F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))).alias("_tags"))
 
@@ -49,19 +54,58 @@ def matched(leads: DataFrame, searches: DataFrame, columns: list[str], given: li
             ok = ok & t
         return F.when(ok, rows).otherwise(F.array().cast("array<struct<set: int, key: array<string>, salt: int>>"))
 
-    if not sets:
-        return leads.limit(0).crossJoin(searches.limit(0)).select(*columns, *given)
-    by_key = own.select(*columns, "_score", "_mail", "_text", F.explode(F.concat(*map(keys, sets))).alias("k")).select(*columns, "_score", "_mail", "_text", "k.*")
-    dealt = f.select(*given, "filter", "set", "key", F.explode(F.when(F.col("set") == 0, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    both = by_key.join(dealt, ["set", "key", "salt"])
-    sought = F.lower(F.trim("filter.search"))
-    fits = (
-        (F.col("filter.minScore").isNull() | (F.col("_score") >= F.col("filter.minScore")))
-        & (F.col("filter.maxScore").isNull() | (F.col("_score") <= F.col("filter.maxScore")))
-        & (~F.coalesce(F.col("filter.hasEmail"), F.lit(False)) | F.col("_mail"))
-        & (sought.isNull() | (sought == "") | F.contains("_text", sought))
-    )
-    return both.where(fits).select(*columns, *given)
+    return own.select(*columns, "_score", "_mail", "_text", F.explode(F.concat(*map(keys, sets))).alias("k")).select(*columns, "_score", "_mail", "_text", "k.*")
+
+
+def sets_of(f: DataFrame) -> list[int]:
+    return sorted(r[0] for r in f.select("set").distinct().collect())  # 64 at most
+
+
+def dealt(f: DataFrame, salts: int) -> DataFrame:
+    """Rows of filters with a salt; those that name no column once for each."""
+    return f.withColumn("salt", F.explode(F.when(F.col("set") == 0, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+
+
+def kinds(searches: DataFrame, columns: list[str]) -> DataFrame:
+    """columns of searches with what decides of a filter: set, key, sought (text, null for none) and bounds. Filters that
+    say the same have equal values, however their JSON is written."""
+    text, mail = F.nullif(F.lower(F.trim("filter.search")), F.lit("")), F.coalesce("filter.hasEmail", F.lit(False))
+    bounds = F.struct(F.col("filter.minScore").alias("low"), F.col("filter.maxScore").alias("high"), mail.alias("mail"))
+    return filters(searches).select(*columns, "set", "key", text.alias("sought"), bounds.alias("bounds"))
+
+
+def meeting(leads: DataFrame, asked: DataFrame, columns: list[str], given: list[str], salts: int = SALTS) -> DataFrame:
+    """Pairs of leads and rows of kinds() that match: columns and given columns."""
+    if not (sets := sets_of(asked)):
+        return leads.limit(0).crossJoin(asked.limit(0)).select(*columns, *given)
+    both = by_key(leads, columns, sets, salts).join(dealt(asked, salts), ["set", "key", "salt"])
+    return both.where(bounds_fit() & (F.col("sought").isNull() | F.contains("_text", "sought"))).select(*columns, *given)
+
+
+def matched(leads: DataFrame, searches: DataFrame, columns: list[str], given: list[str], salts: int = SALTS) -> DataFrame:
+    """columns of leads beside given columns of searches (filter_json), for each pair that matches as a saved search's
+    predicate says after a run: a missing score is 0, text is sought in one string of all text columns. A lead that
+    lacks a column doesn't match a filter that names it; a filter that can't be read matches all, as an empty one does."""
+    return meeting(leads, kinds(searches, given), columns, given, salts)
+
+
+def counted(leads: DataFrame, searches: DataFrame, amount: str, given: list[str], salts: int = SALTS) -> DataFrame:
+    """given columns of searches that match any lead, the number n of leads that matched() has for each, and the sum of
+    their amount. No pairs are made: leads are counted by key, text found, score and email, and equal filters ask once."""
+    own = kinds(searches, given)
+    asked = own.select(*KIND).distinct().persist()  # asked several times, parsed once
+    texts = asked.where("sought is not null").select("set", "key", "sought").distinct()
+    if not (sets := sets_of(asked)):
+        return leads.limit(0).crossJoin(own.limit(0)).select(*given, F.lit(0).cast("long").alias("n"), amount)
+    total = F.count(F.lit(1)).alias("n"), F.sum(amount).alias(amount)
+    groups = by_key(leads, [amount], sets, salts).groupBy("set", "key", F.lit(None).cast("string").alias("sought"), "_score", "_mail").agg(*total)
+    if with_text := sets_of(texts):
+        found = by_key(leads, [amount], with_text, salts).join(dealt(texts, salts), ["set", "key", "salt"]).where(F.contains("_text", "sought"))
+        groups = groups.unionByName(found.groupBy("set", "key", "sought", "_score", "_mail").agg(*total))
+    same = (F.col("a.set") == F.col("g.set")) & (F.col("a.key") == F.col("g.key")) & F.col("a.sought").eqNullSafe(F.col("g.sought"))
+    met = asked.alias("a").join(groups.alias("g"), same).where(bounds_fit()).select(F.struct(*(f"a.{c}" for c in KIND)).alias("_kind"), "n", amount)
+    each = met.groupBy("_kind").agg(F.sum("n").alias("n"), F.sum(amount).alias(amount))
+    return own.select(*given, F.struct(*KIND).alias("_kind")).join(each, "_kind").select(*given, "n", amount)
 
 
 def attributed_all(leads: DataFrame, stored: DataFrame, searches: DataFrame) -> DataFrame:

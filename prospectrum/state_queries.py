@@ -55,8 +55,8 @@ MATCH += """ and (f_tag is null or list_contains(tags, f_tag)) and (f_minScore i
 
 
 def match_counts(spark: SparkSession, sf: str) -> DataFrame:
-    both = matching.matched(leads(spark, sf), searches(spark, sf).withColumnRenamed("id", "search_id"), ["id"], ["search_id"])
-    return both.groupBy("search_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    both = matching.counted(leads(spark, sf), searches(spark, sf).withColumnRenamed("id", "search_id"), "id", ["search_id"])
+    return both.select("search_id", "n", F.col("id").alias("ids"))
 
 
 def delivered(spark: SparkSession, sf: str) -> DataFrame:

@@ -105,3 +105,15 @@ def test_ten_thousand_filters_are_one_equality_join(spark, sf_dir):
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and plan.count("Join") == 1
     assert both.count() > 10_000
+
+
+def test_counts_of_filters_are_those_of_their_pairs(spark, sf_dir):
+    own = leads(spark, sf_dir).withColumn("tags", F.when(F.col("id") % 13 > 0, F.col("tags")))
+    specs = [{}, {"tier": "A"}, {"tag": "t3", "region": "r1", "minScore": 10}, {"hasEmail": True, "search": " TOWN 3"}, {"search": "town 3"}, {"search": " "}, {"region": "nowhere"}, {"tag": "t3", "search": "town", "maxScore": 40}]
+    rows = spark.createDataFrame([(i, json.dumps(specs[i % len(specs)])) for i in range(40)] + [(40, None), (41, "{broken")], "search_id long, filter_json string")
+    want = matching.matched(own, rows, ["id"], ["search_id"]).groupBy("search_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id"))
+    got = matching.counted(own, rows, "id", ["search_id"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert matching.counted(own, rows.limit(0), "id", ["search_id"]).collect() == []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
