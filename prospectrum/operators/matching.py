@@ -9,6 +9,7 @@ different filter once, counts without making pairs.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prospectrum.functions.text import present
@@ -19,6 +20,8 @@ TEXT = ("company_name", "email", "address", "category", "search_query")
 SALTS = 64
 #: What filters have in common that match the same leads.
 KIND = ("set", "key", "sought", "bounds")
+#: Filters of a user and key that are tried as covers of later ones.
+EARLIEST = 16
 FILTER = "tier string, source string, industry string, tag string, region string, firmSizeBand string, minScore double, maxScore double, hasEmail boolean, search string"
 
 
@@ -108,9 +111,29 @@ def counted(leads: DataFrame, searches: DataFrame, amount: str, given: list[str]
     return own.select(*given, F.struct(*KIND).alias("_kind")).join(each, "_kind").select(*given, "n", amount)
 
 
+def leading(searches: DataFrame) -> DataFrame:
+    """Of searches (id, user_id, filter_json) those that can be the least of its user's that a lead matches, as rows of kinds():
+    the least id of a user's equal filters, and none that one of the user's earlier and broader filters covers. As broader
+    ones count the EARLIEST of each key; others cover nothing, and what they would cover stays."""
+    least = kinds(searches, ["id", "user_id"]).groupBy("user_id", *KIND).agg(F.min("id").alias("id")).persist()
+    if not (sets := sets_of(least)):
+        return least
+    part = lambda bits: F.struct(F.lit(bits).alias("set"), F.array(*(F.get("key", F.lit(i)) if bits >> i & 1 else F.lit(None).cast("string") for i in range(len(EQUAL) + 1))).alias("key"))
+    broader = F.filter(F.array(*(F.when(F.col("set").bitwiseAND(F.lit(s)) == s, part(s)) for s in sets)), lambda x: x.isNotNull())
+    nth = F.row_number().over(W.partitionBy("user_id", "set", "key").orderBy("id"))
+    by = least.withColumn("_nth", nth).where(F.col("_nth") <= EARLIEST).select("user_id", "set", "key", F.col("sought").alias("_sought"), F.col("bounds").alias("_b"), F.col("id").alias("_by"))
+    up = least.select("user_id", "id", F.struct(*KIND).alias("_kind"), F.explode(broader).alias("_up")).select("user_id", "id", "_kind", "_up.*")
+    low, high = (lambda c: F.coalesce(F.col(f"{c}.low"), F.lit(float("-inf")))), (lambda c: F.coalesce(F.col(f"{c}.high"), F.lit(float("inf"))))
+    covers = (F.col("_by") < F.col("id")) & (low("_b") <= low("_kind.bounds")) & (high("_b") >= high("_kind.bounds")) & (~F.col("_b.mail") | F.col("_kind.bounds.mail"))
+    covers = covers & (F.col("_sought").isNull() | F.coalesce(F.contains("_kind.sought", "_sought"), F.lit(False)))
+    covered = up.join(by, ["user_id", "set", "key"]).where(covers).select("user_id", "_kind").distinct()
+    return least.withColumn("_kind", F.struct(*KIND)).join(covered, ["user_id", "_kind"], "left_anti").drop("_kind")
+
+
 def attributed_all(leads: DataFrame, stored: DataFrame, searches: DataFrame) -> DataFrame:
     """Deliveries of a run to all searches (id, user_id, filter_json) that it serves: each stored lead once a user, for the
     least search that it matches."""
-    own = matched(leads.where("dedupe_key is not null"), searches.select(F.col("id").alias("saved_search_id"), "user_id", "filter_json"), ["dedupe_key"], ["saved_search_id", "user_id"])
+    run = leads.where("dedupe_key is not null").join(stored.select("dedupe_key"), "dedupe_key", "left_semi")
+    own = meeting(run, leading(searches).withColumnRenamed("id", "saved_search_id"), ["dedupe_key"], ["saved_search_id", "user_id"])
     first = own.groupBy("user_id", "dedupe_key").agg(F.min("saved_search_id").alias("saved_search_id"))
     return first.join(stored.select("dedupe_key", F.col("id").alias("lead_id")), "dedupe_key").select("user_id", "lead_id", "saved_search_id", F.lit("fresh").alias("delivery_reason"))

@@ -117,3 +117,15 @@ def test_counts_of_filters_are_those_of_their_pairs(spark, sf_dir):
     assert matching.counted(own, rows.limit(0), "id", ["search_id"]).collect() == []
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_deliveries_need_only_the_leading_filters(spark, sf_dir):
+    own = leads(spark, sf_dir)
+    specs = [(1, "u", {"tier": "A", "minScore": 50}), (2, "u", {"tier": "A", "minScore": 50.0}), (3, "u", {"tier": "A", "region": "r1", "minScore": 60}), (4, "u", {"tier": "A", "region": "r1"}), (5, "v", {"search": "TOWN"}),
+             (6, "v", {"search": " town 3", "tag": "t3"}), (7, "v", {"search": "x"}), (8, "v", {"hasEmail": True}), (9, "v", {"hasEmail": True, "maxScore": 9}), (10, "v", {}), (11, "v", {"tier": "B"}), (12, None, {"tier": "B"})]
+    rows = spark.createDataFrame([(i, u, json.dumps(s)) for i, u, s in specs], "id long, user_id string, filter_json string")
+    assert sorted(r.id for r in matching.leading(rows).collect()) == [1, 4, 5, 7, 8, 10, 12]
+    pairs = matching.matched(own, rows.withColumnRenamed("id", "saved_search_id"), ["id"], ["saved_search_id", "user_id"]).where("id % 2 = 0").groupBy("user_id", "id").agg(F.min("saved_search_id").alias("s"))
+    got = matching.attributed_all(own, own.where("id % 2 = 0"), rows).select("user_id", "lead_id", "saved_search_id")
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, map(tuple, pairs.collect())))
+    assert matching.attributed_all(own, own, rows.limit(0)).collect() == []
