@@ -38,8 +38,8 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 def feature(rgb: np.ndarray) -> str:
     """Size, the channels' sums and the number of saturated samples: integers, so equal for equal files."""
-    r, g, b = rgb.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
-    return f"{rgb.shape[1]}x{rgb.shape[0]}:{r}:{g}:{b}:{int((rgb == 255).sum())}"
+    r, g, b = (int(rgb[:, :, k].sum(dtype=np.int64)) for k in range(3))
+    return f"{rgb.shape[1]}x{rgb.shape[0]}:{r}:{g}:{b}:{np.count_nonzero(rgb == 255)}"
 
 
 def decode_media(stored: DataFrame) -> DataFrame:

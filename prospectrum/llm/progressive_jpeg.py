@@ -331,11 +331,54 @@ def ac_refine(coef: np.ndarray, blocks: np.ndarray, codes: dict, first: int, las
                 k += 1
 
 
+def planes_of(parts: list[bytes], prefix: int, n: int) -> np.ndarray | None:
+    """Scans of one bit a place that follow each other, the highest bit first, as one number a place: n places after prefix
+    bits. None where the scans' prefixes differ or one ends early."""
+    plain = [p.replace(b"\xff\x00", b"\xff") for p in parts]
+    if len(plain) > 8 or len({len(p) for p in plain}) > 1 or 8 * len(plain[0]) < prefix + n:
+        return None
+    bits = np.unpackbits(np.frombuffer(b"".join(plain), np.uint8).reshape(len(plain), -1), axis=1)
+    if prefix and (bits[1:, :prefix] != bits[0, :prefix]).any():
+        return None
+    out = bits[0, prefix : prefix + n].copy()
+    for row in bits[1:, prefix : prefix + n]:
+        out <<= 1
+        out |= row
+    return out
+
+
+def refine_many(frame: Frame, ids: list[int], ac: dict, first: int, last: int, parts: list[bytes], low: int) -> None:
+    """Refinement scans of the same places, down to the bit low. All at once where each is one bit a place, else one by one."""
+    order = frame.places(ids)
+    if first == 0:
+        got = planes_of(parts, 0, len(order))
+        if got is not None:
+            got = got.astype(np.int16) << low
+            for i, (steps, blocks) in order.each.items():
+                frame.coefficients[i][blocks, 0] |= got[steps]
+            return
+    elif len(parts) > 1 and len(order):
+        coef, at, bits = frame.coefficients[ids[0]], picked(order.blocks), Bits(parts[0][:8])
+        s = bits.symbol(ac)
+        if not s & 15 and s >> 4 < 15 and (1 << (s >> 4)) + bits.take(s >> 4) == len(order):  # a run of bands over all blocks
+            band = coef[at, first : last + 1]
+            if band.min() > 0 and (got := planes_of(parts, bits.at, band.size)) is not None:
+                coef[at, first : last + 1] = band | (got.astype(np.int16) << low).reshape(band.shape)
+                return
+    for k, part in enumerate(parts):
+        own = low + len(parts) - 1 - k
+        if first == 0:
+            dc_scan(frame, order, {}, own + 1, own, Bits(part))
+        else:
+            ac_refine(frame.coefficients[ids[0]], order.blocks, ac, first, last, own, Bits(part))
+
+
 def decode(data: bytes) -> Frame:
     """The coefficient arrays of a progressive file, all scans accumulated."""
     if data[:2] != b"\xff\xd8":
         raise ValueError("no JPEG file")
     at, frame, tables, quantisers, interval, comment = 2, None, {}, {}, 0, b""
+    held: list = []  # refinements read together: components, band, table, scans, lowest bit
     while True:
         marker = data[at + 1]
         if marker == 0xD9:
@@ -362,10 +405,21 @@ def decode(data: bytes) -> Frame:
             raise ValueError("not a Huffman-coded progressive file")
         elif marker == 0xDA:
             ids = [body[1 + 2 * i] for i in range(body[0])]
-            dc = {i: tables.get((0, body[2 + 2 * k] >> 4), {}) for k, i in enumerate(ids)}
-            ac = tables.get((1, body[2] & 15), {})
             first, last, both = body[1 + 2 * len(ids) :]
             end = END_OF_SCAN.search(data, at).start()
+            high, low = both >> 4, both & 15
+            ac = tables.get((1, body[2] & 15), {})
+            if high and not interval:  # waits for the scans that refine the same places further
+                if held and (held[:2] != [ids, (first, last)] or held[2] is not ac or held[4] != low + 1):
+                    refine_many(frame, held[0], held[2], *held[1], held[3], held[4])
+                    held = []
+                held = [ids, (first, last), ac, [*(held[3] if held else ()), data[at:end]], low]
+                at = end
+                continue
+            if held:
+                refine_many(frame, held[0], held[2], *held[1], held[3], held[4])
+                held = []
+            dc = {i: tables.get((0, body[2 + 2 * k] >> 4), {}) for k, i in enumerate(ids)}
             places = frame.places(ids)
             unit = sum(frame.of[i][0] * frame.of[i][1] for i in ids) if len(ids) > 1 else 1
             parts = RESTART.split(data[at:end]) if interval else [data[at:end]]
@@ -373,12 +427,14 @@ def decode(data: bytes) -> Frame:
                 own = places.part(k * interval * unit, (k + 1) * interval * unit) if interval else places
                 bits = Bits(part)
                 if first == 0:
-                    dc_scan(frame, own, dc, both >> 4, both & 15, bits)
-                elif both >> 4:
-                    ac_refine(frame.coefficients[ids[0]], own.blocks, ac, first, last, both & 15, bits)
+                    dc_scan(frame, own, dc, high, low, bits)
+                elif high:
+                    ac_refine(frame.coefficients[ids[0]], own.blocks, ac, first, last, low, bits)
                 else:
-                    ac_first(frame.coefficients[ids[0]], own.blocks, ac, first, last, both & 15, bits)
+                    ac_first(frame.coefficients[ids[0]], own.blocks, ac, first, last, low, bits)
             at = end
+    if held:
+        refine_many(frame, held[0], held[2], *held[1], held[3], held[4])
     return frame
 
 

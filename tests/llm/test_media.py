@@ -157,3 +157,15 @@ def test_op7(spark, sf_dir, edge_docs, empty_docs):
     rgb = media.decode_media(stored).where("doc_id = 11").first()
     assert len(rgb.rgb) == rgb.width * rgb.height * 3
     assert media.digest_media(media.encode_media(empty_docs)).collect() == []
+
+
+def test_refinements_are_read_together_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    files = [jpeg.encode(media.padded(x)) for x in (b"", b"\xff" * 700, b"plain words " * 90, rng.integers(0, 256, 9000, np.uint8).tobytes())]
+    opened, bits = [], jpeg.Bits
+    monkeypatch.setattr(jpeg, "Bits", lambda part: opened.append(1) or bits(part))
+    together = [jpeg.decode(m) for m in files]
+    assert len(opened) <= 9 * len(files)  # of 31 scans each
+    monkeypatch.setattr(jpeg, "planes_of", lambda *a: None)
+    for a, b in zip(together, map(jpeg.decode, files), strict=True):
+        assert all((a.coefficients[i] == b.coefficients[i]).all() for i in (1, 2, 3))
