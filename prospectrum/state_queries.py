@@ -65,14 +65,24 @@ def delivered(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def in_parts(spark: SparkSession, sf: str, rows: DataFrame, order: str, kind: str, scratch: Callable) -> DataFrame:
-    """A table as a stream: files of rows that follow each other in an order, one a micro-batch."""
-    path = scratch(spark)
-    cuts = rows.selectExpr(f"percentile_approx({order}, array({', '.join(str(k / PARTS) for k in range(1, PARTS))})) as c").first()["c"] or []
-    edges = [None, *cuts, None]
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        own = rows if a is None else rows.where(F.col(order) > a)
-        (own if b is None else own.where(F.col(order) <= b)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path)
+    """A table as a stream: micro-batches of rows that follow each other in an order. Each batch is several files; all are written in
+    one parallel job and dated by their place in the order, as a stream reads its files by date."""
+    path, each = scratch(spark), spark.sparkContext.defaultParallelism
+    rows.repartitionByRange(PARTS * each, order).write.parquet(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def files() -> list:
+        return [f for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+
+    own = sorted(files(), key=lambda f: f.getPath().getName())
+    first = min(f.getModificationTime() for f in own) - 1000 * len(own)
+    dates = {f.getPath().getName(): first + 1000 * i for i, f in enumerate(own)}
+    for f in own:
+        fs.setTimes(f.getPath(), dates[f.getPath().getName()], -1)
+    if {f.getPath().getName(): f.getModificationTime() for f in files()} != dates:
+        raise OSError(f"{path}: the file system keeps no dates, so the stream's order is unknown")
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", each).parquet(path)
 
 
 def state_queries(scratch: Callable[[SparkSession], str]) -> dict[str, tuple[Frame, str]]:

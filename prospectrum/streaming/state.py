@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Row, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -14,62 +15,93 @@ from prospectrum.streaming.incremental import dropped
 
 DAY = 86_400_000_000
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Values that the keys of a living master share: four million keys are about a thousand, some 80 kB, a slot.
+SLOTS = 4096
 
 
 class Lives(StatefulProcessor):
-    """A key's value: when it was first and last seen, how often, and the first filled value of each column. A key that is
-    not seen for longer than the time-to-live is over: its timer ends it when the watermark passes, or its next row
-    does, which begins a new life."""
+    """Lives of the keys of a slot: when each was first and last seen, how often, and the first filled value of each column. A
+    key that is not seen for longer than the time-to-live is over: the slot's timer, set for its first key to end, ends it
+    when the watermark passes, or the key's next row does, which begins a new life. All lives of a slot are one value,
+    as each call to the state store waits for an answer: a batch has a few calls for each slot, not for each key."""
 
     def __init__(self, columns: list[str], ttl: int) -> None:
         self.columns, self.ttl = columns, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("life", "first bigint, last bigint, n bigint, filled array<string>")
+        self.value = handle.getValueState("lives", "keys array<string>, first array<bigint>, last array<bigint>, n array<bigint>, filled array<array<string>>")
 
-    def row(self, key: tuple, life: tuple, over: bool) -> Row:
-        first, last, n, filled = life
-        return Row(dedupe_key=key[0], first_seen=first, last_seen=last, n_seen=n, **dict(zip(self.columns, filled, strict=True)), over=over)
+    def told(self, updates: list[tuple]) -> pd.DataFrame:
+        """Updates as rows: key, life, whether it is over."""
+        return pd.DataFrame([(key, *life[:3], *life[3], over) for key, life, over in updates], columns=["dedupe_key", "first_seen", "last_seen", "n_seen", *self.columns, "over"])
 
     def due(self, last: int) -> int:
         return (last + self.ttl) // 1000 + 1
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
-        life = tuple(self.value.get()) if self.value.exists() else None
-        if life:
-            self.handle.deleteTimer(self.due(life[1]))
-        for r in sorted(rows, key=lambda r: r["seen_us"]):
-            seen, own = r["seen_us"], [r[c] for c in self.columns]
+    def alarm(self, lives: dict[str, tuple]) -> int | None:
+        return self.due(min(life[1] for life in lives.values())) if lives else None
+
+    def held(self) -> dict[str, tuple]:
+        if not self.value.exists():
+            return {}
+        keys, *parts = self.value.get()
+        return dict(zip(keys, zip(*parts, strict=True), strict=True))
+
+    def keep(self, lives: dict[str, tuple]) -> None:
+        if lives:
+            self.value.update((list(lives), *map(list, zip(*lives.values(), strict=True))))
+        else:
+            self.value.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        lives, touched, over = self.held(), {}, []
+        before = self.alarm(lives)
+        own = [r for part in rows for r in zip(*(part.iloc[:, i].tolist() for i in range(2 + len(self.columns))), strict=True)]
+        for name, seen, *values in sorted(own, key=lambda r: r[1]):
+            life = lives.get(name)
             if life and seen - life[1] > self.ttl:
-                yield self.row(key, life, True)
+                over.append((name, life, True))
                 life = None
             if life is None:
-                life = (seen, seen, 0, own)
+                life = (seen, seen, 0, [v if isinstance(v, str) else None for v in values])
             first, last, n, filled = life
-            life = (min(first, seen), max(last, seen), n + 1, [a or b or a for a, b in zip(filled, own, strict=True)])
-        self.value.update(life)
-        self.handle.registerTimer(self.due(life[1]))
-        yield self.row(key, life, False)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
-        if self.value.exists():
-            yield self.row(key, tuple(self.value.get()), True)
-            self.value.clear()
+            filled = [a or (b if isinstance(b, str) and b else a) for a, b in zip(filled, values, strict=True)]
+            lives[name] = touched[name] = (min(first, seen), max(last, seen), n + 1, filled)
+        self.keep(lives)
+        after = self.alarm(lives)
+        if before != after:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(after)
+        yield self.told(over + [(name, life, False) for name, life in touched.items()])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        lives, now = self.held(), timerValues.getCurrentWatermarkInMs()
+        over = [(name, life, True) for name, life in lives.items() if self.due(life[1]) <= now]
+        for name, *_ in over:
+            del lives[name]
+        self.keep(lives)
+        if lives:
+            self.handle.registerTimer(self.alarm(lives))
+        if over:
+            yield self.told(over)
 
     def close(self) -> None:
         pass
 
 
-def living_master(stream: DataFrame, columns: list[str], late: str = "0 seconds", days: float = 30) -> DataFrame:
+def living_master(stream: DataFrame, columns: list[str], late: str = "0 seconds", days: float = 30, slots: int = SLOTS) -> DataFrame:
     """Updates of the lives of a stream's keys (dedupe_key, seen_us: microseconds, and string columns): dedupe_key, first_seen,
-    last_seen, n_seen, columns, over. A micro-batch touches the state of its own keys and of those whose time is over, and
-    nothing else. Rows without key or time are left out, as are rows later than the watermark."""
+    last_seen, n_seen, columns, over. Updates are those of a micro-batch's own keys and of those whose time is over. Keys are
+    dealt over slots by hash, and a micro-batch reads and writes the slots that such keys are in, and nothing else; more slots suit
+    small batches over very many keys, and a checkpoint keeps the number it began with. Rows without key or time are left out,
+    as are rows later than the watermark."""
     ship(stream.sparkSession)
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    own = stream.where("dedupe_key is not null and seen_us is not null").select("dedupe_key", "seen_us", *columns, F.timestamp_micros("seen_us").alias("_at")).withWatermark("_at", late)
+    own = stream.where("dedupe_key is not null and seen_us is not null").select("dedupe_key", "seen_us", *columns, F.timestamp_micros("seen_us").alias("_at"), F.expr(f"cast(pmod(xxhash64(dedupe_key), {slots}) as int)").alias("_slot")).withWatermark("_at", late)
     kinds = ", ".join(["dedupe_key string, first_seen bigint, last_seen bigint, n_seen bigint", *(f"`{c}` string" for c in columns), "over boolean"])
-    return own.groupBy("dedupe_key").transformWithState(Lives(columns, int(days * DAY)), kinds, "Update", "EventTime")
+    return own.groupBy("_slot").transformWithStateInPandas(Lives(columns, int(days * DAY)), kinds, "Update", "EventTime")
 
 
 def latest_lives(updates: DataFrame) -> DataFrame:

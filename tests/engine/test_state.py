@@ -1,5 +1,6 @@
 import json
 import os
+import random
 import uuid
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prospectrum.operators import matching, service
 from prospectrum.operators.service import LeadsQuery
-from prospectrum.state_queries import leads, searches
+from prospectrum.state_queries import PARTS, in_parts, leads, searches
 from prospectrum.streaming import state
 
 DAY = state.DAY
@@ -46,6 +47,43 @@ def test_keys_expire_and_come_back(spark, tmp_path):
     assert {r[1] for r in out if r[0] == 1} <= {"a", "b", "c", "d"} and {r[1] for r in out if r[0] == 3} <= {"a", "c", "d", "f"}
 
 
+def test_lives_of_many_keys_take_few_rows_of_state(spark, tmp_path):
+    """The state store is asked for slots, not keys; lives are those of a plain loop, odd texts and gaps at the limit included."""
+    draw, ttl, rows = random.Random(3), 3 * DAY, []
+    for i in range(2400):
+        rows.append((f"k{draw.randrange(400)}", draw.randrange(30 * DAY), draw.choice([None, "", "x", "nan", "é"]), draw.choice([None, str(i)])))
+    rows += [("edge", 2 * DAY, "", None), ("edge", 5 * DAY, "at", "1"), ("edge", 8 * DAY + 1, None, None)]
+    rows.sort(key=lambda r: r[1])
+    kind = "dedupe_key string, seen_us bigint, category string, phone string"
+    for n in range(0, len(rows), 900):
+        spark.createDataFrame([(d, t + 100 * DAY, *x) for d, t, *x in rows[n : n + 900]], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = state.living_master(stream, ["category", "phone"], days=3, slots=8).writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/{n}")).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [p["numInputRows"] for p in query.recentProgress][:3] == [900, 900, 603]
+    assert all(p["stateOperators"][0]["numRowsTotal"] <= 8 and p["stateOperators"][0]["numRowsUpdated"] <= 16 for p in query.recentProgress)
+    want, now = {}, {}
+    for d, t, *x in rows:
+        life = now.get(d)
+        if life is None or t - life[1] > ttl:
+            life = now[d] = [t, t, 0, list(x)]
+            want[d, t] = life
+        life[1], life[2], life[3] = t, life[2] + 1, [a or b or a for a, b in zip(life[3], x, strict=True)]
+    got = state.latest_lives(spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out")).collect()
+    assert len(got) == len(want)
+    assert {(r.dedupe_key, r.first_seen - 100 * DAY): [r.last_seen - 100 * DAY, r.n_seen, [r.category, r.phone]] for r in got} == {k: v[1:] for k, v in want.items()}
+    assert {(r.dedupe_key, r.first_seen - 100 * DAY) for r in got if r.over} == {k for k, v in want.items() if v is not now[k[0]] or v[1] + ttl < rows[-1][1] - 1000}
+
+
+def test_parts_follow_each_other_and_are_written_in_parallel(spark, tmp_path):
+    rows, seen = spark.range(5000).selectExpr("(id * 7919) % 5000 as at", "cast(id as string) as name"), []
+    stream = in_parts(spark, "", rows, "at", "at bigint, name string", lambda _: str(tmp_path / "in"))
+    stream.writeStream.foreachBatch(lambda df, n: seen.append(df.agg(F.min("at"), F.max("at"), F.count("at")).first())).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) == PARTS and sum(r[2] for r in seen) == 5000
+    assert all(a[1] < b[0] for a, b in zip(seen[:-1], seen[1:], strict=True))
+    assert len(list((tmp_path / "in").glob("part-*"))) > PARTS
+
+
 SCHEMA = "user_id string, lead_id bigint, n int"
 
 
