@@ -67,8 +67,8 @@ def delivered(spark: SparkSession, sf: str) -> DataFrame:
 def in_parts(spark: SparkSession, sf: str, rows: DataFrame, order: str, kind: str, scratch: Callable) -> DataFrame:
     """A table as a stream: micro-batches of rows that follow each other in an order. Each batch is several files; all are written in
     one parallel job and dated by their place in the order, as a stream reads its files by date."""
-    path, each = scratch(spark), spark.sparkContext.defaultParallelism
-    rows.repartitionByRange(PARTS * each, order).write.parquet(path)
+    path = scratch(spark)
+    rows.repartitionByRange(PARTS * spark.sparkContext.defaultParallelism, order).write.parquet(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -82,7 +82,7 @@ def in_parts(spark: SparkSession, sf: str, rows: DataFrame, order: str, kind: st
         fs.setTimes(f.getPath(), dates[f.getPath().getName()], -1)
     if {f.getPath().getName(): f.getModificationTime() for f in files()} != dates:
         raise OSError(f"{path}: the file system keeps no dates, so the stream's order is unknown")
-    return spark.readStream.schema(kind).option("maxFilesPerTrigger", each).parquet(path)
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", -(-len(own) // PARTS)).parquet(path)
 
 
 def state_queries(scratch: Callable[[SparkSession], str]) -> dict[str, tuple[Frame, str]]:
